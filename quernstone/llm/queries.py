@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quernstone.llm import jaccard, line_dedup, quality
+from quernstone.llm import bpe, jaccard, line_dedup, quality
 
 QUERIES = {
+    "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op5_quality_rules": quality.op5_quality_rules,
     "op9_line_dedup": line_dedup.op9_line_dedup,
