@@ -8,14 +8,13 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Ids, of eight bytes each, that are broadcast at most.
+SENT_IDS = 1_000_000
 #: Bounds of one Arrow batch: a batch of very long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
-#: Entries of a per-worker word cache before it is emptied.
-CACHE_WORDS = 400_000
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -51,7 +50,7 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quernstone-{uuid.uuid4().hex}/{name}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
     atexit.register(_forget, spark, path.rpartition("/")[0])
     return spark.read.schema(df.schema).parquet(path)
 
@@ -65,28 +64,56 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs with one of these doc_ids; ids go to every task if they are few, else both sides are shuffled."""
+    ids = written(ids.select("doc_id").distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi")
+
+
 def spread(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session sets them."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 class WordHash:
-    """64-bit hashes of words, kept for words seen before."""
-
-    def __init__(self, limit: int = CACHE_WORDS):
-        self.known: dict[bytes, int] = {}
-        self.limit = limit
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        out = [known.get(w) for w in words]
-        if None in out:
-            for i, h in enumerate(out):
-                if h is None:
-                    out[i] = known[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-        return np.array(out, dtype=np.uint64)
+    """64-bit hashes of the words of a text, all at once: sums of a random number for each byte times a power of R.
+
+    Words are the runs of bytes other than ASCII white space. Long texts go in blocks, cut at white space.
+    """
+
+    R, BLOCK = 0x9E3779B97F4A7C15, 1 << 20
+
+    def __init__(self):
+        self.of_byte = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.space = np.zeros(256, dtype=bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        self._powers(1 << 16)
+
+    def _powers(self, n: int) -> None:
+        up, down = np.full(n, self.R, np.uint64), np.full(n, pow(self.R, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+    def __call__(self, data: bytes) -> np.ndarray:
+        if len(data) <= self.BLOCK:
+            return self._block(data)
+        parts, at = [], 0
+        while at < len(data):
+            end = at + self.BLOCK
+            while end < len(data) and not self.space[data[end]]:
+                end += 1
+            parts.append(self._block(data[at:end]))
+            at = end
+        return np.concatenate(parts)
+
+    def _block(self, data: bytes) -> np.ndarray:
+        b = np.frombuffer(data, dtype=np.uint8)
+        if len(b) >= len(self.up):
+            self._powers(2 * len(b))
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], self.space[b], [True]])))
+        start, end = edge[::2], edge[1::2]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.of_byte[b] * self.up[: len(b)], dtype=np.uint64)])
+        return mixed((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -44,7 +44,7 @@ class LineRuns:
     def _run(self, rows: DataFrame) -> str:
         name = f"{self.mark}_{self.made}"
         self.made += 1
-        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").saveAsTable(name)
+        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("compression", "zstd").saveAsTable(name)
         return name
 
     def runs(self) -> list[DataFrame]:
