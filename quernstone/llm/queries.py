@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from quernstone.llm import bpe, jaccard, line_dedup, quality
+import corpus_pipeline
+from quernstone.llm import bpe, decontaminate, html_text, jaccard, line_dedup, quality, substrings
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_jaccard_join": jaccard.op2_jaccard_join,
+    "op3_decontamination": decontaminate.op3_decontamination,
+    "op4_html_extraction": html_text.op4_html_extraction,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_substring_dedup": substrings.op6_substring_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
     "op2_jaccard_join": jaccard.ORACLE_OP2,
     "op5_quality_rules": quality.ORACLE_OP5,
+    "op6_substring_dedup": substrings.ORACLE_OP6,
     "op9_line_dedup": line_dedup.ORACLE_OP9,
 }
