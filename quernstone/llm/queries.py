@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quernstone.llm import bpe, decontaminate, html_text, jaccard, line_dedup, quality, substrings
+from quernstone.llm import bpe, decontaminate, html_text, jaccard, licenses, line_dedup, quality, substrings
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op10_license_scan": licenses.op10_license_scan,
     "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_html_extraction": html_text.op4_html_extraction,
