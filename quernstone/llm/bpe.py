@@ -34,7 +34,7 @@ from quernstone.llm.common import bounded_batches, columns_of, documents, id_and
 #: The vocabulary of the query; a parameter of everything else.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: States of a transducer, kept pairs of tokens, and words with their tokens, before they are dropped and made again.
-STATES, PAIRS, WORDS = 120_000, 500_000, 200_000
+STATES, PAIRS, WORDS = 400_000, 500_000, 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -205,14 +205,16 @@ class Utf8Machine:
     The state is (bytes still to come, bits so far, least and greatest next byte).
     """
 
+    START = (0, 0, 0x80, 0xBF)
+
     def __init__(self, tokens: dict[int, bytes]):
         self.tokens, self.known = tokens, {}
-        self.state: tuple[int, int, int, int] = (0, 0, 0x80, 0xBF)
+        self.state: tuple[int, int, int, int] = self.START
 
     @staticmethod
     def step(state: tuple[int, int, int, int], byte: int) -> tuple[tuple[int, int, int, int], str]:
         left, bits, low, high = state
-        done = (0, 0, 0x80, 0xBF)
+        done = Utf8Machine.START
         if left:
             if not low <= byte <= high:
                 after, text = Utf8Machine.step(done, byte)
@@ -243,7 +245,7 @@ class Utf8Machine:
         return made[1]
 
     def finish(self) -> str:
-        left, self.state = self.state[0], (0, 0, 0x80, 0xBF)
+        left, self.state = self.state[0], self.START
         return "�" if left else ""
 
 
@@ -254,6 +256,13 @@ class Codec:
         self.vocabulary = Vocabulary(ranks)
         self.transducer = Transducer(self.vocabulary)
         self.pieces = regex.compile(pattern)
+        self.machine = Utf8Machine(self.vocabulary.bytes)
+        self.whole: dict[int, str] = {}
+        for i in self.vocabulary.bytes:
+            text = self.machine.feed(i)
+            if self.machine.state == Utf8Machine.START and "\ufffd" not in text:
+                self.whole[i] = text
+            self.machine.finish()
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
@@ -273,10 +282,11 @@ class Codec:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        machine = Utf8Machine(self.vocabulary.bytes)
-        machine.known = self.__dict__.setdefault("decoding", {})
-        feed = machine.feed
-        return "".join([feed(i) for i in ids]) + machine.finish()
+        try:  # most texts are made of tokens that hold whole characters: the machine is at its start after each
+            return "".join([self.whole[i] for i in ids])
+        except KeyError:
+            feed = self.machine.feed
+            return "".join([feed(i) for i in ids]) + self.machine.finish()
 
 
 @functools.cache

@@ -64,10 +64,14 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def sent_if_few(table: DataFrame) -> DataFrame:
+    """A written table of ids, broadcast if it has few rows; else a join shuffles both sides."""
+    return F.broadcast(table) if table.count() <= SENT_IDS else table
+
+
 def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs with one of these doc_ids; ids go to every task if they are few, else both sides are shuffled."""
-    ids = written(ids.select("doc_id").distinct(), "ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi")
+    """The rows of docs with one of these doc_ids."""
+    return docs.join(sent_if_few(written(ids.select("doc_id").distinct(), "ids")), "doc_id", "left_semi")
 
 
 def spread(spark: SparkSession) -> int:

@@ -6,9 +6,10 @@
    the same prefix and size collapse into one group, and a group's prefix is posted once per task.
 3. Shingles in the prefixes of two groups or more are the only ones that stay. Group pairs pass a size and a position
    filter before they are expanded to members, and members are verified on their whole sets.
-4. Copies never become all pairs. Two rounds verify members of a shingle's bucket with one of them only (a star), and
-   links found contract to components; the last round then takes every pair of groups whose members lie in different
-   components, so that no link between components is missed. Equal sets are one member throughout.
+4. Copies never become all pairs. Two rounds verify the members of a shingle's bucket with one of them only (a star),
+   and links found contract to components. Shingles whose members all hang together are done with; the last round
+   takes every pair of groups whose members lie in different components, so that no link between components is
+   missed. Equal sets are one member throughout.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; fewer than five
 words make one shingle; repeated rows and rows that share a doc_id are one node; a row without doc_id keeps a null
@@ -18,15 +19,16 @@ component_id; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import WordHash, bounded_batches, columns_of, documents, grams, id_and_text, mixed, signed, written
+from quernstone.llm.common import WordHash, bounded_batches, columns_of, documents, grams, id_and_text, mixed, sent_if_few, signed, spread, with_ids, written
 from quernstone.llm.components import components
 
 #: Words of a shingle; two documents link at a similarity of NUM / DEN or more.
@@ -34,20 +36,20 @@ WORDS, NUM, DEN = 5, 3, 4
 #: Shingles that the global order knows as frequent: a bound of what is broadcast (16 bytes each), never of what is joined.
 FREQUENT = 200_000
 #: Shingles of one task that are counted together.
-COUNTED = 4_000_000
-#: Rounds of stars before the exact round.
-STARS = 2
+COUNTED = 2_000_000
 
 
 def shingles(text: str, hashed: WordHash) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    codes = hashed(words)
-    if len(words) < WORDS:
-        return mixed(grams(codes, len(words)) + np.uint64(len(words)))
-    return np.unique(grams(codes, WORDS))
+    codes = hashed(text.encode("utf-8", "surrogatepass").lower())
+    if len(codes) < WORDS:
+        return mixed(grams(codes, len(codes)) + np.uint64(len(codes))) if len(codes) else codes
+    return distinct(grams(codes, WORDS))
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def prefix_size(n: int) -> int:
@@ -81,14 +83,23 @@ class Order:
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
         by = np.argsort(hashes)
         self.hashes, self.counts = hashes[by], counts[by]
+        #: By the lowest 20 bits: whether a frequent shingle has them. Most shingles are told apart by this alone.
+        self.low = np.zeros(1 << 20, dtype=bool)
+        self.low[hashes & np.uint64(0xFFFFF)] = True
 
     def prefix(self, s: np.ndarray) -> np.ndarray:
         p = prefix_size(len(s))
-        if not len(self.hashes):
+        maybe = np.flatnonzero(self.low[s & np.uint64(0xFFFFF)])
+        if not len(maybe):
             return s[:p]
-        at = np.minimum(np.searchsorted(self.hashes, s), len(self.hashes) - 1)
-        n = np.where(self.hashes[at] == s, self.counts[at], 0)
-        return s[np.lexsort((s, n))[:p]]
+        at = np.minimum(np.searchsorted(self.hashes, s[maybe]), len(self.hashes) - 1)
+        hit = self.hashes[at] == s[maybe]
+        frequent = maybe[hit]
+        rare = np.delete(s, frequent)
+        if len(rare) >= p:
+            return rare[:p]
+        by = np.argsort(self.counts[at[hit]], kind="stable")
+        return np.concatenate([rare, s[frequent[by]][: p - len(rare)]])
 
 
 def _described(batches: Iterator[pa.RecordBatch], order, postings: bool) -> Iterator[pa.RecordBatch]:
@@ -116,10 +127,10 @@ def _described(batches: Iterator[pa.RecordBatch], order, postings: bool) -> Iter
                 rows.append((group, len(s), len(p)))
         if postings:
             k = [r[2] for r in rows]
-            group, n = (np.repeat(np.array([r[c] for r in rows], dtype=np.int64), k) for c in (0, 1))
+            group = np.repeat(np.array([r[0] for r in rows], dtype=np.int64), k)
             at = np.concatenate([np.arange(x) for x in k]) if k else np.empty(0)
             token = signed(np.concatenate(tokens)) if k else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(group), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))], names=["token", "grp", "n", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(group), pa.array(at.astype(np.int32))], names=["token", "grp", "at"])
         else:
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "n_shingles", "grp", "f1", "f2"])
@@ -143,21 +154,33 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in stay], pa.int64()) for c in (a, b)], names=["a", "b"])
 
 
-def _fits(n: str, m: str) -> F.Column:
+def _fits(n: str, m: str) -> Column:
     """Sizes that can reach the similarity."""
     return (DEN * F.least(n, m) >= NUM * F.greatest(n, m))
 
 
-def _reaches(n: str, i: str, m: str, j: str) -> F.Column:
+def _reaches(n: str, i: str, m: str, j: str) -> Column:
     """Sets of n and m that share the shingles at i and j can have the overlap that the similarity asks for."""
     most = F.least(i, j) + 1 + F.least(F.col(n) - F.col(i) - 1, F.col(m) - F.col(j) - 1)
     return (NUM + DEN) * most >= NUM * (F.col(n) + F.col(m))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return written(pairs.join(x, "a").join(y, "b").mapInArrow(_linked, "a long, b long"), "links")
+class Sets:
+    """The shingle sets of the documents that may link, bucketed by doc_id, so that a join on it moves only the pairs."""
+
+    def __init__(self, rows: DataFrame):
+        self.spark, self.name = rows.sparkSession, f"shingle_sets_{uuid.uuid4().hex}"
+        n = spread(self.spark)
+        rows.repartition(n, "doc_id").write.bucketBy(n, "doc_id").sortBy("doc_id").format("parquet").option("compression", "zstd").saveAsTable(self.name)
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        sets = self.spark.table(self.name)
+        x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
+        y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+        return written(pairs.join(x, "a").join(y, "b").mapInArrow(_linked, "a long, b long"), "links")
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def described(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -171,71 +194,81 @@ def described(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = written(plain.mapInArrow(partial(_described, order=order, postings=False), "doc_id long, n_shingles long, grp long, f1 long, f2 long"), "sets")
     members = written(rows.filter("doc_id is not null and f1 is not null").groupBy("grp", "n_shingles", "f1", "f2").agg(F.min("doc_id").alias("node")), "members")
 
-    posts = plain.filter("doc_id is not null").mapInArrow(partial(_described, order=order, postings=True), "token long, grp long, n int, at int")
+    posts = plain.filter("doc_id is not null").mapInArrow(partial(_described, order=order, postings=True), "token long, grp long, at int")
     shared = _shared(posts)
-    same = members.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("grp")
-    node = members.select("grp", "node")
-    wanted = node.join(shared.select("grp").unionByName(same).distinct(), "grp", "left_semi").select(F.col("node").alias("doc_id"))
-    found = plain.join(wanted.distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary")
-    sets = written(found, "shingles")
-
-    # Buckets of a shingle, and of a group itself (members of a group share its whole prefix).
-    own = node.join(same, "grp", "left_semi").join(members.groupBy("grp").agg(F.first("n_shingles").cast("int").alias("n")), "grp").select(F.xxhash64("grp").alias("token"), "grp", "n", F.lit(0).alias("at")).distinct()
-    posted = written(shared.unionByName(own), "posted")
-    weight = posted.groupBy("grp").agg((F.count(F.lit(1)) / F.first("n")).alias("w"))
-    posted = written(posted.join(weight, "grp"), "weighed")
-    links, comp = None, None
-    for turn in range(STARS):
-        pairs = _stars(posted, node, comp, turn)
-        new = _verified(pairs, sets)
-        links = new if links is None else links.unionByName(new)
+    size = members.groupBy("grp").agg(F.max("n_shingles").cast("int").alias("n"), F.count(F.lit(1)).alias("k"))
+    groups = written(shared.groupBy("grp").agg(F.count(F.lit(1)).alias("posts")).join(size, "grp", "right").filter("posts is not null or k > 1").select("grp", "n", "k", (F.coalesce("posts", F.lit(0)) / F.col("n")).alias("w")), "groups")
+    nodes = written(members.select("grp", "node").join(groups, "grp"), "nodes")
+    sets = Sets(with_ids(plain, nodes.select(F.col("node").alias("doc_id"))).mapInArrow(_sets, "doc_id long, shingles binary"))
+    try:
+        links = sets.verified(_hubs(shared, nodes))
+        comp = written(components(links), "components")
+        live = _open(shared.select("token", "grp", "at").unionByName(_own(groups)), nodes, comp)
+        links = links.unionByName(sets.verified(_stars(live)))
         comp = written(components(links), "components")
-    cross = _crossing(posted, node, comp)
-    return rows, links.unionByName(_verified(cross, sets))
+        live = _open(live.select("token", "grp", "at").distinct(), nodes, comp)
+        links = links.unionByName(sets.verified(_crossing(live)))
+    finally:
+        sets.close()
+    return rows, links
 
 
 def _shared(posts: DataFrame) -> DataFrame:
-    """The postings of shingles that two groups or more have, one for each task that saw the group at most."""
+    """The postings of shingles that two groups or more have, each with one of these as its hub."""
     w = Window.partitionBy("token")
-    wide = posts.withColumn("lo", F.min("grp").over(w)).withColumn("hi", F.max("grp").over(w)).filter("lo < hi")
-    return written(wide.select("token", "grp", "n", "at").distinct(), "shared")
+    wide = posts.withColumn("hub", F.min("grp").over(w)).withColumn("hi", F.max("grp").over(w)).filter("hub < hi")
+    return written(wide.select("token", "grp", "at", "hub").distinct(), "shared")
+
 
+def _own(groups: DataFrame) -> DataFrame:
+    """A posting of its own for each group of several members: they share its whole prefix."""
+    return groups.filter("k > 1").select(F.xxhash64("grp").alias("token"), "grp", F.lit(0).alias("at"))
 
-def _with_component(node: DataFrame, comp: DataFrame | None) -> DataFrame:
-    if comp is None:
-        return node.withColumn("c", F.col("node"))
-    return node.join(comp, "node", "left").select("grp", "node", F.coalesce("component", "node").alias("c"))
+
+def _pair(x: str, y: str) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def _hubs(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The first stars: members with a member of each hub that they share a shingle with, or of their own group."""
+    one = nodes.groupBy("grp").agg(F.min("node").alias("hub_node"), F.max("n").alias("hub_n"))
+    pairs = shared.filter("grp <> hub").select("grp", "hub").distinct().join(nodes, "grp").join(one.withColumnRenamed("grp", "hub"), "hub").filter(_fits("n", "hub_n"))
+    own = nodes.filter("k > 1").join(one.select("grp", "hub_node"), "grp").filter("node <> hub_node")
+    return pairs.select(*_pair("node", "hub_node")).unionByName(own.select(*_pair("node", "hub_node"))).distinct()
+
+
+def _open(posted: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:
+    """The postings, by member with its component, of shingles whose members don't all hang together yet."""
+    known = written(nodes.join(comp, "node", "left").select("grp", "node", "n", "w", F.coalesce("component", "node").alias("c")), "placed")
+    w = Window.partitionBy("token")
+    wide = posted.join(sent_if_few(known), "grp").withColumn("lo", F.min("c").over(w)).withColumn("hi", F.max("c").over(w))
+    return written(wide.filter("lo < hi").drop("lo", "hi"), "open")
 
 
-def _stars(posted: DataFrame, node: DataFrame, comp: DataFrame | None, turn: int) -> DataFrame:
-    """For each shingle and range of sizes, the pairs of one member with the others, unless they hang together already."""
-    klass = F.floor(F.log(F.col("n") + F.lit(0.5)) / F.log(F.lit(DEN / NUM)) + F.lit(turn / STARS))
-    full = posted.join(_with_component(node, comp), "grp").withColumn("k", klass)
-    by = F.col("w") if not turn else F.xxhash64("c", F.lit(turn)).cast("double")
-    hub = full.groupBy("token", "k").agg(F.max(F.struct(by.alias("by"), F.col("node").alias("hub"), F.col("c").alias("hub_c"), F.col("n").alias("hub_n"), F.col("at").alias("hub_at"))).alias("x")).select("token", "k", "x.*")
-    near = full.join(hub, ["token", "k"]).filter((F.col("hub") != F.col("node")) & (F.col("hub_c") != F.col("c")) & _fits("n", "hub_n") & _reaches("n", "at", "hub_n", "hub_at"))
-    return near.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+def _stars(live: DataFrame) -> DataFrame:
+    """The second stars: for each shingle and range of sizes, the member with the largest part of shared shingles."""
+    full = live.withColumn("range", F.floor(F.log(F.col("n") + F.lit(0.5)) / F.log(F.lit(DEN / NUM))))
+    best = F.max(F.struct("w", F.col("node").alias("hub"), F.col("c").alias("hub_c"), F.col("n").alias("hub_n"), F.col("at").alias("hub_at")))
+    hub = full.groupBy("token", "range").agg(best.alias("x")).select("token", "range", "x.hub", "x.hub_c", "x.hub_n", "x.hub_at")
+    near = full.join(hub, ["token", "range"]).filter((F.col("hub_c") != F.col("c")) & _fits("n", "hub_n") & _reaches("n", "at", "hub_n", "hub_at"))
+    return near.select(*_pair("hub", "node")).distinct()
 
 
-def _crossing(posted: DataFrame, node: DataFrame, comp: DataFrame) -> DataFrame:
+def _crossing(live: DataFrame) -> DataFrame:
     """Every pair of members that share a prefix shingle, may be similar and lie in different components.
 
-    Shingles whose members all hang together go first; the rest is joined by shingle and component, so that the pairs
-    within a component are never made.
+    Shingles are joined with the pairs of components that meet there, so the pairs within a component are never made;
+    pairs of groups pass the filters before they are expanded to members.
     """
-    nodes = _with_component(node, comp)
-    full = posted.join(nodes, "grp")
-    open_ = full.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token")
-    live = written(full.join(open_, "token", "left_semi").select("token", "c", "grp", "n", "at").distinct(), "live")
-    sides = live.groupBy("token", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    groups = live.select("token", "c", "grp", "n", "at").distinct()
+    sides = groups.groupBy("token", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     x, y = (sides.select("token", *[F.col(k).alias(f"{k}_{s}") for k in ("c", "least", "most")]) for s in "xy")
     apart = x.join(y, "token").filter((F.col("c_x") < F.col("c_y")) & (DEN * F.col("most_x") >= NUM * F.col("least_y")) & (DEN * F.col("most_y") >= NUM * F.col("least_x")))
-    p, q = (live.select("token", *[F.col(k).alias(f"{k}_{s}") for k in ("c", "grp", "n", "at")]) for s in "xy")
-    groups = apart.select("token", "c_x", "c_y").join(p, ["token", "c_x"]).join(q, ["token", "c_y"]).filter(_fits("n_x", "n_y") & _reaches("n_x", "at_x", "n_y", "at_y"))
-    groups = groups.select("grp_x", "grp_y", "c_x", "c_y").distinct()
-    u, v = (nodes.select(F.col("grp").alias(f"grp_{s}"), F.col("c").alias(f"c_{s}"), F.col("node").alias(k)) for s, k in (("x", "p"), ("y", "q")))
-    pairs = groups.join(u, ["grp_x", "c_x"]).join(v, ["grp_y", "c_y"])
-    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    p, q = (groups.select("token", *[F.col(k).alias(f"{k}_{s}") for k in ("c", "grp", "n", "at")]) for s in "xy")
+    met = apart.select("token", "c_x", "c_y").join(p, ["token", "c_x"]).join(q, ["token", "c_y"]).filter(_fits("n_x", "n_y") & _reaches("n_x", "at_x", "n_y", "at_y"))
+    member = live.select("grp", "c", "node").distinct()
+    u, v = (member.select(F.col("grp").alias(f"grp_{s}"), F.col("c").alias(f"c_{s}"), F.col("node").alias(k)) for s, k in (("x", "p"), ("y", "q")))
+    return met.select("grp_x", "grp_y", "c_x", "c_y").distinct().join(u, ["grp_x", "c_x"]).join(v, ["grp_y", "c_y"]).select(*_pair("p", "q")).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
