@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quernstone.llm import bpe, decontaminate, html_text, jaccard, licenses, line_dedup, quality, substrings
+from quernstone.llm import bpe, decontaminate, html_text, jaccard, language, licenses, line_dedup, quality, secrets, substrings
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -13,6 +13,8 @@ QUERIES = {
     "op4_html_extraction": html_text.op4_html_extraction,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_substring_dedup": substrings.op6_substring_dedup,
+    "op7_language_id": language.op7_language_id,
+    "op8_secret_scan": secrets.op8_secret_scan,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "pipeline": corpus_pipeline.run,
 }
