@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quernstone.plans import assessment, rule_queries
+
 FLAGSHIP = "assessment"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"assessment": assessment.assessment, **rule_queries.QUERIES}
+ORACLES: dict[str, str] = {"assessment": assessment.ORACLE_ASSESSMENT, **rule_queries.ORACLES}
