@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.plans import assessment, rule_queries
+from quernstone.operators import graph, relational, spans
+from quernstone.plans import assessment, rule_queries, text_queries
 
 FLAGSHIP = "assessment"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"assessment": assessment.assessment, **rule_queries.QUERIES}
-ORACLES: dict[str, str] = {"assessment": assessment.ORACLE_ASSESSMENT, **rule_queries.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"assessment": assessment.assessment}
+ORACLES: dict[str, str] = {"assessment": assessment.ORACLE_ASSESSMENT}
+for _module in (rule_queries, relational, graph, spans, text_queries):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
