@@ -15,7 +15,7 @@ KEY_LENGTH = 40
 
 def sentences(text: Column) -> Column:
     """Pieces of a text, each up to and with a sentence end or line break; trimmed, empty ones left out."""
-    return F.filter(F.transform(F.split(text, rf"(?<=[{ENDS}])|\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(text, f"([{ENDS}])", "$1\n"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def coalesced(pieces: Column, least: int = 8) -> Column:
