@@ -323,8 +323,11 @@ def decoded(tokens: DataFrame, vocabulary: str = VOCABULARY, pattern: str | None
     return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(rows, "doc_id long, text string")
 
 
-def digests(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoding, and decoding of those ids, in one pass."""
+def digests(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str | None = None, lasting: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoding, and decoding of those ids, in one pass.
+
+    lasting: workers keep their states for the next task; else they give the memory back after each.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
@@ -337,6 +340,11 @@ def digests(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str | None =
                 a.append(hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest())
                 b.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        if not lasting:
+            c = None
+            codec.cache_clear()
+            gc.enable()
+            gc.collect()
 
     bounded_batches(docs.sparkSession)
     return id_and_text(docs).mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -354,7 +362,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encode_kept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: the digests of what the pipeline keeps."""
-    return digests(docs)
+    return digests(docs, lasting=False)
 
 
 def round_trip(docs: DataFrame) -> Column:
