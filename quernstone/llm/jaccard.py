@@ -33,8 +33,9 @@ from quernstone.llm.components import components
 
 #: Words of a shingle; two documents link at a similarity of NUM / DEN or more.
 WORDS, NUM, DEN = 5, 3, 4
-#: Shingles that the global order knows as frequent: a bound of what is broadcast (16 bytes each), never of what is joined.
-FREQUENT = 200_000
+#: Shingles that the global order knows as frequent: a bound of what is broadcast (24 bytes each), never of what is joined.
+FREQUENT = 1_000_000
+LOW = (1 << 23) - 1
 #: Shingles of one task that are counted together.
 COUNTED = 2_000_000
 
@@ -83,13 +84,13 @@ class Order:
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
         by = np.argsort(hashes)
         self.hashes, self.counts = hashes[by], counts[by]
-        #: By the lowest 20 bits: whether a frequent shingle has them. Most shingles are told apart by this alone.
-        self.low = np.zeros(1 << 20, dtype=bool)
-        self.low[hashes & np.uint64(0xFFFFF)] = True
+        #: By the lowest bits: whether a frequent shingle has them. Most shingles are told apart by this alone.
+        self.low = np.zeros(LOW + 1, dtype=bool)
+        self.low[hashes & np.uint64(LOW)] = True
 
     def prefix(self, s: np.ndarray) -> np.ndarray:
         p = prefix_size(len(s))
-        maybe = np.flatnonzero(self.low[s & np.uint64(0xFFFFF)])
+        maybe = np.flatnonzero(self.low[s & np.uint64(LOW)])
         if not len(maybe):
             return s[:p]
         at = np.minimum(np.searchsorted(self.hashes, s[maybe]), len(self.hashes) - 1)
@@ -165,6 +166,12 @@ def _reaches(n: str, i: str, m: str, j: str) -> Column:
     return (NUM + DEN) * most >= NUM * (F.col(n) + F.col(m))
 
 
+def _overlaps(k: Column, n: Column, m: Column) -> Column:
+    """Sets of n and m whose prefixes share k shingles can have the overlap: the rest comes from behind one of the prefixes."""
+    behind = F.ceil(NUM * F.greatest(n, m) / DEN) - 1
+    return (NUM + DEN) * (k + behind) >= NUM * (n + m)
+
+
 class Sets:
     """The shingle sets of the documents that may link, bucketed by doc_id, so that a join on it moves only the pairs."""
 
@@ -183,13 +190,25 @@ class Sets:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
+def _least_count(counts: DataFrame) -> int:
+    """The least count that at most FREQUENT shingles reach."""
+    total, least = 0, 1 << 62
+    for n, k in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        total += k
+        if total > FREQUENT:
+            break
+        least = n
+    return least
+
+
 def described(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A row per document with its set's fingerprint; and the links (a, b), enough of them to keep all components whole."""
     spark = docs.sparkSession
     bounded_batches(spark)
     plain = id_and_text(docs)
     counts = plain.select("text").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
+    counts = written(counts, "counts")
+    top = counts.filter(F.col("n") >= _least_count(counts)).toPandas()
     order = spark.sparkContext.broadcast(Order(top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)))
     rows = written(plain.mapInArrow(partial(_described, order=order, postings=False), "doc_id long, n_shingles long, grp long, f1 long, f2 long"), "sets")
     members = written(rows.filter("doc_id is not null and f1 is not null").groupBy("grp", "n_shingles", "f1", "f2").agg(F.min("doc_id").alias("node")), "members")
@@ -268,7 +287,9 @@ def _crossing(live: DataFrame) -> DataFrame:
     met = apart.select("token", "c_x", "c_y").join(p, ["token", "c_x"]).join(q, ["token", "c_y"]).filter(_fits("n_x", "n_y") & _reaches("n_x", "at_x", "n_y", "at_y"))
     member = live.select("grp", "c", "node").distinct()
     u, v = (member.select(F.col("grp").alias(f"grp_{s}"), F.col("c").alias(f"c_{s}"), F.col("node").alias(k)) for s, k in (("x", "p"), ("y", "q")))
-    return met.select("grp_x", "grp_y", "c_x", "c_y").distinct().join(u, ["grp_x", "c_x"]).join(v, ["grp_y", "c_y"]).select(*_pair("p", "q")).distinct()
+    shared = met.groupBy("grp_x", "grp_y", "c_x", "c_y").agg(F.count(F.lit(1)).alias("k"), F.max("n_x").alias("n_x"), F.max("n_y").alias("n_y"))
+    able = shared.filter(_overlaps(F.col("k"), F.col("n_x"), F.col("n_y"))).select("grp_x", "grp_y", "c_x", "c_y")
+    return able.join(u, ["grp_x", "c_x"]).join(v, ["grp_y", "c_y"]).select(*_pair("p", "q")).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
