@@ -33,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import WordHash, bounded_batches, columns_of, documents, grams, id_and_text, long_gram, mixed, signed, spread, written
+from quernstone.llm.common import WordHash, bounded_batches, columns_of, documents, grams, id_and_text, long_gram, mixed, signed, spread, with_ids, written
 
 #: Words of a window, of the phrases that stand for it, of an automaton's pattern, and of a passage's pieces at most.
 WINDOW, PHRASE, BLOCK, PIECE = 50, 10, 25, 1000
 #: The bit table: 2^PARTS parts of 2^PART_BITS bits; two bits for each phrase.
 PARTS, PART_BITS = 7, 20
 #: Words of the documents of a shard, about.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 400_000
 
 SCANNED = "doc_id long, n_words long, sha string, text string, starts array<int>, hashes array<long>"
 
@@ -195,12 +195,17 @@ class Shard:
         return gone
 
 
-def _streamed(_, docs: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame:
-    shard = Shard([((o, p), w) for o, p, w in zip(passages["owner"], passages["piece"], passages["words"], strict=True)])
+def _streamed(_, docs: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+    """A shard's documents through its automaton. sent: passages, and without words, the pieces that a document may hold."""
+    is_key = sent["words"].isna()
+    keys: dict[int, set[tuple[int, int]]] = {}
+    for i, o, p in sent.loc[is_key, ["doc_id", "owner", "piece"]].itertuples(index=False, name=None):
+        keys.setdefault(int(i), set()).add((o, p))
+    shard = Shard([((o, p), w) for o, p, w in sent.loc[~is_key, ["owner", "piece", "words"]].itertuples(index=False, name=None)])
     out = []
-    for i, text, keys in zip(docs["doc_id"], docs["text"], docs["keys"], strict=True):
+    for i, text in zip(docs["doc_id"], docs["text"], strict=True):
         data = text.encode("utf-8", "surrogatepass")
-        gone = shard.covered(shard.hashed(data), {(k["owner"], k["piece"]) for k in keys})
+        gone = shard.covered(shard.hashed(data), keys.get(int(i), set()))
         out.append((i, int(gone.sum()), digest([w for w, g in zip(data.split(), gone.tolist(), strict=True) if not g])))
     return pd.DataFrame(out, columns=["doc_id", "n_removed", "kept"])
 
@@ -219,14 +224,16 @@ def removed(docs: DataFrame) -> DataFrame:
 
     routes = windows.select("doc_id", "h").join(confirmed.select("h", "owner", "piece"), "h").filter("owner < doc_id").select("doc_id", "owner", "piece").distinct()
     n = int(live.agg(F.sum("n_words")).first()[0] or 0)
-    shards = max(1, -(-n // SHARD_WORDS))
-    routes = written(routes.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")), "routes")
+    shard = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // SHARD_WORDS)))).cast("int").alias("shard")
+    routes = written(routes.select(shard, "doc_id", "owner", "piece"), "routes")
 
-    own = confirmed.groupBy("owner", "piece").agg(F.collect_set("at").alias("at"))
     texts = live.select("doc_id", "text")
-    passages = own.join(texts.withColumnRenamed("doc_id", "owner"), "owner").mapInArrow(_passages, "owner long, piece int, words binary")
-    sent = written(routes.select("shard", "owner", "piece").distinct().join(passages, ["owner", "piece"]), "sent")
-    todo = texts.join(routes.groupBy("doc_id", "shard").agg(F.collect_list(F.struct("owner", "piece")).alias("keys")), "doc_id")
+    own = confirmed.groupBy("owner", "piece").agg(F.collect_set("at").alias("at"))
+    owners = with_ids(texts, confirmed.select(F.col("owner").alias("doc_id"))).withColumnRenamed("doc_id", "owner")
+    passages = own.join(owners, "owner").mapInArrow(_passages, "owner long, piece int, words binary")
+    dealt = routes.select("shard", "owner", "piece").distinct().join(passages, ["owner", "piece"]).withColumn("doc_id", F.lit(None).cast("long"))
+    sent = written(dealt.unionByName(routes.withColumn("words", F.lit(None).cast("binary"))), "sent")
+    todo = with_ids(texts, routes).select(shard, "doc_id", "text")
     result = todo.groupBy("shard").cogroup(sent.groupBy("shard")).applyInPandas(_streamed, "doc_id long, n_removed long, kept string")
     cut = written(result, "cut").dropDuplicates(["doc_id"])
     return all_.select("doc_id", "n_words", "sha").join(cut, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"))
