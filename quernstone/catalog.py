@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.operators import graph, lifecycle, relational, similarity, spans
+from quernstone.operators import graph, lifecycle, relational, similarity, spans, tables
 from quernstone.plans import assessment, rule_queries, text_queries
+from quernstone.sources import scans
 from quernstone.streaming import changes
 
 FLAGSHIP = "assessment"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"assessment": assessment.assessment}
 ORACLES: dict[str, str] = {"assessment": assessment.ORACLE_ASSESSMENT}
-for _module in (rule_queries, relational, graph, spans, text_queries, similarity, lifecycle, changes):
+for _module in (rule_queries, relational, graph, spans, text_queries, similarity, lifecycle, changes, scans, tables):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -39,7 +39,7 @@ def row_segment(headers: list[str], cells: list[Column]) -> tuple[Column, Column
 
 def cell_of(span_start: Column, span_end: Column, cells: Column) -> Column:
     """The first cell that holds a span whole."""
-    return F.filter(cells, lambda c: (c["start"] <= span_start) & (span_end <= c["end"]))[0]["col"]
+    return F.get(F.filter(cells, lambda c: (c["start"] <= span_start) & (span_end <= c["end"])), F.lit(0))["col"]
 
 
 def elementary(runs: Column, spans: Column) -> Column:
