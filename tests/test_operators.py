@@ -76,3 +76,17 @@ def test_empty_tables(spark):
     assert changes.accepted(none).count() == 0
     assert graph.ancestors(spark.createDataFrame([], "child string, parent string")).count() == 0
     assert relational.latest(none, "entity_id", ["version", "seq"]).count() == 0
+
+
+def test_ntriples_round_trip(spark, tmp_path):
+    from quernstone.sources import scans
+
+    rows = [("http://a", "p", 'b "q" \\ x', "literal", "http://dt", None), ("_:b1", "p", "http://c", "iri", None, None), ("http://a", "q", "_:b1", "bnode", None, None), ("http://a", "l", "été", "literal", None, "fr")]
+    d = spark.createDataFrame(rows, "s string, p string, o string, o_kind string, o_datatype string, o_lang string")
+    scans.write_ntriples(d, str(tmp_path / "nt"))
+    assert sorted(map(str, scans.ntriples(spark, str(tmp_path / "nt")).collect())) == sorted(map(str, d.collect()))
+
+
+def test_cell_of_a_span_outside_all_cells(spark):
+    d = spark.createDataFrame([([(0, 2, 5)], 9, 10), ([(0, 2, 5)], 2, 5)], "c array<struct<col:int,start:int,end:int>>, a int, b int")
+    assert [r[0] for r in d.select(spans.cell_of(F.col("a"), F.col("b"), F.col("c"))).collect()] == [None, 0]
