@@ -158,7 +158,7 @@ def facts(individuals: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def assessed(individuals: DataFrame, requests: DataFrame, criteria: list = CRITERIA, rule_set: list[Rule] = RULES, restrictive: bool = True) -> DataFrame:
-    """case_id, rule_ids, requires_dedication, risk_level, scenarios (sorted), maco and its method."""
+    """case_id, rule_ids, requires_dedication, risk_level, scenarios, classes_added, maco and its method; arrays are sorted."""
     d = rules.classify(facts(individuals, requests), criteria)
     d = d.withColumns({"_d": rules.fired(rule_set, "dedication"), "_s": rules.fired(rule_set, "scenario")})
     plain = ("classes", "relations", "data_values", "alignments")
@@ -168,22 +168,29 @@ def assessed(individuals: DataFrame, requests: DataFrame, criteria: list = CRITE
     hits = [F.when(F.col("has_equipment") & rules.holds(rules.compiled(r.pattern, f"_f{i}.")), F.struct(F.lit(r.key).alias("rule"), F.lit(r.consequent["level"]).alias("level"))) for i in range(len(PATHWAYS)) for r in own]
     tdd = F.coalesce(F.nullif(F.col("tdd"), F.lit(0.0)), F.lit(DOSE))
     best = F.when(F.col("pde") > 0, numeric.maco(numeric.maco_methods(F.lit(BATCH), tdd, F.col("pde"), F.col("dose"), F.col("ld50"), F.col("route"))))
-    d = d.select("case_id", F.concat("criteria_fired", "_d.rule", "_s.rule").alias("fired"), rules.dedication(F.col("_d.dedicated"), restrictive).alias("dedicated"), F.col("_s.scenario").alias("scenarios"), F.array_compact(F.array(*hits)).alias("hits"), best.alias("best"))
-    one = d.groupBy("case_id").agg(F.any_value("fired").alias("fired"), F.any_value("dedicated").alias("dedicated"), F.any_value("scenarios").alias("scenarios"), F.any_value("best").alias("best"), F.flatten(F.collect_list("hits")).alias("hits"))
+    added = F.array_compact(F.array(*[F.when(F.array_contains("criteria_fired", k), F.lit(c)) for k, _, c in criteria]))
+    d = d.select("case_id", added.alias("added"), F.concat("criteria_fired", "_d.rule", "_s.rule").alias("fired"), rules.dedication(F.col("_d.dedicated"), restrictive).alias("dedicated"), F.col("_s.scenario").alias("scenarios"), F.array_compact(F.array(*hits)).alias("hits"), best.alias("best"))
+    one = d.groupBy("case_id").agg(F.any_value("fired").alias("fired"), F.any_value("added").alias("added"), F.any_value("dedicated").alias("dedicated"), F.any_value("scenarios").alias("scenarios"), F.any_value("best").alias("best"), F.flatten(F.collect_list("hits")).alias("hits"))
     return one.select(
         "case_id",
         F.array_sort(F.concat("fired", "hits.rule")).alias("rule_ids"),
         F.col("dedicated").alias("requires_dedication"),
         rules.highest(F.col("hits.level"), LATTICE).alias("risk_level"),
         F.array_sort("scenarios").alias("scenarios"),
+        F.array_sort("added").alias("classes_added"),
         F.col("best.value").alias("maco"),
         F.col("best.method").alias("maco_method"),
     )
 
 
+#: Words of hazards that ask for a signature, in scenarios and in the names of classes that criteria add.
+HAZARD_CLASSES = "penicillin|cephalosporin|hormonal|sensitiz|highactivity|highpotency"
+HAZARDS = "penicillin|青霉|cephalosporin|头孢|sensitiz|致敏|hazard|hormonal"
+
+
 def needs_signature(result: DataFrame) -> DataFrame:
-    """A quality signature is asked for at high risk, dedication, or a scenario of a hazard."""
-    hazard = F.exists("scenarios", lambda s: F.lower(s).rlike("cytotoxic|penicillin|hormonal|biologic"))
+    """A quality signature is asked for at high risk, dedication, or a scenario or class of a hazard."""
+    hazard = F.exists("scenarios", lambda s: F.lower(s).rlike(HAZARDS)) | F.exists("classes_added", lambda c: F.lower(c).rlike(HAZARD_CLASSES))
     return result.withColumn("requires_signature", (F.col("risk_level") == "HighRisk") | F.col("requires_dedication") | hazard)
 
 
@@ -237,7 +244,7 @@ def golden_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
 EXPECTED = (
     ("dc1_genotoxic_cytotoxic", "R-DC1,R-SCe", False, "LowRisk", "HormonalCytotoxicHighPotencyScenario", None, None, True),
     ("dc2_oeb4_highactivity", "R-DC2,R-SCe", False, "LowRisk", "HormonalCytotoxicHighPotencyScenario", None, None, True),
-    ("dc3_sensitization_high", "R-DC3", False, "LowRisk", "", None, None, False),
+    ("dc3_sensitization_high", "R-DC3", False, "LowRisk", "", None, None, True),
     ("dc3_sensitization_below", "", False, "LowRisk", "", None, None, False),
     ("dc3_sensitization_absent", "", False, "LowRisk", "", None, None, False),
     ("dc4_betalactam", "R-DC4", False, "LowRisk", "", None, None, False),

@@ -94,3 +94,24 @@ def test_derivation_of_bands(spark):
     floor = numeric.floor_band(*ends)
     got = [tuple(r) for r in d.select(dose, point, floor, numeric.recommended_band(point, floor, *ends)).collect()]
     assert got == [(200.0, 3, None, 4), (200.0, 3, 5, 5), (200.0, 3, None, 3), (None, None, None, None)]
+
+
+def test_shared_line_matrix_and_edges(spark):
+    from quernstone.plans import shared_line as S
+
+    individuals, requests = S.matrix(spark)
+    got = {r.case_id: r for r in S.assessed(individuals, requests).collect()}
+    assert len(got) == len(S.CASES)
+    for case, ids, dedicated, risk, scenarios, *_ in S.EXPECTED:
+        r = got[case]
+        assert (",".join(r.rule_ids), r.requires_dedication, r.risk_level, ",".join(r.scenarios)) == (ids, dedicated, risk, scenarios)
+    # an ingredient that is missing, and two pieces of equipment that disagree
+    odd = spark.createDataFrame([("d", ["http://x/DrugProduct"], {"hasActiveIngredient": ("gone", None, None, None), "dosageForm": (None, "powder", None, None)}), ("e1", [], {"isInCleanArea": (None, "true", None, None)}), ("e2", [], {})], S.INDIVIDUAL)
+    asked = spark.createDataFrame([("a", "d", ["e1", "e2"]), ("b", "d", ["e1"]), ("c", "d", None), ("x", "unknown", [])], S.REQUEST)
+    assert {r.case_id: (r.risk_level, r.rule_ids) for r in S.assessed(odd, asked).collect()} == {"a": ("HighRisk", ["R-CP2"]), "b": ("LowRisk", []), "c": ("LowRisk", [])}
+    # the permissive policy: an explicit False vetoes
+    assert S.assessed(individuals, requests, restrictive=False).filter("case_id = 'cytotoxic_noninactivatable_dedicate'").first().requires_dedication is True
+    # an aligned ingredient makes a hormonal product
+    horm = spark.createDataFrame([("d", ["http://x/DrugProduct"], {"hasActiveIngredient": ("i", None, None, None)}), ("i", [S.HORMONE], {})], S.INDIVIDUAL)
+    r = S.assessed(horm, spark.createDataFrame([("h", "d", [])], S.REQUEST)).first()
+    assert r.rule_ids == ["HormonalDrug-suff", "R-ED6", "R-SCe"]
