@@ -34,7 +34,7 @@ from quernstone.llm.components import components
 #: Words of a shingle; two documents link at a similarity of NUM / DEN or more.
 WORDS, NUM, DEN = 5, 3, 4
 #: Shingles that the global order knows as frequent: a bound of what is broadcast (24 bytes each), never of what is joined.
-FREQUENT = 1_000_000
+FREQUENT = 500_000
 LOW = (1 << 23) - 1
 #: Shingles of one task that are counted together.
 COUNTED = 2_000_000
@@ -160,16 +160,17 @@ def _fits(n: str, m: str) -> Column:
     return (DEN * F.least(n, m) >= NUM * F.greatest(n, m))
 
 
-def _reaches(n: str, i: str, m: str, j: str) -> Column:
-    """Sets of n and m that share the shingles at i and j can have the overlap that the similarity asks for."""
-    most = F.least(i, j) + 1 + F.least(F.col(n) - F.col(i) - 1, F.col(m) - F.col(j) - 1)
-    return (NUM + DEN) * most >= NUM * (F.col(n) + F.col(m))
+def _cap(n: str, at: str) -> Column:
+    """The greatest size of a set that may link with one of n by the shingle at this place of its prefix.
+
+    Sets of n and m with an overlap of a share one of the first n - a + 1 shingles of the one and m - a + 1 of the
+    other, and a is at least 3 (n + m) / 7 where they link.
+    """
+    return F.floor((NUM + DEN) * (F.col(n) - F.col(at)) / NUM) - F.col(n)
 
 
-def _overlaps(k: Column, n: Column, m: Column) -> Column:
-    """Sets of n and m whose prefixes share k shingles can have the overlap: the rest comes from behind one of the prefixes."""
-    behind = F.ceil(NUM * F.greatest(n, m) / DEN) - 1
-    return (NUM + DEN) * (k + behind) >= NUM * (n + m)
+def _reaches(n: str, i: str, m: str, j: str) -> Column:
+    return (F.col(m) <= _cap(n, i)) & (F.col(n) <= _cap(m, j))
 
 
 class Sets:
@@ -208,8 +209,9 @@ def described(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     plain = id_and_text(docs)
     counts = plain.select("text").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     counts = written(counts, "counts")
-    top = counts.filter(F.col("n") >= _least_count(counts)).toPandas()
-    order = spark.sparkContext.broadcast(Order(top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)))
+    top = counts.filter(F.col("n") >= _least_count(counts)).toArrow()
+    order = spark.sparkContext.broadcast(Order(top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()))
+    del top
     rows = written(plain.mapInArrow(partial(_described, order=order, postings=False), "doc_id long, n_shingles long, grp long, f1 long, f2 long"), "sets")
     members = written(rows.filter("doc_id is not null and f1 is not null").groupBy("grp", "n_shingles", "f1", "f2").agg(F.min("doc_id").alias("node")), "members")
 
@@ -280,15 +282,14 @@ def _crossing(live: DataFrame) -> DataFrame:
     pairs of groups pass the filters before they are expanded to members.
     """
     groups = live.select("token", "c", "grp", "n", "at").distinct()
-    sides = groups.groupBy("token", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    x, y = (sides.select("token", *[F.col(k).alias(f"{k}_{s}") for k in ("c", "least", "most")]) for s in "xy")
-    apart = x.join(y, "token").filter((F.col("c_x") < F.col("c_y")) & (DEN * F.col("most_x") >= NUM * F.col("least_y")) & (DEN * F.col("most_y") >= NUM * F.col("least_x")))
+    sides = groups.groupBy("token", "c").agg(F.min("n").alias("least"), F.max(_cap("n", "at")).alias("cap"))
+    x, y = (sides.select("token", *[F.col(k).alias(f"{k}_{s}") for k in ("c", "least", "cap")]) for s in "xy")
+    apart = x.join(y, "token").filter((F.col("c_x") < F.col("c_y")) & (F.col("least_x") <= F.col("cap_y")) & (F.col("least_y") <= F.col("cap_x")))
     p, q = (groups.select("token", *[F.col(k).alias(f"{k}_{s}") for k in ("c", "grp", "n", "at")]) for s in "xy")
     met = apart.select("token", "c_x", "c_y").join(p, ["token", "c_x"]).join(q, ["token", "c_y"]).filter(_fits("n_x", "n_y") & _reaches("n_x", "at_x", "n_y", "at_y"))
     member = live.select("grp", "c", "node").distinct()
     u, v = (member.select(F.col("grp").alias(f"grp_{s}"), F.col("c").alias(f"c_{s}"), F.col("node").alias(k)) for s, k in (("x", "p"), ("y", "q")))
-    shared = met.groupBy("grp_x", "grp_y", "c_x", "c_y").agg(F.count(F.lit(1)).alias("k"), F.max("n_x").alias("n_x"), F.max("n_y").alias("n_y"))
-    able = shared.filter(_overlaps(F.col("k"), F.col("n_x"), F.col("n_y"))).select("grp_x", "grp_y", "c_x", "c_y")
+    able = met.select("grp_x", "grp_y", "c_x", "c_y").distinct()
     return able.join(u, ["grp_x", "c_x"]).join(v, ["grp_y", "c_y"]).select(*_pair("p", "q")).distinct()
 
 

@@ -158,8 +158,8 @@ def learned(docs: DataFrame) -> Net:
     start_at = F.lit(1) + F.pmod(h, F.greatest(F.char_length("text") - WINDOW, F.lit(1))).cast("int")
     n = rows.count()  # about twice SAMPLE rows pass the next filter, whatever the corpus; the limit makes the bound exact
     rows = rows.filter(F.pmod(h, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * SAMPLE / max(n, 1))))
-    some = rows.select(h.alias("by"), "lang", F.substring(F.col("text"), start_at, F.lit(WINDOW)).alias("text")).orderBy("by", "text").limit(SAMPLE).toPandas()
-    return train(some["text"].tolist(), some["lang"].tolist())
+    some = rows.select(h.alias("by"), "lang", F.substring(F.col("text"), start_at, F.lit(WINDOW)).alias("text")).orderBy("by", "text").limit(SAMPLE).toArrow()
+    return train(some["text"].to_pylist(), some["lang"].to_pylist())
 
 
 def predicted(docs: DataFrame, net: Net) -> DataFrame:
