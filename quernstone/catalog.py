@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from quernstone.operators import graph, lifecycle, relational, similarity, spans, tables
 from quernstone.plans import assessment, rule_queries, shared_line, text_queries
 from quernstone.sources import scans
-from quernstone.streaming import changes
+from quernstone.streaming import changes, recompute
 
 FLAGSHIP = "assessment"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"assessment": assessment.assessment}
 ORACLES: dict[str, str] = {"assessment": assessment.ORACLE_ASSESSMENT}
-for _module in (rule_queries, shared_line, relational, graph, spans, text_queries, similarity, lifecycle, changes, scans, tables):
+for _module in (rule_queries, shared_line, relational, graph, spans, text_queries, similarity, lifecycle, changes, recompute, scans, tables):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

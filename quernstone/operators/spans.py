@@ -88,5 +88,18 @@ SELECT c_custkey, concat('name：', c_name, ' | segment：', c_mktsegment, ' | b
   CASE WHEN regexp_matches(c_name, '[0-9]') THEN 0 WHEN regexp_matches(c_mktsegment, '[0-9]') THEN 1 ELSE 2 END AS cell FROM customer
 """
 
-QUERIES = {"span_greedy": span_greedy, "row_segments": row_segments}
-ORACLES = {"row_segments": O_SEGMENTS}
+def inline_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' names and segments as two runs of a text, split where spans of words and digits begin and end."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", "c_mktsegment").alias("t"), F.char_length("c_name").alias("n"))
+    runs = F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end")), F.struct(F.col("n").alias("start"), F.char_length("t").alias("end")))
+    parts = c.select("c_custkey", elementary(runs, matches(F.col("t"), "[0-9]+", "number", 1.0)).alias("p"))
+    return parts.select("c_custkey", F.size("p").alias("n_parts"), F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["start"], x["end"], x["run"], x["span"])), ",").alias("parts"))
+
+
+O_INLINE = """
+SELECT c_custkey, CAST(3 AS INTEGER) AS n_parts, concat('0:', b, ':1:0,', b, ':', n, ':1:1,', n, ':', n + length(c_mktsegment), ':2:0') AS parts
+FROM (SELECT *, length(c_name) AS n, length(regexp_extract(c_name, '^[^0-9]*')) AS b FROM customer)
+"""
+
+QUERIES = {"span_greedy": span_greedy, "row_segments": row_segments, "inline_split": inline_split}
+ORACLES = {"row_segments": O_SEGMENTS, "inline_split": O_INLINE}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -19,7 +20,21 @@ def folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    path = f"{folder(df.sparkSession)}/quernstone-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has ended; the folder's owner clears it
+        return
+
+
+def kept(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a table in the shared folder, in folders by a column if asked: a lost executor costs no recomputation.
+
+    The files go when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{folder(spark)}/quernstone-{uuid.uuid4().hex}/{name}"
+    (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
+    atexit.register(_forget, spark, path.rpartition("/")[0])
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ asserts that both give the same rows.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quernstone.sources.shared import folder, kept
 from quernstone.sources.tables import table
 
 CHANGE = "entity_id long, seq long, version int, label string"
@@ -105,9 +106,7 @@ O_SUPERSEDE = "SELECT o_custkey AS subject, o_orderkey AS id, lead(o_orderkey) O
 
 def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change feed through the stateful stream, all that is there, as a table."""
-    from quernstone.sources.shared import folder, kept
-
-    at = f"{folder(spark)}/quernstone-feed-{spark.sparkContext.applicationId}-{abs(hash((sf_dir, tempfile.mktemp()))):x}"
+    at = f"{folder(spark)}/quernstone-feed-{uuid.uuid4().hex}"
     event_changes(spark, sf_dir).repartition(2).write.parquet(f"{at}/in")
     feed = spark.readStream.schema(CHANGE).option("maxFilesPerTrigger", 10).parquet(f"{at}/in")
     query = deduplicated_stream(feed).writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").trigger(availableNow=True).start()
