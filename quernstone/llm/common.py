@@ -1,16 +1,15 @@
-"""What the operators of this subpackage share: settings, shared-folder tables and word hashing."""
+"""What the operators of this subpackage share: settings, tables of ids and word hashing."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.sources.shared import kept as written
+
 #: Ids, of eight bytes each, that are broadcast at most.
 SENT_IDS = 1_000_000
 #: Bounds of one Arrow batch: a batch of very long texts stays small.
@@ -23,38 +22,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; in local mode without it, a new one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="quernstone-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session has ended; the folder's owner clears it
-        return
-
-
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, and a lost executor costs no recomputation.
-
-    The files go when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quernstone-{uuid.uuid4().hex}/{name}"
-    (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
-    atexit.register(_forget, spark, path.rpartition("/")[0])
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
