@@ -285,8 +285,9 @@ def _crossing(live: DataFrame) -> DataFrame:
     sides = groups.groupBy("token", "c").agg(F.min("n").alias("least"), F.max(_cap("n", "at")).alias("cap"))
     x, y = (sides.select("token", *[F.col(k).alias(f"{k}_{s}") for k in ("c", "least", "cap")]) for s in "xy")
     apart = x.join(y, "token").filter((F.col("c_x") < F.col("c_y")) & (F.col("least_x") <= F.col("cap_y")) & (F.col("least_y") <= F.col("cap_x")))
-    p, q = (groups.select("token", *[F.col(k).alias(f"{k}_{s}") for k in ("c", "grp", "n", "at")]) for s in "xy")
-    met = apart.select("token", "c_x", "c_y").join(p, ["token", "c_x"]).join(q, ["token", "c_y"]).filter(_fits("n_x", "n_y") & _reaches("n_x", "at_x", "n_y", "at_y"))
+    p, q = (groups.withColumn("own", _cap("n", "at")).select("token", *[F.col(k).alias(f"{k}_{s}") for k in ("c", "grp", "n", "own")]) for s in "xy")
+    met = apart.select("token", "c_x", "c_y", "least_y", "cap_y").join(p, ["token", "c_x"]).filter("n_x <= cap_y AND least_y <= own_x")
+    met = met.join(q, ["token", "c_y"]).filter("n_x <= own_y AND n_y <= own_x")
     member = live.select("grp", "c", "node").distinct()
     u, v = (member.select(F.col("grp").alias(f"grp_{s}"), F.col("c").alias(f"c_{s}"), F.col("node").alias(k)) for s, k in (("x", "p"), ("y", "q")))
     able = met.select("grp_x", "grp_y", "c_x", "c_y").distinct()
