@@ -155,40 +155,38 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in stay], pa.int64()) for c in (a, b)], names=["a", "b"])
 
 
-def _fits(n: str, m: str) -> Column:
-    """Sizes that can reach the similarity."""
-    return (DEN * F.least(n, m) >= NUM * F.greatest(n, m))
-
-
-def _cap(n: str, at: str) -> Column:
+def _cap(n: str, at: str, shared: int = 1) -> Column:
     """The greatest size of a set that may link with one of n by the shingle at this place of its prefix.
 
-    Sets of n and m with an overlap of a share one of the first n - a + 1 shingles of the one and m - a + 1 of the
-    other, and a is at least 3 (n + m) / 7 where they link.
+    Sets of n and m with an overlap of a share at least k of the first n - a + k shingles of the one and m - a + k of
+    the other, for every k, and a is at least 3 (n + m) / 7 where they link.
     """
-    return F.floor((NUM + DEN) * (F.col(n) - F.col(at)) / NUM) - F.col(n)
+    return F.floor((NUM + DEN) * (F.col(n) - F.col(at) + shared - 1) / NUM) - F.col(n)
 
 
-def _reaches(n: str, i: str, m: str, j: str) -> Column:
-    return (F.col(m) <= _cap(n, i)) & (F.col(n) <= _cap(m, j))
+def _reaches(n: str, i: str, m: str, j: str, shared: int = 1) -> Column:
+    return (F.col(m) <= _cap(n, i, shared)) & (F.col(n) <= _cap(m, j, shared))
 
 
-class Sets:
-    """The shingle sets of the documents that may link, bucketed by doc_id, so that a join on it moves only the pairs."""
+def _two(n: str, m: str) -> Column:
+    """Whether the posted prefixes of sets of n and m are long enough to ask for two shared shingles."""
+    overlap = F.ceil(NUM * (F.col(n) + F.col(m)) / (NUM + DEN))
+    return overlap + 1 - F.ceil(NUM * F.greatest(n, m) / DEN) >= 2
 
-    def __init__(self, rows: DataFrame):
-        self.spark, self.name = rows.sparkSession, f"shingle_sets_{uuid.uuid4().hex}"
-        n = spread(self.spark)
-        rows.repartition(n, "doc_id").write.bucketBy(n, "doc_id").sortBy("doc_id").format("parquet").option("compression", "zstd").saveAsTable(self.name)
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        sets = self.spark.table(self.name)
+def _verified(pairs: DataFrame, plain: DataFrame) -> DataFrame:
+    """The pairs that link. The sets of their documents go into a table bucketed by doc_id, so that joins move only pairs."""
+    spark, name, n = plain.sparkSession, f"shingle_sets_{uuid.uuid4().hex}", spread(plain.sparkSession)
+    pairs = written(pairs, "pairs")
+    found = with_ids(plain, pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))).mapInArrow(_sets, "doc_id long, shingles binary")
+    found.repartition(n, "doc_id").write.bucketBy(n, "doc_id").sortBy("doc_id").format("parquet").option("compression", "zstd").saveAsTable(name)
+    try:
+        sets = spark.table(name)
         x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
         y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
         return written(pairs.join(x, "a").join(y, "b").mapInArrow(_linked, "a long, b long"), "links")
-
-    def close(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def _least_count(counts: DataFrame) -> int:
@@ -220,25 +218,20 @@ def described(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     size = members.groupBy("grp").agg(F.max("n_shingles").cast("int").alias("n"), F.count(F.lit(1)).alias("k"))
     groups = written(shared.groupBy("grp").agg(F.count(F.lit(1)).alias("posts")).join(size, "grp", "right").filter("posts is not null or k > 1").select("grp", "n", "k", (F.coalesce("posts", F.lit(0)) / F.col("n")).alias("w")), "groups")
     nodes = written(members.select("grp", "node").join(groups, "grp"), "nodes")
-    sets = Sets(with_ids(plain, nodes.select(F.col("node").alias("doc_id"))).mapInArrow(_sets, "doc_id long, shingles binary"))
-    try:
-        links = sets.verified(_hubs(shared, nodes))
-        comp = written(components(links), "components")
-        live = _open(shared.select("token", "grp", "at").unionByName(_own(groups)), nodes, comp)
-        links = links.unionByName(sets.verified(_stars(live)))
-        comp = written(components(links), "components")
-        live = _open(live.select("token", "grp", "at").distinct(), nodes, comp)
-        links = links.unionByName(sets.verified(_crossing(live)))
-    finally:
-        sets.close()
-    return rows, links
+    links = _verified(_hubs(shared, nodes), plain)
+    comp = written(components(links), "components")
+    live = _open(shared.select("token", "grp", "at").unionByName(_own(groups)), nodes, comp)
+    links = links.unionByName(_verified(_stars(live), plain))
+    comp = written(components(links), "components")
+    live = _open(live.select("token", "grp", "at").distinct(), nodes, comp)
+    return rows, links.unionByName(_verified(_crossing(live), plain))
 
 
 def _shared(posts: DataFrame) -> DataFrame:
     """The postings of shingles that two groups or more have, each with one of these as its hub."""
     w = Window.partitionBy("token")
-    wide = posts.withColumn("hub", F.min("grp").over(w)).withColumn("hi", F.max("grp").over(w)).filter("hub < hi")
-    return written(wide.select("token", "grp", "at", "hub").distinct(), "shared")
+    wide = posts.withColumn("x", F.min(F.struct("grp", "at")).over(w)).withColumn("hi", F.max("grp").over(w)).filter("x.grp < hi")
+    return written(wide.select("token", "grp", "at", F.col("x.grp").alias("hub"), F.col("x.at").alias("hub_at")).distinct(), "shared")
 
 
 def _own(groups: DataFrame) -> DataFrame:
@@ -251,9 +244,12 @@ def _pair(x: str, y: str) -> tuple[Column, Column]:
 
 
 def _hubs(shared: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The first stars: members with a member of each hub that they share a shingle with, or of their own group."""
-    one = nodes.groupBy("grp").agg(F.min("node").alias("hub_node"), F.max("n").alias("hub_n"))
-    pairs = shared.filter("grp <> hub").select("grp", "hub").distinct().join(nodes, "grp").join(one.withColumnRenamed("grp", "hub"), "hub").filter(_fits("n", "hub_n"))
+    """The first stars: members with a member of each hub that they share enough shingles with, or of their own group."""
+    one = written(nodes.groupBy("grp").agg(F.min("node").alias("hub_node"), F.max("n").alias("n")), "hubs")
+    few = sent_if_few(one)
+    met = shared.filter("grp <> hub").join(few.select("grp", "n"), "grp").join(few.select(F.col("grp").alias("hub"), F.col("n").alias("hub_n"), "hub_node"), "hub").filter(_reaches("n", "at", "hub_n", "hub_at", 2))
+    enough = met.groupBy("grp", "hub_node", "n", "hub_n").agg(F.count(F.lit(1)).alias("k")).filter((F.col("k") >= 2) | ~_two("n", "hub_n"))
+    pairs = enough.select("grp", "hub_node").join(nodes, "grp")
     own = nodes.filter("k > 1").join(one.select("grp", "hub_node"), "grp").filter("node <> hub_node")
     return pairs.select(*_pair("node", "hub_node")).unionByName(own.select(*_pair("node", "hub_node"))).distinct()
 
@@ -271,8 +267,9 @@ def _stars(live: DataFrame) -> DataFrame:
     full = live.withColumn("range", F.floor(F.log(F.col("n") + F.lit(0.5)) / F.log(F.lit(DEN / NUM))))
     best = F.max(F.struct("w", F.col("node").alias("hub"), F.col("c").alias("hub_c"), F.col("n").alias("hub_n"), F.col("at").alias("hub_at")))
     hub = full.groupBy("token", "range").agg(best.alias("x")).select("token", "range", "x.hub", "x.hub_c", "x.hub_n", "x.hub_at")
-    near = full.join(hub, ["token", "range"]).filter((F.col("hub_c") != F.col("c")) & _fits("n", "hub_n") & _reaches("n", "at", "hub_n", "hub_at"))
-    return near.select(*_pair("hub", "node")).distinct()
+    near = full.join(hub, ["token", "range"]).filter((F.col("hub_c") != F.col("c")) & _reaches("n", "at", "hub_n", "hub_at", 2))
+    met = near.groupBy("hub", "node", "grp", "n", "hub_n").agg(F.count(F.lit(1)).alias("k"), F.bool_or(F.col("token") == F.xxhash64("grp")).alias("own"))
+    return met.filter((F.col("k") >= 2) | F.col("own") | ~_two("n", "hub_n")).select(*_pair("hub", "node")).distinct()
 
 
 def _crossing(live: DataFrame) -> DataFrame:
@@ -281,16 +278,18 @@ def _crossing(live: DataFrame) -> DataFrame:
     Shingles are joined with the pairs of components that meet there, so the pairs within a component are never made;
     pairs of groups pass the filters before they are expanded to members.
     """
-    groups = live.select("token", "c", "grp", "n", "at").distinct()
-    sides = groups.groupBy("token", "c").agg(F.min("n").alias("least"), F.max(_cap("n", "at")).alias("cap"))
+    groups = live.select("token", "c", "grp", "n", _cap("n", "at").alias("one"), _cap("n", "at", 2).alias("two")).distinct()
+    sides = groups.groupBy("token", "c").agg(F.min("n").alias("least"), F.max("two").alias("cap"))
     x, y = (sides.select("token", *[F.col(k).alias(f"{k}_{s}") for k in ("c", "least", "cap")]) for s in "xy")
     apart = x.join(y, "token").filter((F.col("c_x") < F.col("c_y")) & (F.col("least_x") <= F.col("cap_y")) & (F.col("least_y") <= F.col("cap_x")))
-    p, q = (groups.withColumn("own", _cap("n", "at")).select("token", *[F.col(k).alias(f"{k}_{s}") for k in ("c", "grp", "n", "own")]) for s in "xy")
-    met = apart.select("token", "c_x", "c_y", "least_y", "cap_y").join(p, ["token", "c_x"]).filter("n_x <= cap_y AND least_y <= own_x")
-    met = met.join(q, ["token", "c_y"]).filter("n_x <= own_y AND n_y <= own_x")
+    p, q = (groups.select("token", *[F.col(k).alias(f"{k}_{s}") for k in ("c", "grp", "n", "one", "two")]) for s in "xy")
+    met = apart.select("token", "c_x", "c_y", "least_y", "cap_y").join(p, ["token", "c_x"]).filter("n_x <= cap_y AND least_y <= two_x")
+    met = met.join(q, ["token", "c_y"]).filter("n_x <= two_y AND n_y <= two_x")
+    first = F.count_if((F.col("n_x") <= F.col("one_y")) & (F.col("n_y") <= F.col("one_x")))
+    met = met.groupBy("grp_x", "grp_y", "c_x", "c_y", "n_x", "n_y").agg(F.count(F.lit(1)).alias("k"), first.alias("first"))
+    able = met.filter(F.when(_two("n_x", "n_y"), F.col("k") >= 2).otherwise(F.col("first") >= 1) | (F.col("grp_x") == F.col("grp_y"))).select("grp_x", "grp_y", "c_x", "c_y")
     member = live.select("grp", "c", "node").distinct()
     u, v = (member.select(F.col("grp").alias(f"grp_{s}"), F.col("c").alias(f"c_{s}"), F.col("node").alias(k)) for s, k in (("x", "p"), ("y", "q")))
-    able = met.select("grp_x", "grp_y", "c_x", "c_y").distinct()
     return able.join(u, ["grp_x", "c_x"]).join(v, ["grp_y", "c_y"]).select(*_pair("p", "q")).distinct()
 
 
