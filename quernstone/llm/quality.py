@@ -2,12 +2,14 @@
 
 Every rule is evaluated once per document. The ledger holds one bit per failed rule and what was measured, so a
 policy (a versioned mask of the bits that reject) and its ablations are bitwise aggregations over the ledger, without
-another look at the texts.
+another look at the texts. Policy v1 is the one that ORACLE_OP5 spells out; v2, which the pipeline keeps by, also has
+the rule `abusive_words`: whole words of a lexicon, weighed by severity against the length of the text.
 
 Defined cases: a null text counts as empty; an empty text has no words and fails `few_words`; repeated rows give
 repeated rows; an empty table gives an empty ledger; a null doc_id stays null; other columns are not read.
 """
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,10 +24,45 @@ from quernstone.llm.common import bounded_batches, columns_of, documents, id_and
 RULES = ("few_words", "repeated_words", "symbols", "word_length", "duplicate_lines", "few_letters", "abuse")
 #: Words of abuse; three or more that make up 1 % of a text fail `abuse`.
 ABUSE = ("disgusting", "idiot", "scum", "trash", "worthless", "moron", "vermin", "pathetic", "stupid", "garbage")
+#: The rules of v2, by bit.
+RULES_V2 = (*RULES, "abusive_words")
+#: Lower-case words of abuse in several languages by severity; those with a harmless use weigh 1. Words that
+#: are everyday ones in another of the languages (con, retard, dom, hell), animals and waste are left out.
+SEVERITY = {
+    1: """
+        trash garbage rubbish pathetic disgusting worthless stupid stupidity dumb clown clowns vermin filth filthy fool fools foolish weirdo crap crappy shameless coward cowards cowardly liar liars
+        hypocrite jerk jerks idiotic moronic sucks ass prick pricks
+        dreck dumme dummer dummes dummen blöd blöde blöder blöden doof doofe ekelhaft widerlich erbärmlich jämmerlich feigling lügner
+        ordure ordures stupides dégoûtant dégoûtante minable minables pathétique menteur menteuse bouffon bouffons débile débiles
+        estúpido estúpida estúpidos estúpidas asqueroso asquerosa asquerosos patético patética payaso payasa payasos tonto tonta tontos tontas cobarde cobardes mentiroso mentirosa perdedor perdedora zorra zorras capullo
+        stupido stupida stupidi schifoso schifosa pagliaccio codardo bugiardo lixo nojento nojenta palhaço covarde walgelijk waardeloos lafaard leugenaar eikel
+    """,
+    2: """
+        idiot idiots moron morons imbecile imbeciles scum scumbag scumbags loser losers dumbass dimwit dimwits halfwit nitwit numbskull numskull dunce blockhead airhead douchebag douchebags
+        bastard bastards bitch bitches asshole assholes arsehole arseholes arse bullshit shit shitty shithead dickhead dickheads wanker wankers tosser twat twats slut sluts whore whores skank retarded
+        lowlife lowlifes sleazebag dirtbag dirtbags cretin cretins dipshit jackass jackasses pervert perverts subhuman subhumans fuck fucks fucked fucking fucker fuckers
+        idioten idiotin trottel vollidiot vollidioten deppen schwachkopf dummkopf dumpfbacke arschloch arschlöcher arsch scheiße scheiß scheißkerl abschaum wichser drecksau miststück mistkerl hurensohn hurensöhne
+        schlampe schlampen spast vollpfosten missgeburt fotze verpiss untermensch untermenschen
+        idiote idiotes imbécile imbéciles crétin crétine crétins abruti abrutie abrutis connard connards connarde connasse salaud salauds salope salopes salopard enculé enculés pute putes putain merde merdique
+        bâtard bâtards raclure racaille couillon enfoiré enfoirés
+        idiota idiotas imbécil imbéciles gilipollas cabrón cabrones pendejo pendeja pendejos puta putas puto putos mierda coño hijoputa bastardo bastardos escoria tarado tarada mamón culero
+        imbecille imbecilli cretino cretina cretini stronzo stronza stronzi merda cazzo coglione coglioni puttana bastardi vaffanculo feccia
+        otário otária babaca babacas caralho porra escroto cuzão idioot idioten sukkel klootzak klootzakken lul hoer kut trut mongool
+    """,
+    4: """
+        motherfucker motherfuckers motherfucking cunt cunts faggot faggots fag fags kys cocksucker cocksuckers kinderficker nègre nègres pédé pédés bougnoule bougnoules sudaca sudacas maricón maricones
+        kanake kanaken nigger niggers kike kikes wetback wetbacks tranny trannies frocio froci viado kankerhoer
+    """,
+}
+#: The most severe list that names a word counts.
+ABUSIVE = {w: n for n in sorted(SEVERITY) for w in SEVERITY[n].split()}
+#: Abusive words that weigh ABUSIVE_LEAST or more together, and one for each ABUSIVE_WORDS words of the text, fail `abusive_words`.
+ABUSIVE_LEAST, ABUSIVE_WORDS = 2, 100
+_LETTERS = re.compile(r"[^\W\d_]+")
 #: Characters that count as symbols, and white space.
 SYMBOLS, SPACE = "#*$%&|<>", "\x20\x09\x0a\x0b\x0c\x0d"
 
-LEDGER = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_letter_words long, n_abuse long, fail_bits long"
+LEDGER = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_letter_words long, n_abuse long, abusive_weight long, fail_bits long"
 
 
 @dataclass(frozen=True)
@@ -37,11 +74,12 @@ class Policy:
 
     @property
     def mask(self) -> int:
-        return sum(1 << RULES.index(r) for r in self.rejects)
+        return sum(1 << RULES_V2.index(r) for r in self.rejects)
 
 
 BASE = Policy("base", ("few_words", "repeated_words"))
 V1 = Policy("v1", RULES)
+V2 = Policy("v2", RULES_V2)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -70,10 +108,11 @@ def measure(text: str) -> tuple[int, ...]:
     letters = sum(w[0] > 127 or w[:1].isalpha() for w in words)
     low = text.lower()
     abuse = sum(low.count(a) for a in ABUSE)
-    return (len(words), len(text) - sum(map(text.count, SPACE)), sum(map(text.count, SYMBOLS)), dup, repeated_words(words), full, letters, abuse)
+    weight = sum(map(ABUSIVE.get, filter(ABUSIVE.__contains__, _LETTERS.findall(low))))
+    return (len(words), len(text) - sum(map(text.count, SPACE)), sum(map(text.count, SYMBOLS)), dup, repeated_words(words), full, letters, abuse, weight)
 
 
-def failures(n_words: int, word_chars: int, n_symbols: int, n_dup_lines: int, n_repeat_words: int, n_lines: int, n_letter_words: int, n_abuse: int) -> int:
+def failures(n_words: int, word_chars: int, n_symbols: int, n_dup_lines: int, n_repeat_words: int, n_lines: int, n_letter_words: int, n_abuse: int, abusive_weight: int) -> int:
     """A bit for each failed rule; whole-number comparisons only."""
     failed = (
         n_words < 50,
@@ -83,6 +122,7 @@ def failures(n_words: int, word_chars: int, n_symbols: int, n_dup_lines: int, n_
         n_dup_lines >= 2 and 10 * n_dup_lines > 3 * n_lines,
         10 * n_letter_words < 6 * n_words,
         n_abuse >= 3 and 100 * n_abuse >= n_words,
+        abusive_weight >= ABUSIVE_LEAST and ABUSIVE_WORDS * abusive_weight >= n_words,
     )
     return sum(1 << i for i, x in enumerate(failed) if x)
 
@@ -90,7 +130,7 @@ def failures(n_words: int, word_chars: int, n_symbols: int, n_dup_lines: int, n_
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, texts in columns_of(batches, "doc_id", "text"):
         found = [measure(t) for t in texts]
-        cols = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 8
+        cols = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 9
         bits = pa.array([failures(*x) for x in found], pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *cols, bits], names=[x.split()[0] for x in LEDGER.split(", ")])
 
@@ -113,15 +153,24 @@ def apply_policy(book: DataFrame, policy: Policy) -> DataFrame:
 def ablations(book: DataFrame, policy: Policy) -> DataFrame:
     """For each rule of a policy: documents that fail it, and those that would be kept without it; one pass over the bits."""
     bits = F.col("fail_bits").bitwiseAND(F.lit(policy.mask))
-    sums = [f for r in policy.rejects for b in (1 << RULES.index(r),) for f in (F.count_if(bits.bitwiseAND(F.lit(b)) != 0).alias(f"f_{r}"), F.count_if(bits == b).alias(f"o_{r}"))]
+    sums = [f for r in policy.rejects for b in (1 << RULES_V2.index(r),) for f in (F.count_if(bits.bitwiseAND(F.lit(b)) != 0).alias(f"f_{r}"), F.count_if(bits == b).alias(f"o_{r}"))]
     one = book.agg(F.count(F.lit(1)).alias("n"), F.count_if(bits != 0).alias("rejected"), *sums)
     rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"f_{r}").alias("n_failed"), F.col(f"o_{r}").alias("n_only_this")) for r in policy.rejects])
     return one.select(F.lit(policy.version).alias("policy"), F.col("n").alias("n_docs"), F.col("rejected").alias("n_rejected"), F.inline(rows))
 
 
+def _verdict(spark: SparkSession, sf_dir: str, policy: Policy) -> DataFrame:
+    book = apply_policy(ledger(documents(spark, sf_dir)), policy)
+    bits = F.col("fail_bits").bitwiseAND(F.lit(policy.mask)).alias("fail_bits")
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", rejected(BASE).alias("base_failed"), "kept", bits)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = apply_policy(ledger(documents(spark, sf_dir)), V1)
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", rejected(BASE).alias("base_failed"), "kept", "fail_bits")
+    return _verdict(spark, sf_dir, V1)
+
+
+def op5_quality_rules_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verdict(spark, sf_dir, V2)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -131,7 +180,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     bounded_batches(spark)
     verdict = F.pandas_udf(_verdicts, "long")
-    return docs.filter(verdict(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit(V1.mask)) == 0)
+    return docs.filter(verdict(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit(V2.mask)) == 0)
 
 
 def _verdicts(texts: pd.Series) -> pd.Series:
@@ -155,3 +204,12 @@ f AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_word
         + 32 * (10 * n_letter_words < 6 * n_words)::BIGINT + 64 * (n_abuse >= 3 AND 100 * n_abuse >= n_words)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f
 """
+
+#: ORACLE_OP5 with the bit of `abusive_words`.
+ORACLE_OP5_V2 = rf"""
+WITH v1 AS ({ORACLE_OP5}),
+t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{Nl}}\p{{No}}]+') AS ws FROM documents),
+a AS (SELECT doc_id, {" + ".join(f"{n} * len(list_filter(ws, lambda x: x IN ({', '.join(repr(w) for w, k in ABUSIVE.items() if k == n)})))" for n in SEVERITY)} AS abusive_weight FROM t),
+f AS (SELECT v1.* EXCLUDE (fail_bits, kept), fail_bits + 128 * (abusive_weight >= {ABUSIVE_LEAST} AND {ABUSIVE_WORDS} * abusive_weight >= n_words)::BIGINT AS fail_bits FROM v1 JOIN a USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, fail_bits = 0 AS kept, fail_bits FROM f
+"""

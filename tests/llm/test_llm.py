@@ -282,6 +282,30 @@ def test_quality_on_labels(spark):
     assert r.bad == 0 and r.lost == 0
 
 
+def test_abusive_words_are_whole_and_weighed():
+    bit = 1 << quality.RULES_V2.index("abusive_words")
+    hit = lambda t, n: bool(quality.failures(*quality.measure(t + " fine" * n)) & bit)
+    assert hit("What a loser, and a clown.", 100) and hit("Du Vollidiot!", 100) and hit("espèce de connard", 100) and hit("eres un gilipollas", 100)
+    assert not hit("sympathetic scumble idiotype", 50) and not hit("the trash is full", 50) and not hit("idiot", 400) and not hit("va con retard, hell", 50)
+
+
+def test_quality_v2_on_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    j = quality.op5_quality_rules_v2(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    r = j.filter("quality = 1 and lang = 'en'").selectExpr("count_if(kept and toxic = 1) kept", "count_if(toxic = 1) n", "count_if(fail_bits >= 128 and toxic = 0) lost").first()
+    assert r.n > 0 and r.kept == 0 and r.lost == 0
+
+
+def test_quality_v2_matches_its_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = c.sql(f"SELECT doc_id, base_failed, kept, fail_bits FROM ({quality.ORACLE_OP5_V2})").fetchall()
+    assert got(quality.op5_quality_rules_v2(spark, sf), "doc_id", "base_failed", "kept", "fail_bits") == sorted(want, key=str)
+
+
 # 6
 
 
