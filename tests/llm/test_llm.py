@@ -208,6 +208,41 @@ def test_decontamination_in_blocks_and_filter(spark, monkeypatch, tmp_path):
     assert out.columns == d.columns and sorted(r.doc_id for r in out.collect()) == [1, 4, 6, 8, 9]
 
 
+def test_decontamination_masks_cover_all_that_counts():
+    """The most words of n that can agree without a mask on agreeing words alone, for each n, over all patterns."""
+    masks = [int(m, 2) for m in decontaminate.MASKS]
+    low = (1 << max(map(len, decontaminate.MASKS)) - 1) - 1
+    best, most = {0: 0}, [0]
+    for _ in range(64):
+        then: dict[int, int] = {}
+        for bits, n in best.items():
+            for b in (0, 1):
+                now = bits << 1 | b
+                if not any(now & m == m for m in masks):
+                    then[now & low] = max(n + b, then.get(now & low, 0))
+        best = then
+        most.append(max(best.values()))
+    assert all(most[n] < decontaminate.needed(n) for n in range(4, 65))
+    # any longer item is a row of pieces of 16 to 31 words, none of which can reach the share
+    assert all(100 * most[n] < decontaminate.MIN_SHARE * n for n in range(16, 32))
+
+
+@pytest.mark.parametrize("n", [8, 14, 20, 30, 59])
+def test_decontamination_finds_items_at_the_share(n):
+    item = [f"w{i}" for i in range(n)]
+    block, hashed = decontaminate.Block([7], [" ".join(item)]), WordHash()
+    need, r = decontaminate.needed(n), random.Random(n)
+    fourth = [x if i % 4 else "other" for i, x in enumerate(item)]
+    for trial in range(300):
+        agree = set(r.sample(range(n), need))
+        text = [f"b{i}" for i in range(9)] + [x if i in agree else "other" for i, x in enumerate(item)] + [f"a{i}" for i in range(9)]
+        found = block.verified(hashed(" ".join(text).encode()))
+        assert found == [(7, need, n, 9 + min(agree), 9 + max(agree))]
+    assert n == 8 or block.verified(hashed(" ".join(fourth).encode()))
+    few = [x if i < need - 1 and i % 3 else "other" for i, x in enumerate(item)]
+    assert not block.verified(hashed(" ".join(few).encode()))
+
+
 # 4
 
 
