@@ -37,6 +37,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 #: Of two kinds of names, `header` means the page's own head unless one of these stands beside it.
 CONTENT_NAMES = frozenset("article content entry post story main".split())
 
+#: Fixed value: what the query's texts have between two blocks.
+BETWEEN = "\n\n"
+
 #: Labelled pages: what stands between the two marks is the main text.
 OPEN, CLOSE = "<!--main-->", "<!--/main-->"
 LABELLED = (
@@ -151,8 +154,8 @@ def weights() -> dict[str, float]:
     return {k: max(v, 0.5) if k == "word" else min(v, -0.05) for k, v in odds.items()} | {"tag": -0.3}
 
 
-def extract(html: str) -> str:
-    """The main text of a page: a line for each block."""
+def extract(html: str, between: str = "\n") -> str:
+    """The main text of a page: its blocks in page order, with `between` between them."""
     weight, walk = weights(), _Walk()
     tag = weight["tag"]
     seen: list[tuple[str, str, bool]] = []
@@ -195,15 +198,15 @@ def extract(html: str) -> str:
         elif name in ("br", "td", "th", "img"):
             parts.append(" ")
     close()
-    return "\n".join(blocks)
+    return between.join(blocks)
 
 
-def main_texts(pages: DataFrame) -> DataFrame:
+def main_texts(pages: DataFrame, between: str = "\n") -> DataFrame:
     """page_id, url, text and n_chars of every page."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, urls, htmls in columns_of(batches, "page_id", "url", "html"):
-            texts = [extract(h) for h in htmls]
+            texts = [extract(h, between) for h in htmls]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     bounded_batches(pages.sparkSession)
@@ -212,4 +215,4 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"), BETWEEN)

@@ -271,6 +271,15 @@ def test_html_extraction_of_the_article(spark):
         assert html_text.extract(r.html) == "\n".join(x for x in want if x)
 
 
+def test_html_query_has_an_empty_line_between_blocks(spark):
+    sf = "/root/testdata/sf0.001"
+    html = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    out = html_text.op4_html_extraction(spark, sf).collect()
+    assert len(out) == len(html) and any("\n\n" in r.text for r in out)
+    for r in out:
+        assert r.text == "\n\n".join(html_text.extract(html[r.page_id]).split("\n")) and r.n_chars == len(r.text)
+
+
 # 5
 
 
