@@ -31,9 +31,14 @@ RAW = frozenset("script style noscript template title textarea svg math iframe o
 APART = frozenset("nav footer aside form button dialog menu header label fieldset".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Parts of class and id names, and roles, of elements apart from the main text.
+#: Elements that may stand in a head, whose tags are left out; any other, or a word, ends a head that is open.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Class and id names, and roles, of elements apart from the main text. A name counts when it is a whole class or
+#: id, or its last part but for those that say nothing (ad-box-2); not after a part that tells of a state (has-sidebar).
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside widget footer masthead topbar toolbar comment comments respond replies reply disqus discussion share sharing social related recommended newsletter subscribe subscription signup login search pagination pager skip form".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
+SAY_NOTHING = frozenset("area bar block bottom box col column container group inner item items left links list outer panel right row section slot top unit wrap wrapper".split())
+STATES = frozenset("has no with without is not hide show".split())
 #: Of two kinds of names, `header` means the page's own head unless one of these stands beside it.
 CONTENT_NAMES = frozenset("article content entry post story main".split())
 
@@ -65,30 +70,77 @@ _WORD = re.compile(r"[^a-z0-9]+")
 
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name or text, attributes), kinds `open`, `close`, `text` and `mark`; raw content and comments are left out."""
-    at, end = 0, len(html)
+    at, end, head = 0, len(html), False
     while at < end:
         m = _TOKEN.search(html, at)
+        stop = m.start() if m else end
+        if head and html[at:stop].strip():
+            head = False
+            yield "close", "head", ""
+        if stop > at and not head:
+            yield "text", html[at:stop], ""
         if not m:
-            yield "text", html[at:], ""
             return
-        if m.start() > at:
-            yield "text", html[at : m.start()], ""
         at = m.end()
         if m[2] is None:
             if m[0] in (OPEN, CLOSE):
                 yield "mark", m[0], ""
             continue
         name = m[2].lower()
-        yield "close" if m[1] else "open", name, m[3]
-        if name in RAW and not m[1] and not m[3].endswith("/"):
+        if head and (name == "head" if m[1] else name not in IN_HEAD and name not in ("head", "html")) or head and m[1] and name in ("body", "html", "br"):
+            head = False
+            if name != "head":
+                yield "close", "head", ""
+        if not head:
+            yield "close" if m[1] else "open", name, m[3]
+        if name == "head":
+            head = not m[1] and not m[3].endswith("/")
+        elif name in RAW and not m[1] and not m[3].endswith("/"):
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])|</{re.escape(name)}\Z", re.I).search(html, at)
-            if name == "head" and not stop:
-                stop = re.compile(r"<body\b", re.I).search(html, at)
             at = stop.start() if stop else end
+    if head:
+        yield "close", "head", ""
 
 
-def apart(name: str, attrs: str, inside: bool) -> bool:
-    """Whether an element holds no main text, by its name, class, id or role; inside: it stands within an article."""
+def named(value: str) -> set[str]:
+    """What the classes or ids of an element say it is."""
+    out = set()
+    for token in value.split():
+        parts = [x for x in _WORD.split(token) if x]
+        while len(parts) > 1 and (parts[-1] in SAY_NOTHING or parts[-1].isdigit()):
+            parts.pop()
+        if parts and not STATES.intersection(parts[:-1]):
+            out.add(parts[-1])
+    return out
+
+
+def wrappers(found: list[tuple[str, str, str]]) -> set[int]:
+    """Places of the tags that open an element with most of the page's words outside links, before any article."""
+    n = links = 0
+    open_, count, ends, first = [], Counter(), [], len(found)
+    for i, (kind, name, _) in enumerate(found):
+        if kind == "text":
+            n += 0 if links else len(name.split())
+        elif kind == "open" and name not in VOID:
+            if name in ("article", "main"):
+                first = min(first, i)
+            links = links + 1 if name == "a" else 0 if name in BLOCKS else links
+            open_.append((name, i, n))
+            count[name] += 1
+        elif kind == "close":
+            links = 0 if name == "a" or name in BLOCKS else links
+            while count[name]:
+                x, j, before = open_.pop()
+                count[x] -= 1
+                ends.append((j, n - before))
+                if x == name:
+                    break
+    ends += [(j, n - before) for _, j, before in open_]
+    return {j for j, k in ends if 2 * k > n and j < first}
+
+
+def apart(name: str, attrs: str, inside: bool, wraps: bool = False) -> bool:
+    """Whether an element holds no main text, by its name, class, id or role; inside: it stands within an article; wraps: it holds most of the page."""
     if name in RAW or name in APART and not (name == "header" and inside):
         return True
     if not attrs or name in ("body", "html", "main", "article"):
@@ -96,8 +148,8 @@ def apart(name: str, attrs: str, inside: bool) -> bool:
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key in ("class", "id"):
-            parts = set(_WORD.split(value))
-            if parts & NAMES or "header" in parts and not inside and not parts & CONTENT_NAMES:
+            names = set() if wraps else named(value)
+            if names & NAMES or "header" in names and not inside and not CONTENT_NAMES.intersection(_WORD.split(value)):
                 return True
         elif key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
             return True
@@ -111,13 +163,13 @@ class _Walk:
         self.links = self.articles = self.depth = 0
         self.skipped = ""
 
-    def step(self, kind: str, name: str, attrs: str) -> None:
+    def step(self, kind: str, name: str, attrs: str, wraps: bool = False) -> None:
         if kind == "open":
             if self.skipped and (name in ("article", "main") or self.skipped == "p" and name in BLOCKS or self.skipped == "li" and name == "li" and self.depth == 1):
                 self.skipped = ""
             if self.skipped:
                 self.depth += name == self.skipped
-            elif name not in VOID and not attrs.endswith("/") and apart(name, attrs, self.articles > 0):
+            elif name not in VOID and not attrs.endswith("/") and apart(name, attrs, self.articles > 0, wraps):
                 self.skipped, self.depth = name, 1
             self.articles += name in ("article", "main")
             self.links = self.links + 1 if name == "a" else 0 if name in BLOCKS else self.links
@@ -162,7 +214,9 @@ def extract(html: str, between: str = "\n") -> str:
     score = best = 0.0
     first = 0
     run = (0, 0)
-    for kind, name, attrs in tokens(html):
+    found = list(tokens(html))
+    wrap = wrappers(found)
+    for i, (kind, name, attrs) in enumerate(found):
         if kind == "text":
             n = len(name.split())
             if not n:
@@ -173,7 +227,7 @@ def extract(html: str, between: str = "\n") -> str:
             continue
         else:
             before = walk.skipped
-            walk.step(kind, name, attrs)
+            walk.step(kind, name, attrs, i in wrap)
             value = weight.get(name, tag) if not (before or walk.skipped) else 0.0 if before else weight["word apart"]
         seen.append((kind, name, not walk.skipped))
         score += value

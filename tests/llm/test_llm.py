@@ -271,6 +271,25 @@ def test_html_extraction_of_the_article(spark):
         assert html_text.extract(r.html) == "\n".join(x for x in want if x)
 
 
+@pytest.mark.parametrize("attrs", ['class="layout has-sidebar"', 'id="form-content"', 'class="social-history"', 'class="page-widget"', 'class="notice"'])
+def test_html_article_in_a_wrapper_with_a_name(attrs):
+    page = f'<body><nav><a href="/">Home</a></nav><div {attrs}><h1>Bread</h1><p>Sourdough wants time more than it wants kneading.</p></div><div class="ad-box-2">Buy</div><footer>us</footer></body>'
+    assert html_text.extract(page) == "Bread\nSourdough wants time more than it wants kneading."
+
+
+def test_html_names_within_an_article():
+    p = "<p>Sourdough wants time more than it wants kneading, says the baker.</p>"
+    page = f'<article>{p}<section class="social-history"><p>It is old.</p></section><div class="cookie-notice">We use cookies</div>{p}<div class="ad-slot">Buy</div></article><div id="comments">{"<p>Nice, very nice indeed!</p>" * 30}</div>'
+    one = "Sourdough wants time more than it wants kneading, says the baker."
+    assert html_text.extract(page) == f"{one}\nIt is old.\n{one}"
+
+
+@pytest.mark.parametrize("head", ["<head><title>No</title>", "<html><head><meta charset=x><script>var x = '<p>no</p>';</script>", "<head><style>p{}</style><link rel=x></head>"])
+def test_html_head_that_is_not_closed(head):
+    assert html_text.extract(head + "<h1>Bread</h1><p>Sourdough wants time.</p>") == "Bread\nSourdough wants time."
+    assert html_text.extract(head + "Plain words only") == "Plain words only"
+
+
 def test_html_query_has_an_empty_line_between_blocks(spark):
     sf = "/root/testdata/sf0.001"
     html = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
