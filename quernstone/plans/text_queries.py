@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -160,9 +164,70 @@ SELECT user_id, event_id, CAST(row_number() OVER w AS INTEGER) AS seq, sha256(co
 FROM (SELECT user_id, event_id, sha256(concat('{"id":', event_id, ',"props":', to_json(props), ',"type":"', event_type, '"}')) AS r FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)
 """
 
+GENESIS = "0" * 64
+CHAIN = "user_id long, event_id long, seq long, prev_hash string, entry_hash string"
+
+
+def chained(log: DataFrame) -> DataFrame:
+    """user_id, event_id, seq, prev_hash and entry_hash of every record, from user_id, event_id, seq and record (its canonical text).
+
+    entry_hash = sha256(prev_hash || record), prev_hash the entry_hash before it in its user's log. A log lies in one partition
+    in order of seq; the running hash goes from batch to batch, so no log is held in memory. A log is sequential by its nature.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, last, started = None, GENESIS, False
+        for b in batches:
+            users, records = b.column("user_id").to_pylist(), b.column("record").to_pylist()
+            prev, entry = [], []
+            for user, record in zip(users, records, strict=True):
+                if not started or user != owner:
+                    owner, last, started = user, GENESIS, True
+                prev.append(last)
+                last = hashlib.sha256((last + record).encode()).hexdigest()
+                entry.append(last)
+            yield pa.RecordBatch.from_arrays([b.column("user_id"), b.column("event_id"), b.column("seq"), pa.array(prev, pa.string()), pa.array(entry, pa.string())], names=[x.split()[0] for x in CHAIN.split(", ")])
+
+    plain = log.select(F.col("user_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"), F.col("seq").cast("long").alias("seq"), "record")
+    return plain.repartition("user_id").sortWithinPartitions("user_id", "seq", "event_id").mapInArrow(rows, CHAIN)
+
+
+def chain_faults(stored: DataFrame) -> DataFrame:
+    """Faults of a stored log (user_id, event_id, seq, record, prev_hash, entry_hash), each row by itself and its neighbour.
+
+    `seq`: not the one due at its place, so something is missing before it or stands twice; `prev`: prev_hash isn't the
+    entry_hash before it; `entry`: entry_hash isn't that of its own record.
+    """
+    w = Window.partitionBy("user_id").orderBy("seq", "event_id")
+    rows = stored.withColumn("_due", F.row_number().over(w)).withColumn("_before", F.lag("entry_hash", 1, GENESIS).over(w))
+    tests = {"seq": F.col("seq").eqNullSafe(F.col("_due")), "prev": F.col("prev_hash").eqNullSafe(F.col("_before")), "entry": F.col("entry_hash").eqNullSafe(F.sha2(F.concat("prev_hash", "record"), 256))}
+    faults = F.filter(F.array(*[F.when(~ok, F.lit(k)) for k, ok in tests.items()]), lambda x: x.isNotNull())
+    return rows.withColumn("faults", faults).filter(F.size("faults") > 0).select("user_id", "event_id", "seq", "faults")
+
+
+def _audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    e = table(spark, sf_dir, "events").withColumn("seq", seq.cast("long"))
+    record = T.canonical_json({"type": F.col("event_type"), "id": F.col("event_id"), "props": F.col("props"), "seq": F.col("seq")})
+    return e.select("user_id", "event_id", "seq", record.alias("record"))
+
+
+def audit_hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference's running chain in each user's log: an entry_hash depends on every record before it."""
+    return chained(_audit_log(spark, sf_dir))
+
+
+O_HASH_CHAIN = f"""
+WITH RECURSIVE r AS (SELECT user_id, event_id, seq, concat('{{"id":', event_id, ',"props":', to_json(props), ',"seq":', seq, ',"type":"', event_type, '"}}') AS record
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events)),
+c AS (SELECT user_id, event_id, seq, '{GENESIS}' AS prev_hash, sha256(concat('{GENESIS}', record)) AS entry_hash FROM r WHERE seq = 1
+  UNION ALL SELECT r.user_id, r.event_id, r.seq, c.entry_hash, sha256(concat(c.entry_hash, r.record)) FROM c JOIN r ON r.user_id = c.user_id AND r.seq = c.seq + 1)
+SELECT * FROM c
+"""
+
 _ALL = (
     (sentence_split, O_SENTENCES), (sentence_coalesce, None), (narrative_flag, O_NARRATIVE), (kv_extract, O_KV), (vocab_normalise, O_VOCAB), (doc_classify, O_CLASSIFY), (section_islands, O_SECTIONS),
-    (context_window, O_CONTEXT), (relevance_gate, O_GATE), (pct_extract, O_PCT), (action_parse, O_ACTION), (audit_chain, O_AUDIT),
+    (context_window, O_CONTEXT), (relevance_gate, O_GATE), (pct_extract, O_PCT), (action_parse, O_ACTION), (audit_chain, O_AUDIT), (audit_hash_chain, O_HASH_CHAIN),
 )
 QUERIES = {f.__name__: f for f, _ in _ALL}
 ORACLES = {f.__name__: o for f, o in _ALL if o}

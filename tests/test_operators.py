@@ -90,3 +90,27 @@ def test_ntriples_round_trip(spark, tmp_path):
 def test_cell_of_a_span_outside_all_cells(spark):
     d = spark.createDataFrame([([(0, 2, 5)], 9, 10), ([(0, 2, 5)], 2, 5)], "c array<struct<col:int,start:int,end:int>>, a int, b int")
     assert [r[0] for r in d.select(spans.cell_of(F.col("a"), F.col("b"), F.col("c"))).collect()] == [None, 0]
+
+
+def test_audit_chain_runs_and_faults_are_found(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from quernstone.plans import text_queries as q
+
+    log = spark.createDataFrame([(u, 10 * u + i, i, f"record {u} {i}") for u in (1, 2) for i in range(1, 7)], "user_id long, event_id long, seq long, record string")
+    chain = q.chained(log).collect()
+    last = {}
+    for r in sorted(chain, key=lambda r: (r.user_id, r.seq)):
+        before = last.get(r.user_id, q.GENESIS)
+        last[r.user_id] = hashlib.sha256(f"{before}record {r.user_id} {r.seq}".encode()).hexdigest()
+        assert (r.prev_hash, r.entry_hash) == (before, last[r.user_id])
+    changed = q.chained(log.withColumn("record", F.when(F.col("event_id") == 12, "x").otherwise(F.col("record")))).collect()
+    assert {r.event_id for r in set(changed) - set(chain)} == {12, 13, 14, 15, 16}
+    stored = log.join(spark.createDataFrame(chain, q.CHAIN).drop("seq", "user_id"), "event_id")
+    faults = lambda d: {(r.event_id, *r.faults) for r in q.chain_faults(d).collect()}
+    assert faults(stored) == set()
+    assert faults(stored.withColumn("record", F.when(F.col("event_id") == 12, "x").otherwise(F.col("record")))) == {(12, "entry")}
+    assert faults(stored.filter("event_id <> 23")) == {(24, "seq", "prev"), (25, "seq"), (26, "seq")}
+    assert faults(stored.withColumn("prev_hash", F.when(F.col("event_id") == 14, F.lit(None)).otherwise(F.col("prev_hash")))) == {(14, "prev", "entry")}
