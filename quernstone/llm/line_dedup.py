@@ -25,6 +25,8 @@ from quernstone.llm.common import documents, spread, written
 UPPER, LOWER, SPACE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", " \t\n\x0b\f\r"
 #: A key counts from so many code points; batches of one call; runs of a level that are compacted into one.
 MIN_KEY, BATCHES, FAN_IN = 10, 4, 2
+#: Words that the pipeline asks of what is left of a document, as the first of the quality rules does.
+LEAST_WORDS = 50
 
 
 def line_key(line: Column) -> Column:
@@ -38,6 +40,7 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, buckets: int | None = None):
         self.spark, self.buckets = spark, buckets or spread(spark)
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")  # a run's buckets are read as they were sorted
         self.levels: list[list[str]] = []
         self.mark, self.made = f"line_run_{uuid.uuid4().hex}", 0
 
@@ -51,7 +54,7 @@ class LineRuns:
         return [self.spark.table(x) for level in self.levels for x in level]
 
     def add(self, lines: DataFrame) -> DataFrame:
-        """Takes in (doc_id, h1, h2) of a batch whose ids lie above those of all earlier ones; returns the rows to drop."""
+        """Takes in (doc_id, h1, h2, …) of a batch whose ids lie above those of all earlier ones; returns the rows to drop."""
         first = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
         new = reduce(lambda a, run: a.join(run.select("h1", "h2"), ["h1", "h2"], "left_anti"), self.runs(), first)
         name = self._run(new)
@@ -75,14 +78,15 @@ class LineRuns:
 
 
 def line_hashes(docs: DataFrame) -> DataFrame:
-    """The distinct (doc_id, h1, h2) of lines that count: 128 bits, for at 64 chance meetings show in a large corpus."""
-    lines = docs.filter("doc_id is not null and text is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    keys = lines.select("doc_id", line_key(F.col("line")).alias("key")).filter(F.char_length("key") >= MIN_KEY)
-    return keys.select("doc_id", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
+    """(doc_id, of, at, h1, h2) of lines that count: the text's hash, the line's place, and 128 bits of its key, for at 64 chance meetings show in a large corpus."""
+    whole = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("of"), F.split("text", "\n").alias("lines"))
+    lines = whole.select("doc_id", "of", F.posexplode("lines").alias("at", "line"))
+    keys = lines.select("doc_id", "of", "at", line_key(F.col("line")).alias("key")).filter(F.char_length("key") >= MIN_KEY)
+    return keys.select("doc_id", "of", "at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, gone): for documents that lose lines, the first hashes of those lines' keys."""
+    """(doc_id, of, gone): for documents that lose lines, the places of those lines."""
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     cuts = sorted(set(plain.filter("doc_id is not null").approxQuantile("doc_id", [i / BATCHES for i in range(1, BATCHES)], 0.01)))
@@ -93,7 +97,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
         parts = []
         for b in range(len(cuts) + 1):
             drop = runs.add(lines.filter(F.col("batch") == b).drop("batch"))
-            parts.append(written(drop.groupBy("doc_id").agg(F.collect_set("h1").alias("gone")), "gone"))
+            parts.append(written(drop.groupBy("doc_id", "of").agg(F.collect_set("at").alias("gone")), "gone"))
     finally:
         runs.close()
     return reduce(DataFrame.unionByName, parts)
@@ -101,11 +105,13 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
 def kept_lines(docs: DataFrame) -> DataFrame:
     """docs with `_lines` (all lines) and `_kept` (those that stay); the one place where texts are shuffled."""
-    gone = dropped_lines(docs).select(F.col("doc_id").alias("_id"), "gone")
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    stays = F.filter("_lines", lambda x: (F.char_length(line_key(x)) < MIN_KEY) | ~F.array_contains(F.col("gone"), F.xxhash64(line_key(x))))
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left").withColumn("_lines", lines)
-    return joined.withColumn("_kept", F.when(F.col("gone").isNull(), F.col("_lines")).otherwise(stays)).drop("gone", "_id")
+    gone = dropped_lines(docs).select(F.col("doc_id").alias("_id"), F.col("of").alias("_of"), "gone")
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_of"))
+    joined = docs.join(gone, same, "left").withColumn("_lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
+    # one scan of the places and one of the lines: the places that go are told apart by a hash set
+    stays = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.coalesce("gone", F.array().cast("array<int>")))
+    cut = F.when(F.col("gone").isNotNull(), stays)
+    return joined.withColumn("_stays", cut).withColumn("_kept", F.when(F.col("_stays").isNull(), F.col("_lines")).otherwise(F.transform("_stays", lambda i: F.get("_lines", i)))).drop("gone", "_id", "_of", "_stays")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,11 +121,16 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with the repeated lines cut from their texts, and n_chars set anew; a null text stays null."""
+    """docs with the repeated lines cut from their texts, and n_chars set anew; a null text stays null.
+
+    Documents that lost lines and have fewer than LEAST_WORDS words left go.
+    """
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
     text = F.when(F.col("text").isNotNull(), F.array_join("_kept", "\n"))
-    new = {"text": text, "n_chars": F.char_length(text).cast("long")}
-    return kept_lines(inner).select(*[(new[c] if c in new else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    kept = kept_lines(inner).withColumn("_text", text)
+    whole = (F.size("_kept") == F.size("_lines")) | (F.regexp_count("_text", F.lit(r"[^\x20\x09-\x0D]+")) >= LEAST_WORDS)
+    new = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
+    return kept.filter(whole).select(*[(new[c] if c in new else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 ORACLE_OP9 = r"""
