@@ -6,7 +6,7 @@ merges of their joined bytes give just these two; a sequence is the encoding of
 `Transducer` determinises this machine lazily: a state is a set of such guesses, each with the tokens that it has not
 emitted yet, and what all guesses agree on is emitted at once. Tokens thus come out after a bounded lookahead: a guess
 lives no longer than the longest token that goes on. States and transitions are made when first met and kept; beyond
-`limit` states they are dropped and made again, so memory is bounded.
+`limit` states they are dropped and made again, within a piece as well, so memory is bounded whatever a text holds.
 
 Decoding: `Utf8Machine` takes token ids one by one and gives the text that is complete so far; its state between tokens
 is what an unfinished character needs. Transitions by token are kept as well.
@@ -23,6 +23,7 @@ import functools
 import gc
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import regex
@@ -142,10 +143,16 @@ class Transducer:
 
     def __init__(self, vocabulary: Vocabulary, limit: int = STATES):
         self.vocabulary, self.limit = vocabulary, limit
+        self.states: dict[tuple, _State] = {}
         self._fresh()
 
     def _fresh(self) -> None:
-        """Drops all states; they refer to one another, so their memory comes back by garbage collection."""
+        """Drops all states, in the midst of a piece too: a reader goes on from the state it holds.
+
+        States refer to one another, so each is emptied here; no garbage collection is needed.
+        """
+        for state in self.states.values():
+            state.next = {}
         self.start = _State((((), -1, 0),))
         self.states = {self.start.guesses: self.start}
 
@@ -178,14 +185,13 @@ class Transducer:
         guesses = tuple([(g[0][agreed:], g[1], g[2]) for g in after] if agreed else after)
         to = self.states.get(guesses)
         if to is None:
+            if len(self.states) >= self.limit:
+                self._fresh()
             to = self.states[guesses] = _State(guesses)
         made = state.next[byte] = (first[:agreed], to)
         return made
 
     def encode(self, data: bytes) -> list[int]:
-        if len(self.states) > self.limit:
-            self._fresh()
-            gc.collect()
         state, out = self.start, []
         for byte in data:
             step = state.next.get(byte) or self._read(state, byte)
@@ -289,12 +295,23 @@ class Codec:
             return "".join([feed(i) for i in ids]) + self.machine.finish()
 
 
+@contextmanager
+def _no_collection() -> Iterator[None]:
+    """While a batch is at work: states make no garbage, and looking through them time and again is most of the cost."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 @functools.cache
 def codec(vocabulary: str, pattern: str | None) -> Codec:
     """One for each worker process; the vocabulary is a path, or the name of an installed public one."""
     import public_tokenizers
 
-    gc.disable()  # states make no garbage until all are dropped, and looking through them time and again is most of the cost
     path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
     return Codec(read_ranks(path), pattern or public_tokenizers.PATTERN)
 
@@ -305,7 +322,9 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str | None =
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
         for ids, texts in columns_of(batches, "doc_id", "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([c.encode(t) for t in texts], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            with _no_collection():
+                found = [c.encode(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     bounded_batches(docs.sparkSession)
     return id_and_text(docs).mapInArrow(rows, "doc_id long, ids array<int>")
@@ -334,16 +353,16 @@ def digests(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str | None =
         names = _Decimal()
         for docs, texts in columns_of(batches, "doc_id", "text"):
             n, a, b = [], [], []
-            for t in texts:
-                ids = c.encode(t)
-                n.append(len(ids))
-                a.append(hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest())
-                b.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
+            with _no_collection():
+                for t in texts:
+                    ids = c.encode(t)
+                    n.append(len(ids))
+                    a.append(hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest())
+                    b.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         if not lasting:
             c = None
             codec.cache_clear()
-            gc.enable()
             gc.collect()
 
     bounded_batches(docs.sparkSession)
