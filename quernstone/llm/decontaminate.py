@@ -92,8 +92,8 @@ class Block:
         self.low = np.zeros(1 << 22, dtype=bool)
         self.low[h & np.uint64((1 << 22) - 1)] = True
 
-    def diagonals(self, codes: np.ndarray) -> list[tuple[int, int]]:
-        """(item, where its first word would stand), in order, of every hit where enough words agree to count in any way."""
+    def diagonals(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
+        """(agreeing words, item, where its first word would stand) of every hit where enough words agree to count in any way."""
         none = np.empty(0, dtype=np.int64)
         items, starts = [none], [none]
         for m in self.masks:
@@ -109,7 +109,7 @@ class Block:
         wide = len(codes) + int(self.sizes.max(initial=0)) + 1
         back = int(self.sizes.max(initial=0))
         keys = np.unique(np.concatenate(items) * wide + np.concatenate(starts) + back)
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, int, int]] = []
         for i in range(0, len(keys), DIAGONALS):
             k, start = keys[i : i + DIAGONALS] // wide, keys[i : i + DIAGONALS] % wide - back
             first = np.maximum(0, -start)
@@ -117,13 +117,17 @@ class Block:
             same = self.words[ranges(self.begins[k] + first, n)] == codes[ranges(start + first, n)]
             agree = np.add.reduceat(same, np.cumsum(n) - n, dtype=np.int64)
             good = agree >= np.minimum(self.needs[k], ENOUGH)
-            out.extend(zip(k[good].tolist(), start[good].tolist(), strict=True))
+            out.extend(zip(agree[good].tolist(), k[good].tolist(), start[good].tolist(), strict=True))
         return out
 
     def verified(self, codes: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(item id, agreeing words, words of the item, first and last word in the text) of the overlaps that count; the best for each item."""
         best: dict[int, tuple] = {}
-        for k, start in self.diagonals(codes):
+        # most agreeing words first: no overlap of the rest can be better than what is there already, so few are walked
+        for agree, k, start in sorted(self.diagonals(codes), key=lambda x: (-x[0], x[1], x[2])):
+            have = best.get(k, (0,))[0]
+            if agree < have or agree == have and start >= best[k][3]:
+                continue
             item = self.items[k]
             a, b = max(0, -start), min(len(item), len(codes) - start)
             same = item[a:b] == codes[start + a : start + b]
@@ -140,9 +144,9 @@ class Block:
                     elif score > top:
                         top, run = score, (first, i + 1)
                 n, need = int(same[run[0] : run[1]].sum()), min(need, ENOUGH)
-            if n >= need and n > best.get(k, (0,))[0]:
-                best[k] = (n, start + a + run[0], start + a + run[1] - 1)
-        return [(self.ids[k], n, len(self.items[k]), first, last) for k, (n, first, last) in sorted(best.items())]
+            if n >= need and (n > have or n == have and start < best[k][3]):
+                best[k] = (n, start + a + run[0], start + a + run[1] - 1, start)
+        return [(self.ids[k], n, len(self.items[k]), first, last) for k, (n, first, last, _) in sorted(best.items())]
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Block]:
