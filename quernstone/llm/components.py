@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import written
+from quernstone.llm.common import sent_if_few, written
 
 
 def _large(e: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the smallest one (or to the node itself). e: (u, v), u > v."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # a table of its own: it is broadcast if it is small, and else Spark can split a centre that a third of all nodes hang on
+    least = sent_if_few(written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least"))
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 

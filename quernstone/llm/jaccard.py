@@ -25,7 +25,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import WordHash, bounded_batches, columns_of, documents, grams, id_and_text, mixed, sent_if_few, signed, spread, with_ids, written
@@ -36,6 +36,8 @@ WORDS, NUM, DEN = 5, 3, 4
 #: Shingles that the global order knows as frequent: a bound of what is broadcast (24 bytes each), never of what is joined.
 FREQUENT = 500_000
 LOW = (1 << 23) - 1
+#: Pairs of one document that are verified together.
+SLICE = 64
 #: Shingles of one task that are counted together.
 COUNTED = 2_000_000
 
@@ -178,17 +180,30 @@ def _verified(pairs: DataFrame, plain: DataFrame) -> DataFrame:
     """The pairs that link. The sets of their documents go into a table bucketed by doc_id, so that joins move only pairs."""
     spark, name, n = plain.sparkSession, f"shingle_sets_{uuid.uuid4().hex}", spread(plain.sparkSession)
     pairs = written(pairs, "pairs")
-    found = with_ids(plain, pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))).mapInArrow(_sets, "doc_id long, shingles binary")
+    degree = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "degrees")
+    hot = written(degree.filter(F.col("n") > SLICE).select("doc_id", F.ceil(F.col("n") / SLICE).cast("int").alias("slices")), "hot")
+    found = with_ids(plain, degree).mapInArrow(_sets, "doc_id long, shingles binary")
     found.repartition(n, "doc_id").write.bucketBy(n, "doc_id").sortBy("doc_id").format("parquet").option("compression", "zstd").saveAsTable(name)
     try:
-        sets = spark.table(name)
-        x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-        y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-        return written(pairs.join(x, "a").join(y, "b").mapInArrow(_linked, "a long, b long"), "links")
+        both = _with_set(_with_set(pairs, spark.table(name), hot, "a", "x"), spark.table(name), hot, "b", "y")
+        return written(both.mapInArrow(_linked, "a long, b long"), "links")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+def _with_set(pairs: DataFrame, sets: DataFrame, hot: DataFrame, end: str, name: str) -> DataFrame:
+    """pairs with the set of the document at one end. A document of many pairs has them dealt to slices, with a copy of its set for each."""
+    of = sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(name))
+    if hot.isEmpty():
+        return pairs.join(of, end)
+    slices = sent_if_few(hot).withColumnRenamed("doc_id", end)
+    marked = pairs.join(slices, end, "left")
+    cool = marked.filter("slices is null").drop("slices").join(of, end)
+    dealt = marked.filter("slices is not null").withColumn("slice", F.pmod(F.xxhash64("a", "b"), "slices").cast("int")).drop("slices")
+    copies = of.join(slices, end).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    return cool.unionByName(dealt.join(copies, [end, "slice"]).drop("slice"))
+
+
 def _least_count(counts: DataFrame) -> int:
     """The least count that at most FREQUENT shingles reach."""
     total, least = 0, 1 << 62
@@ -228,10 +243,13 @@ def described(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _shared(posts: DataFrame) -> DataFrame:
-    """The postings of shingles that two groups or more have, each with one of these as its hub."""
-    w = Window.partitionBy("token")
-    wide = posts.withColumn("x", F.min(F.struct("grp", "at")).over(w)).withColumn("hi", F.max("grp").over(w)).filter("x.grp < hi")
-    return written(wide.select("token", "grp", "at", F.col("x.grp").alias("hub"), F.col("x.at").alias("hub_at")).distinct(), "shared")
+    """The postings of shingles that two groups or more have, each with one of these as its hub.
+
+    A shingle may be in the prefixes of a third of all groups: it is aggregated, and joined back, so that Spark can split it.
+    """
+    posts = written(posts.groupBy("token", "grp").agg(F.min("at").alias("at")), "posts")
+    hub = posts.groupBy("token").agg(F.min(F.struct("grp", "at")).alias("x"), F.max("grp").alias("hi")).filter("x.grp < hi")
+    return written(posts.join(hub.select("token", F.col("x.grp").alias("hub"), F.col("x.at").alias("hub_at")), "token"), "shared")
 
 
 def _own(groups: DataFrame) -> DataFrame:
@@ -257,9 +275,9 @@ def _hubs(shared: DataFrame, nodes: DataFrame) -> DataFrame:
 def _open(posted: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:
     """The postings, by member with its component, of shingles whose members don't all hang together yet."""
     known = written(nodes.join(comp, "node", "left").select("grp", "node", "n", "w", F.coalesce("component", "node").alias("c")), "placed")
-    w = Window.partitionBy("token")
-    wide = posted.join(sent_if_few(known), "grp").withColumn("lo", F.min("c").over(w)).withColumn("hi", F.max("c").over(w))
-    return written(wide.filter("lo < hi").drop("lo", "hi"), "open")
+    wide = written(posted.join(sent_if_few(known), "grp"), "wide")
+    mixed = wide.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token")
+    return written(wide.join(mixed, "token", "left_semi"), "open")
 
 
 def _stars(live: DataFrame) -> DataFrame:
