@@ -1,8 +1,9 @@
 """License scans (operator 10), by DataFrame functions alone: ordered signature rules.
 
-A text is folded to its lower-case words, one space between them. A keyword decides which rules run on it at all; the
-regexes of those give intervals. Of detections, one that lies within another goes; of equal intervals the rule first in
-order stays. Everything is computed within the row: nothing is shuffled.
+A text is folded to its lower-case words, one space between them. A keyword decides which rules of license_rules.py run
+on it at all; the regexes of those give intervals. Of detections, one that lies within another goes; of equal intervals
+the rule first in order stays. Everything is computed within the row, in time that grows with the text's length: nothing
+is shuffled. Regexes are literals, so each is compiled once a task.
 
 The base detections (four plain phrases) stay whatever the rules say.
 
@@ -18,106 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import documents, id_and_text
+from quernstone.llm.license_rules import GATES, parsed
 from quernstone.llm.line_dedup import LOWER, UPPER
 
 #: The base phrases and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: For each family of licenses a keyword that its texts hold, its name in folded words, and its versions
-#: (a version in words, and what its label adds). An empty version stands for the name by itself.
-FAMILIES = (
-    ("gpl", "general public", "(?:gnu )?general public licen[sc]e", (("1", "-1.0"), ("2", "-2.0"), ("3", "-3.0"))),
-    ("gpl", "gpl", "(?:gnu )?gpl", (("1(?: 0)?", "-1.0"), ("2(?: 0)?", "-2.0"), ("3(?: 0)?", "-3.0"))),
-    ("lgpl", "lesser", "(?:gnu )?lesser general public licen[sc]e", (("2 1", "-2.1"), ("3(?: 0)?", "-3.0"))),
-    ("lgpl", "library general", "(?:gnu )?library general public licen[sc]e", (("2(?: 0)?", "-2.0"),)),
-    ("lgpl", "lgpl", "(?:gnu )?lgpl", (("2 1", "-2.1"), ("3(?: 0)?", "-3.0"))),
-    ("agpl", "affero", "(?:gnu )?affero general public licen[sc]e", (("1(?: 0)?", "-1.0"), ("3(?: 0)?", "-3.0"))),
-    ("agpl", "agpl", "(?:gnu )?agpl", (("3(?: 0)?", "-3.0"),)),
-    ("gfdl", "free documentation", "(?:gnu )?free documentation licen[sc]e", (("1 1", "-1.1"), ("1 2", "-1.2"), ("1 3", "-1.3"))),
-    ("apache", "apache", "apache(?: software)? licen[sc]e", (("1 0", "-1.0"), ("1 1", "-1.1"), ("2(?: 0)?", "-2.0"))),
-    ("mit", " mit ", "mit licen[sc]e", ()),
-    ("mit", "expat", "expat licen[sc]e", ()),
-    ("bsd", " bsd ", "bsd licen[sc]e", ()),
-    ("bsd-2-clause", " bsd ", "(?:bsd (?:2|two) clause|simplified bsd|freebsd)(?: licen[sc]e)?", ()),
-    ("bsd-3-clause", " bsd ", "(?:bsd (?:3|three) clause|new bsd|modified bsd)(?: licen[sc]e)?", ()),
-    ("bsd-4-clause", " bsd ", "(?:bsd (?:4|four) clause|original bsd)(?: licen[sc]e)?", ()),
-    ("isc", " isc ", "isc licen[sc]e", ()),
-    ("mpl", "mozilla", "mozilla public licen[sc]e", (("1 0", "-1.0"), ("1 1", "-1.1"), ("2 0", "-2.0"))),
-    ("mpl", " mpl ", "mpl", (("1 1", "-1.1"), ("2 0", "-2.0"))),
-    ("epl", "eclipse", "eclipse public licen[sc]e", (("1 0", "-1.0"), ("2 0", "-2.0"))),
-    ("edl", "eclipse", "eclipse distribution licen[sc]e", (("1 0", "-1.0"),)),
-    ("cddl", "common development", "common development and distribution licen[sc]e", (("1 0", "-1.0"), ("1 1", "-1.1"))),
-    ("cddl", "cddl", "cddl", (("1 0", "-1.0"), ("1 1", "-1.1"))),
-    ("cpl", "common public", "common public licen[sc]e", (("1 0", "-1.0"),)),
-    ("eupl", "european union public", "european union public licen[sc]e", (("1 0", "-1.0"), ("1 1", "-1.1"), ("1 2", "-1.2"))),
-    ("eupl", "eupl", "eupl", (("1 1", "-1.1"), ("1 2", "-1.2"))),
-    ("artistic", "artistic", "artistic licen[sc]e", (("1 0", "-1.0"), ("2 0", "-2.0"))),
-    ("perl", "perl", "same terms as perl(?: itself)?", ()),
-    ("python", "python", "python software foundation licen[sc]e", (("2(?: 0)?", "-2.0"),)),
-    ("boost", "boost", "boost software licen[sc]e", (("1 0", "-1.0"),)),
-    ("zlib", "zlib", "zlib(?: libpng)? licen[sc]e", ()),
-    ("openssl", "openssl", "openssl licen[sc]e", ()),
-    ("php", " php ", "php licen[sc]e", (("3 0", "-3.0"), ("3 01", "-3.01"))),
-    ("ruby", "ruby", "ruby licen[sc]e", ()),
-    ("wtfpl", "wtfpl", "wtfpl", (("2", "-2.0"),)),
-    ("wtfpl", "do what the", "do what the \\S+ you want to public licen[sc]e", (("2", "-2.0"),)),
-    ("unlicense", "unlicense", "unlicense", ()),
-    ("cc0", "cc0", "(?:creative commons )?cc0", (("1 0", "-1.0"),)),
-    ("cc0", "creative commons zero", "creative commons zero", (("1 0", "-1.0"),)),
-    ("public-domain", "public domain", "public domain", ()),
-    ("ofl", "open font", "(?:sil )?open font licen[sc]e", (("1 0", "-1.0"), ("1 1", "-1.1"))),
-    ("odbl", "open database", "open database licen[sc]e", (("1 0", "-1.0"),)),
-    ("odc-by", "open data commons", "open data commons attribution licen[sc]e", (("1 0", "-1.0"),)),
-    ("pddl", "public domain dedication", "public domain dedication and licen[sc]e", (("1 0", "-1.0"),)),
-    ("osl", "open software licen", "open software licen[sc]e", (("2 1", "-2.1"), ("3 0", "-3.0"))),
-    ("afl", "academic free", "academic free licen[sc]e", (("2 1", "-2.1"), ("3 0", "-3.0"))),
-    ("ms-pl", "microsoft public", "microsoft public licen[sc]e", ()),
-    ("ms-rl", "microsoft reciprocal", "microsoft reciprocal licen[sc]e", ()),
-    ("sspl", "server side public", "server side public licen[sc]e", (("1(?: 0)?", "-1.0"),)),
-    ("busl", "business source", "business source licen[sc]e", (("1 1", "-1.1"),)),
-    ("elastic", "elastic", "elastic licen[sc]e", (("2(?: 0)?", "-2.0"),)),
-    ("upl", "universal permissive", "universal permissive licen[sc]e", (("1 0", "-1.0"),)),
-    ("postgresql", "postgresql", "postgresql licen[sc]e", ()),
-    ("vim", " vim ", "vim licen[sc]e", ()),
-    ("x11", " x11 ", "x11 licen[sc]e", ()),
-    ("cecill", "cecill", "cecill", (("2 1", "-2.1"),)),
-    ("mulan", "mulan", "mulan permissive software licen[sc]e", (("2", "-2.0"),)),
-    ("proprietary", "all rights reserved", "all rights reserved", ()),
-)
-#: Kinds of Creative Commons licenses, and their versions.
-CC_KINDS = ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd")
-CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
-#: Every regex, base phrase and keyword's text holds one of these; texts without any are passed over.
-GATES = ("licen", "spdx", "gpl", "mpl", "bsd", "public domain", "creative commons", "cc by", "cc0", "cddl", "eupl", "wtfpl", "cecill", "same terms as perl", "all rights reserved")
-#: What stands before a license's name when a text puts itself under it.
-GRANTS = "(?:licen[sc]ed|released|distributed|published|available|provided|covered|made available|redistributed) (?:under|by|with) (?:the |a |an )?(?:terms of (?:the )?)?(?:conditions of (?:the )?)?"
-
-
-def families() -> list[tuple[str, str, str, tuple[tuple[str, str], ...]]]:
-    cc = []
-    for kind in CC_KINDS:
-        long = {"by": "attribution", "sa": "share ?alike", "nc": "non ?commercial", "nd": "no ?deriv(?:atives|s)"}
-        versions = tuple((v, "-" + v.replace(" ", ".")) for v in CC_VERSIONS)
-        label = "cc-" + kind.replace(" ", "-")
-        cc.append((label, "cc by", f"cc {kind}", versions))
-        cc.append((label, "creative commons", "creative commons " + " ".join(long[k] for k in kind.split()), versions))
-    return [*FAMILIES, *cc]
-
-
-def rules() -> list[tuple[int, str, str, str, float]]:
-    """(order, label, keyword, regex, confidence): for each family its identifier, grants by version and name, versions and the name, in this order of strength."""
-    out = []
-    for label, keyword, name, versions in families():
-        for version, adds in versions:
-            full = f"{name}(?: licen[sc]e)?(?: version)? v?{version}"
-            out.append((1, label + adds, keyword, f" {GRANTS}{full}(?= )", 0.98))
-            out.append((3, label + adds, keyword, f" {full}(?= )", 0.9))
-        out.append((2, label, keyword, f" {GRANTS}{name}(?= )", 0.95))
-        out.append((4, label, keyword, f" {name}(?= )", 0.7))
-        out.append((0, label, "spdx", f" spdx licen[sc]e identifier {label.replace('-', ' ')}(?: (?:only|or later))?(?= )", 1.0))
-    return out
-
-
 def folded(text: Column) -> Column:
     """The words of a text in lower case (A-Z only), each between single spaces; a lone space if there are none."""
     low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -128,23 +35,18 @@ def _spaces(text: Column) -> Column:
     return (F.char_length(text) - F.char_length(F.replace(text, F.lit(" "), F.lit("")))).cast("long")
 
 
-def _detections(words: Column) -> Column:
-    """Every interval that a rule finds: an array of (from, -to, order, label, confidence), in that order."""
-    table = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(b).alias("label"), F.lit(k).alias("key"), F.lit(p).alias("re"), F.lit(c).alias("sure")) for o, b, k, p, c in rules()])
-
-    def of(rule: Column) -> Column:
-        parts = F.split(words, rule["re"])
-        found = F.regexp_extract_all(words, rule["re"], F.lit(0))
-        size = F.transform(found, F.char_length)
-
-        def at(length: Column, i: Column) -> Column:
-            before = F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.char_length(x)) + F.aggregate(F.slice(size, F.lit(1), i), F.lit(0), lambda a, x: a + x)
-            return F.struct(before.alias("from"), (-before - length).alias("to"), rule["o"].alias("o"), rule["label"].alias("label"), rule["sure"].alias("sure"))
+def _places(order: int, sure: float, label: str, regex: str) -> str:
+    """SQL for the intervals of a rule, in words: its matches are marked, and the marks are found again among the words, in one scan."""
+    marked = f"split(regexp_replace(words, r' ({regex})(?= )', ' \\u0001$1\\u0002'), ' ')"
+    at = [f"filter(transform({marked}, (t, i) -> if({test}, i, -1)), i -> i >= 0)" for test in ("startswith(t, '\\u0001')", "endswith(t, '\\u0002')")]
+    found = f"named_struct('from', a, 'to', -b, 'o', {order}, 'label', '{label}', 'sure', {sure}D)"
+    return f"CASE WHEN words RLIKE r' ({regex})(?= )' THEN zip_with({at[0]}, {at[1]}, (a, b) -> {found}) END"
 
-        return F.transform(size, at)
 
-    gated = F.filter(table, lambda r: F.contains(words, r["key"]))
-    return F.array_sort(F.flatten(F.transform(gated, of)))
+def _detections() -> Column:
+    """Every interval that a rule finds in `words`: an array of (from, -to, order, label, confidence), in that order."""
+    groups = [f"CASE WHEN contains(words, '{key}') THEN flatten(array_compact(array({', '.join(_places(*r) for r in rules)}))) END" for key, rules in parsed()]
+    return F.expr(f"array_sort(flatten(array_compact(array({', '.join(groups)}))))")
 
 
 def _outermost(found: Column) -> Column:
@@ -179,7 +81,7 @@ def scanned(docs: DataFrame) -> DataFrame:
         F.when(F.col("gate"), first).alias("first_word"),
         F.when(F.col("gate"), last).alias("last_word"),
         F.when(F.col("gate"), base).otherwise(none).alias("base"),
-        F.when(F.col("gate"), _outermost(_detections(words))).alias("more"),
+        F.when(F.col("gate"), _outermost(_detections())).alias("more"),
     )
     both = F.array_union("base", F.coalesce("more.labels", none))
     score = F.greatest(F.coalesce("more.score", F.lit(0.0)), F.when(F.col("n_base") > 0, 0.5).otherwise(0.0))
