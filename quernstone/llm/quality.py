@@ -2,8 +2,8 @@
 
 Every rule is evaluated once per document. The ledger holds one bit per failed rule and what was measured, so a
 policy (a versioned mask of the bits that reject) and its ablations are bitwise aggregations over the ledger, without
-another look at the texts. Policy v1 is the one that ORACLE_OP5 spells out; v2, which the pipeline keeps by, also has
-the rule `abusive_words`: whole words of a lexicon, weighed by severity against the length of the text.
+another look at the texts. Policy v2, by which the query and the pipeline keep, has the rules of v1 and `abusive_words`:
+whole words of a lexicon, weighed by severity against the length of the text.
 
 Defined cases: a null text counts as empty; an empty text has no words and fails `few_words`; repeated rows give
 repeated rows; an empty table gives an empty ledger; a null doc_id stays null; other columns are not read.
@@ -151,12 +151,17 @@ def apply_policy(book: DataFrame, policy: Policy) -> DataFrame:
 
 
 def ablations(book: DataFrame, policy: Policy) -> DataFrame:
-    """For each rule of a policy: documents that fail it, and those that would be kept without it; one pass over the bits."""
+    """For each rule of a policy: documents that fail it, and those that would be kept without it; sums over the bits.
+
+    book: fail_bits, and their number `n` if rows of equal bits are counted already.
+    """
+    n = F.col("n") if "n" in book.columns else F.lit(1)
     bits = F.col("fail_bits").bitwiseAND(F.lit(policy.mask))
-    sums = [f for r in policy.rejects for b in (1 << RULES_V2.index(r),) for f in (F.count_if(bits.bitwiseAND(F.lit(b)) != 0).alias(f"f_{r}"), F.count_if(bits == b).alias(f"o_{r}"))]
-    one = book.agg(F.count(F.lit(1)).alias("n"), F.count_if(bits != 0).alias("rejected"), *sums)
+    of = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0)).cast("long")
+    sums = [f for r in policy.rejects for b in (1 << RULES_V2.index(r),) for f in (of(bits.bitwiseAND(F.lit(b)) != 0).alias(f"f_{r}"), of(bits == b).alias(f"o_{r}"))]
+    one = book.agg(of(F.lit(True)).alias("all"), of(bits != 0).alias("rejected"), *sums)
     rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"f_{r}").alias("n_failed"), F.col(f"o_{r}").alias("n_only_this")) for r in policy.rejects])
-    return one.select(F.lit(policy.version).alias("policy"), F.col("n").alias("n_docs"), F.col("rejected").alias("n_rejected"), F.inline(rows))
+    return one.select(F.lit(policy.version).alias("policy"), F.col("all").alias("n_docs"), F.col("rejected").alias("n_rejected"), F.inline(rows))
 
 
 def _verdict(spark: SparkSession, sf_dir: str, policy: Policy) -> DataFrame:
@@ -166,11 +171,18 @@ def _verdict(spark: SparkSession, sf_dir: str, policy: Policy) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verdict(spark, sf_dir, V2)
+
+
+def quality_rules_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ledger under the earlier policy."""
     return _verdict(spark, sf_dir, V1)
 
 
-def op5_quality_rules_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _verdict(spark, sf_dir, V2)
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects, and rejects alone."""
+    book = ledger(documents(spark, sf_dir)).select("fail_bits").groupBy("fail_bits").agg(F.count(F.lit(1)).alias("n"))
+    return ablations(book, V1).unionByName(ablations(book, V2))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -187,7 +199,7 @@ def _verdicts(texts: pd.Series) -> pd.Series:
     return pd.Series([failures(*measure(t)) for t in texts], dtype="int64")
 
 
-ORACLE_OP5 = r"""
+ORACLE_V1 = r"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 g AS (SELECT doc_id, i, list_slice(ws, i, i + 2) AS t FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w WHERE len(ws) > 2)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS c FROM g) WHERE c > 1),
@@ -205,11 +217,19 @@ f AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_word
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f
 """
 
-#: ORACLE_OP5 with the bit of `abusive_words`.
-ORACLE_OP5_V2 = rf"""
-WITH v1 AS ({ORACLE_OP5}),
+#: ORACLE_V1 with the bit of `abusive_words`.
+ORACLE_OP5 = rf"""
+WITH v1 AS ({ORACLE_V1}),
 t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{Nl}}\p{{No}}]+') AS ws FROM documents),
 a AS (SELECT doc_id, {" + ".join(f"{n} * len(list_filter(ws, lambda x: x IN ({', '.join(repr(w) for w, k in ABUSIVE.items() if k == n)})))" for n in SEVERITY)} AS abusive_weight FROM t),
 f AS (SELECT v1.* EXCLUDE (fail_bits, kept), fail_bits + 128 * (abusive_weight >= {ABUSIVE_LEAST} AND {ABUSIVE_WORDS} * abusive_weight >= n_words)::BIGINT AS fail_bits FROM v1 JOIN a USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, fail_bits = 0 AS kept, fail_bits FROM f
 """
+
+ORACLE_ABLATIONS = rf"""
+WITH b AS (SELECT fail_bits FROM ({ORACLE_OP5})), p(policy, mask) AS (VALUES ('v1', {V1.mask}), ('v2', {V2.mask})),
+r(rule, bit) AS (VALUES {", ".join(f"('{x}', {1 << i})" for i, x in enumerate(RULES_V2))})
+SELECT policy, count(*) AS n_docs, count(*) FILTER (fail_bits & mask <> 0) AS n_rejected, rule,
+       count(*) FILTER (fail_bits & mask & bit <> 0) AS n_failed, count(*) FILTER (fail_bits & mask = bit) AS n_only_this
+FROM b, p, r WHERE mask & bit <> 0 GROUP BY policy, rule
+"""

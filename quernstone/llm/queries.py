@@ -12,18 +12,20 @@ QUERIES = {
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_html_extraction": html_text.op4_html_extraction,
     "op5_quality_rules": quality.op5_quality_rules,
-    "op5_quality_rules_v2": quality.op5_quality_rules_v2,
     "op6_substring_dedup": substrings.op6_substring_dedup,
     "op7_language_id": language.op7_language_id,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "quality_rules_v1": quality.quality_rules_v1,
+    "quality_ablations": quality.quality_ablations,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
     "op2_jaccard_join": jaccard.ORACLE_OP2,
     "op5_quality_rules": quality.ORACLE_OP5,
-    "op5_quality_rules_v2": quality.ORACLE_OP5_V2,
     "op6_substring_dedup": substrings.ORACLE_OP6,
     "op9_line_dedup": line_dedup.ORACLE_OP9,
+    "quality_rules_v1": quality.ORACLE_V1,
+    "quality_ablations": quality.ORACLE_ABLATIONS,
 }
