@@ -3,8 +3,10 @@
 A page is a run of tags and words. Words score positive and tags negative; words of links, and of elements that hold
 menus, headers, footers, sidebars, notices, adverts, forms or comments, score negative as well. The weights are log odds
 learned from the labelled pages below; an element apart counts once, however long, so that an advert within an article
-doesn't end it. One linear scan (Kadane) finds the run with the greatest sum; its blocks, less
-those elements, are the text.
+doesn't end it. One linear scan (Kadane) finds the run with the greatest sum, which is taken to both ends of the smallest
+element that holds its words (a table of short cells costs more tags than it has words, and is text all the same); its
+blocks, less the elements apart, are the text. What a class or id says of an element doesn't count if the element holds
+most of the page's words.
 
 Defined cases: null or empty html, or a page without words, gives an empty text; a truncated page, an element that is
 not closed, and a bare `<` or `&` in text are read as browsers do; long pages are read whole, in linear time; repeated
@@ -13,6 +15,7 @@ rows give repeated rows; other columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html as entities
 import math
@@ -26,23 +29,29 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.common import bounded_batches, columns_of
 
-#: Elements whose content is not text, those that hold no main text, and those that bound blocks.
+#: Elements whose content is not text, those that hold no main text, those that bound blocks, those that hold
+#: several blocks, and those of running text.
 RAW = frozenset("script style noscript template title textarea svg math iframe object canvas audio video select option head".split())
 APART = frozenset("nav footer aside form button dialog menu header label fieldset".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
+HOLDERS = frozenset("article main section div form fieldset center td".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote dd figcaption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that may stand in a head, whose tags are left out; any other, or a word, ends a head that is open.
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Class and id names, and roles, of elements apart from the main text. A name counts when it is a whole class or
 #: id, or its last part but for those that say nothing (ad-box-2); not after a part that tells of a state (has-sidebar).
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside widget footer masthead topbar toolbar comment comments respond replies reply disqus discussion share sharing social related recommended newsletter subscribe subscription signup login search pagination pager skip form".split())
+#: Of these, the names that never stand for the main text, however much they hold; and elements that may wrap a page.
+NEVER = frozenset("ad ads adv advert adverts advertisement advertising cookie cookies consent gdpr nav navbar navigation menu menubar footer comment comments respond replies reply disqus discussion".split())
+WRAPS = frozenset("form fieldset dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 SAY_NOTHING = frozenset("area bar block bottom box col column container group inner item items left links list outer panel right row section slot top unit wrap wrapper".split())
 STATES = frozenset("has no with without is not hide show".split())
 #: Of two kinds of names, `header` means the page's own head unless one of these stands beside it.
 CONTENT_NAMES = frozenset("article content entry post story main".split())
 
-#: Fixed value: what the query's texts have between two blocks.
+#: Fixed value: what texts have between two blocks.
 BETWEEN = "\n\n"
 
 #: Labelled pages: what stands between the two marks is the main text.
@@ -63,8 +72,10 @@ LABELLED = (
     "<div><a>Impressum</a> <a>Datenschutz</a></div></body>",
 )
 
-_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*'|["'])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
+#: Comments (`<!-->` is an empty one), and tags with their attributes: a quote counts only after `=`. Nothing is tried twice.
+_TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^"'>=]|=\s*(?:"[^"]*"|'[^']*')|["'=])*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
+_ATTR = re.compile(r"""([^\s"'<>/=]++)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*+))?""")
+_TELLING = re.compile("class|id|role|hidden|style", re.I)
 _WORD = re.compile(r"[^a-z0-9]+")
 
 
@@ -114,16 +125,16 @@ def named(value: str) -> set[str]:
     return out
 
 
-def wrappers(found: list[tuple[str, str, str]]) -> set[int]:
-    """Places of the tags that open an element with most of the page's words outside links, before any article."""
+def elements(found: list[tuple[str, str, str]]) -> tuple[int, list[tuple[int, int, str, int, bool]]]:
+    """Words outside links, and for each element: the places of its tags, its name, such words in it, and whether it was closed."""
     n = links = 0
-    open_, count, ends, first = [], Counter(), [], len(found)
+    open_: list[tuple[str, int, int]] = []
+    count: Counter = Counter()
+    out = []
     for i, (kind, name, _) in enumerate(found):
         if kind == "text":
             n += 0 if links else len(name.split())
         elif kind == "open" and name not in VOID:
-            if name in ("article", "main"):
-                first = min(first, i)
             links = links + 1 if name == "a" else 0 if name in BLOCKS else links
             open_.append((name, i, n))
             count[name] += 1
@@ -132,24 +143,24 @@ def wrappers(found: list[tuple[str, str, str]]) -> set[int]:
             while count[name]:
                 x, j, before = open_.pop()
                 count[x] -= 1
-                ends.append((j, n - before))
+                out.append((j, i, x, n - before, x == name))
                 if x == name:
                     break
-    ends += [(j, n - before) for _, j, before in open_]
-    return {j for j, k in ends if 2 * k > n and j < first}
+    out += [(j, len(found), x, n - before, False) for x, j, before in open_]
+    return n, out
 
 
 def apart(name: str, attrs: str, inside: bool, wraps: bool = False) -> bool:
-    """Whether an element holds no main text, by its name, class, id or role; inside: it stands within an article; wraps: it holds most of the page."""
-    if name in RAW or name in APART and not (name == "header" and inside):
+    """Whether an element holds no main text, by its name, class, id or role; inside: it stands within an article; wraps: it holds most of the page's words."""
+    if name in RAW or name in APART and not (name == "header" and inside) and not (wraps and name in WRAPS):
         return True
-    if not attrs or name in ("body", "html", "main", "article"):
+    if not attrs or name in ("body", "html", "main", "article") or not _TELLING.search(attrs):
         return False
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key in ("class", "id"):
-            names = set() if wraps else named(value)
-            if names & NAMES or "header" in names and not inside and not CONTENT_NAMES.intersection(_WORD.split(value)):
+            names = named(value)
+            if names & (NEVER if wraps else NAMES) or "header" in names and not inside and not wraps and not CONTENT_NAMES.intersection(_WORD.split(value)):
                 return True
         elif key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
             return True
@@ -206,36 +217,57 @@ def weights() -> dict[str, float]:
     return {k: max(v, 0.5) if k == "word" else min(v, -0.05) for k, v in odds.items()} | {"tag": -0.3}
 
 
-def extract(html: str, between: str = "\n") -> str:
+def whole(run: tuple[int, int], spans: list[tuple[int, int, str, int, bool]], words: list[int]) -> tuple[int, int]:
+    """A run, to both ends of the smallest closed element of several blocks that holds its words; words: their places, in order."""
+    at = bisect.bisect_left(words, run[0])
+    to = bisect.bisect_left(words, run[1]) - 1
+    if to < at:
+        return run
+    around = [(i, j) for i, j, name, _, closed in spans if closed and name in HOLDERS and i < words[at] and j > words[to]]
+    if not around:
+        return run
+    i, j = max(around)
+    return min(run[0], i), max(run[1], j)
+
+
+def extract(html: str, between: str = BETWEEN) -> str:
     """The main text of a page: its blocks in page order, with `between` between them."""
     weight, walk = weights(), _Walk()
     tag = weight["tag"]
-    seen: list[tuple[str, str, bool]] = []
+    found = [x for x in tokens(html) if x[0] != "mark"]
+    n_words, spans = elements(found)
+    wrap = {i for i, _, _, k, _ in spans if 2 * k > n_words}
+    seen: list[str] = []  # for each token: what kind of word, or whether a tag stands in an element apart
+    words: list[int] = []
     score = best = 0.0
     first = 0
     run = (0, 0)
-    found = list(tokens(html))
-    wrap = wrappers(found)
+    block = ""
     for i, (kind, name, attrs) in enumerate(found):
         if kind == "text":
-            n = len(name.split())
+            n, of = len(name.split()), walk.word()
+            seen.append(of)
             if not n:
-                seen.append((kind, name, not walk.skipped))
                 continue
-            value = 0.0 if walk.skipped else n * weight[walk.word()]
-        elif kind == "mark":
-            continue
+            if of == "word":
+                words.append(i)
+            elif of == "word of a link" and (walk.articles or block in PROSE):
+                seen[i] = "word of a linked text"
+            value = 0.0 if walk.skipped else n * weight[of]
         else:
             before = walk.skipped
             walk.step(kind, name, attrs, i in wrap)
+            block = name if name in BLOCKS else block
             value = weight.get(name, tag) if not (before or walk.skipped) else 0.0 if before else weight["word apart"]
-        seen.append((kind, name, not walk.skipped))
+            seen.append("")
         score += value
         if score <= 0:
-            score, first = 0.0, len(seen)
+            score, first = 0.0, i + 1
         elif score > best:
-            best, run = score, (first, len(seen))
-    blocks, parts = [], []
+            best, run = score, (first, i + 1)
+    begin, end = whole(run, spans, words)
+    blocks: list[str] = []
+    parts: list[str] = []
 
     def close() -> None:
         text = " ".join(entities.unescape("".join(parts)).split())
@@ -243,9 +275,11 @@ def extract(html: str, between: str = "\n") -> str:
             blocks.append(text)
         parts.clear()
 
-    for kind, name, stays in seen[run[0] : run[1]]:
+    for i in range(begin, end):
+        kind, name, _ = found[i]
         if kind == "text":
-            if stays:
+            # beside the run itself, lists of links are menus more often than not
+            if seen[i] in ("word", "word of a linked text") or seen[i] == "word of a link" and run[0] <= i < run[1]:
                 parts.append(name)
         elif name in BLOCKS:
             close()
@@ -255,7 +289,7 @@ def extract(html: str, between: str = "\n") -> str:
     return between.join(blocks)
 
 
-def main_texts(pages: DataFrame, between: str = "\n") -> DataFrame:
+def main_texts(pages: DataFrame, between: str = BETWEEN) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,4 +303,4 @@ def main_texts(pages: DataFrame, between: str = "\n") -> DataFrame:
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"), BETWEEN)
+    return main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
