@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import ahocorasick
 import numpy as np
@@ -169,14 +170,14 @@ def scanned(plain: DataFrame) -> DataFrame:
     return written(with_phrases.mapInArrow(rows, SCANNED), "scanned")
 
 
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of an owner's runs of recurring windows: a run is cut into pieces where its windows begin in another stretch of PIECE words."""
+def _passages(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The words of an owner's runs of recurring windows: a run is cut into pieces where its windows begin in another stretch of so many words."""
     for ids, starts, texts in columns_of(batches, "owner", "at", "text"):
         for o, at, t in zip(ids, starts, texts, strict=True):
             words = t.encode("utf-8", "surrogatepass").split()
             at = np.sort(np.array(at))
-            cuts = np.flatnonzero((np.diff(at) > 1) | (np.diff(at // PIECE) > 0)) + 1
-            out = [(o, int(run[0]) // PIECE, b" ".join(words[run[0] : run[-1] + WINDOW])) for run in np.split(at, cuts)]
+            cuts = np.flatnonzero((np.diff(at) > 1) | (np.diff(at // size) > 0)) + 1
+            out = [(o, int(run[0]) // size, b" ".join(words[run[0] : run[-1] + WINDOW])) for run in np.split(at, cuts)]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["owner", "piece", "words"])
 
 
@@ -263,7 +264,7 @@ def removed(docs: DataFrame) -> DataFrame:
     # one row per owner, and no more places than its words; of rows that share its id each gives its own passages
     own = confirmed.groupBy("owner", "of").agg(F.collect_set("at").alias("at"))
     owners = with_ids(texts, confirmed.select(F.col("owner").alias("doc_id"))).withColumnRenamed("doc_id", "owner").withColumn("of", F.xxhash64("sha"))
-    passages = own.join(owners.dropDuplicates(["owner", "of"]), ["owner", "of"]).mapInArrow(_passages, "owner long, piece int, words binary")
+    passages = own.join(owners.dropDuplicates(["owner", "of"]), ["owner", "of"]).mapInArrow(partial(_passages, size=PIECE), "owner long, piece int, words binary")
     dealt = routes.select("shard", "owner", "piece").distinct().join(passages, ["owner", "piece"]).withColumn("doc_id", F.lit(None).cast("long"))
     sent = written(dealt.unionByName(routes.withColumn("words", F.lit(None).cast("binary"))), "sent")
     todo = with_ids(texts, routes).select(shard, "doc_id", "sha", "text")

@@ -522,7 +522,7 @@ def test_passages_of_a_long_owner_in_one_pass():
 
     def run(n):
         b = pa.RecordBatch.from_pydict({"owner": [1], "at": [list(range(n))], "text": [" ".join(f"w{i}" for i in range(n + 49))]})
-        return [p for x in substrings._passages(iter([b])) for p in x.to_pylist()]
+        return [p for x in substrings._passages(iter([b]), 1000) for p in x.to_pylist()]
 
     assert [p["piece"] for p in run(2500)] == [0, 1, 2] and run(2500)[1]["words"].split()[0] == b"w1000"
     assert slower(run, 40_000) < 8
