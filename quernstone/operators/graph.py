@@ -6,6 +6,7 @@ a count. No node or triple is gathered.
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,12 +18,12 @@ from quernstone.sources.tables import table
 TRIPLE = "s string, p string, o string"
 
 
-def ancestors(edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(node, ancestor, depth) over (child, parent), the least depth for each pair; safe on cycles."""
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(node, ancestor, depth) over (child, parent), the least depth for each pair, however deep; safe on cycles."""
     step = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).filter("node <> ancestor").distinct()
     found = front = kept(step.withColumn("depth", F.lit(1)), "closure")
     up = step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("above"))
-    for depth in range(2, max_depth + 1):
+    for depth in itertools.count(2):
         more = front.select("node", "ancestor").join(up, "ancestor").select("node", F.col("above").alias("ancestor")).filter("node <> ancestor").distinct()
         front = kept(more.join(found, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
         if front.isEmpty():
@@ -31,10 +32,10 @@ def ancestors(edges: DataFrame, max_depth: int = 64) -> DataFrame:
     return found
 
 
-def hops(start: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
-    """(node, hop) of nodes within `limit` hops of start (node) along (src, dst); each node at its first discovery."""
+def hops(start: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
+    """(node, hop) of nodes within `limit` hops (or any number) of start (node) along (src, dst); each node at its first discovery."""
     seen = front = kept(start.select("node").distinct().withColumn("hop", F.lit(0)), "hops")
-    for hop in range(1, limit + 1):
+    for hop in itertools.count(1) if limit is None else range(1, limit + 1):
         step = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         front = kept(step.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)), "hops")
         if front.isEmpty():
@@ -52,7 +53,7 @@ def difference(old: DataFrame, new: DataFrame) -> DataFrame:
 def blank_closure(triples: DataFrame, roots: DataFrame) -> DataFrame:
     """The triples reachable from roots (s) through blank objects."""
     blank = triples.filter("startswith(o, '_:')").select(F.col("s").alias("src"), F.col("o").alias("dst"))
-    reach = hops(roots.select(F.col("s").alias("node")), blank, 64).filter("startswith(node, '_:')").select(F.col("node").alias("s"))
+    reach = hops(roots.select(F.col("s").alias("node")), blank).filter("startswith(node, '_:')").select(F.col("node").alias("s"))
     return triples.join(reach, "s", "left_semi")
 
 
@@ -81,13 +82,14 @@ def matched(triples: DataFrame, patterns: list[tuple[str, str, str]], select: li
                 first.setdefault(x, c)
         parts.append(t.select(*[F.col(c).alias(x[1:]) for x, c in first.items()]))
 
-    def join(a: DataFrame, b: DataFrame) -> DataFrame:
-        shared = [c for c in a.columns if c in b.columns]
-        if not shared:
-            raise ValueError("patterns that share no variable make a cross product")
-        return a.join(b, shared)
-
-    return reduce(join, parts).select(*[F.col(v[1:]).alias(f"col_{i}") for i, v in enumerate(select)])
+    found = parts.pop(0)
+    while parts:  # whichever pattern comes next that shares a variable with what is joined already
+        at = next((i for i, t in enumerate(parts) if set(t.columns) & set(found.columns)), None)
+        if at is None:
+            raise ValueError("patterns that share no variable, by whatever way, make a cross product")
+        t = parts.pop(at)
+        found = found.join(t, [c for c in found.columns if c in t.columns])
+    return found.select(*[F.col(v[1:]).alias(f"col_{i}") for i, v in enumerate(select)])
 
 
 def place_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +138,7 @@ def relation_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     p = line.select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
     s = line.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
-    edges = kept(o.unionByName(p).unionByName(s).distinct(), "edges")
+    edges = o.unionByName(p).unionByName(s)  # fronts are small: each hop is a scan of two columns and a broadcast join
     return hops(spark.createDataFrame([("c7",)], "node string"), edges, 4)
 
 

@@ -8,7 +8,8 @@ expression within whole-stage code.
 from __future__ import annotations
 
 import operator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,6 +115,82 @@ def compiled(pattern: dict, prefix: str = "") -> Column:
     return F.coalesce(by_number, raw if cmp == "eq" else ~raw)
 
 
+@dataclass
+class Flat:
+    """Facts as plain columns, for rules known when the plan is built: what they read is generated code, without maps or arrays.
+
+    classes: columns of class names; lists: (`relations` or `alignments`, name) to the columns of its values; values:
+    (`data` or `scalars`, name) to typed columns by `s`, `d` or `b`; added: classes that criteria gave, with the condition.
+    """
+
+    classes: list[Column]
+    lists: dict[tuple[str, str], list[Column]] = field(default_factory=dict)
+    values: dict[tuple[str, str], dict[str, Column]] = field(default_factory=dict)
+    added: list[tuple[str, Column]] = field(default_factory=list)
+
+    def with_scalar(self, name: str, **typed: Column) -> Flat:
+        return replace(self, values=self.values | {("scalars", name): typed})
+
+    def _among(self, kind: str, name: str, wanted: list[str]) -> Column:
+        hits = [holds(v.contains(w)) for v in self.lists.get((kind, name), []) for w in wanted]
+        return F.when(any_of(hits), True)
+
+    def _number(self, typed: dict[str, Column]) -> Column:
+        ways = {"d": lambda c: c.cast("double"), "s": lambda c: c.try_cast("double"), "b": lambda c: c.cast("double")}
+        return F.coalesce(*[ways[k](typed[k]) for k in ("d", "s", "b") if k in typed], F.lit(None).cast("double"))
+
+    def _equal(self, typed: dict[str, Column], to: object) -> Column:
+        there = reduce(Column.__or__, [c.isNotNull() for c in typed.values()], F.lit(False))
+        if isinstance(to, bool | int | float):
+            same = [typed[k].cast("double") == F.lit(float(to)) for k in ("d", "b") if k in typed]
+        else:
+            same = [typed["s"] == F.lit(str(to))] if "s" in typed else []
+        return F.when(there, any_of([holds(x) for x in same]))
+
+    def compiled(self, pattern: dict) -> Column:
+        """What compiled() gives over the maps."""
+        op, unknown = pattern["op"], F.lit(None).cast("boolean")
+        if op in ("and", "or"):
+            return (all_of if op == "and" else any_of)([self.compiled(p) for p in pattern["operands"]])
+        if op == "some_values_from":
+            return self._among("relations", pattern["property"], [pattern["filler_class"]])
+        if op == "class_membership":
+            return self._among("relations", pattern["property"], pattern["classes"])
+        if op == "external_alignment":
+            return self._among("alignments", pattern["property"], [pattern["alignment"]])
+        if op == "class_present":
+            hits = [holds(c.contains(pattern["class"])) for c in self.classes] + [on for name, on in self.added if pattern["class"] in name]
+            there = [c.isNotNull() for c in self.classes] + [on for _, on in self.added]
+            return F.when(any_of(there), any_of(hits))
+        typed = self.values.get(("data" if op in ("datatype_facet", "boolean_has_value") else "scalars", pattern.get("property") or pattern.get("key")), {})
+        if not typed:
+            return unknown
+        if op == "boolean_has_value":
+            ways = {"b": lambda c: c, "d": lambda c: c != 0, "s": lambda c: c != ""}
+            return F.coalesce(*[ways[k](typed[k]) for k in ("b", "d", "s") if k in typed]) == F.lit(bool(pattern["value"]))
+        if op == "literal_eq":
+            return self._equal(typed, pattern["value"])
+        to, cmp = pattern["value"], pattern["cmp"]
+        if op == "datatype_facet":
+            return COMPARATORS[cmp](self._number(typed), F.lit(float(to)))
+        by_number = COMPARATORS[cmp](self._number(typed), F.lit(to).try_cast("double") if isinstance(to, str) else F.lit(float(to)))
+        if cmp not in ("eq", "ne"):
+            return by_number
+        raw = self._equal(typed, to)
+        return F.coalesce(by_number, raw if cmp == "eq" else ~raw)
+
+    def facts(self, pattern: dict) -> Column:
+        """A map of what a pattern reads that is there, by name: lists joined by commas, values as text."""
+        names = referenced(pattern)
+        text = lambda typed: F.coalesce(*[c.cast("string") for c in typed.values()])
+        rows = []
+        for n in names:
+            lists = [F.concat_ws(",", *c) for (_, k), c in self.lists.items() if k == n]
+            typed = [text(c) for (_, k), c in self.values.items() if k == n]
+            rows.append(F.struct(F.lit(n).alias("key"), F.coalesce(*lists, *typed, F.lit(None).cast("string")).alias("value")))
+        return F.map_from_entries(F.filter(F.array(*rows), lambda x: F.coalesce(x["value"] != "", F.lit(False))))
+
+
 @dataclass(frozen=True)
 class Rule:
     """A rule of a group: fires where its pattern is TRUE, and then says its consequent."""
