@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,3 +102,115 @@ def context(text: Column, start: Column, end: Column, around: int) -> Column:
 def canonical_json(fields: dict[str, Column]) -> Column:
     """JSON with sorted keys, no spaces, non-ASCII as it is; a key of a NULL value is left out."""
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))
+
+
+#: Drug codes, impurity names, what is no entity (measures, numbers, spans of time, comparisons, ranges), and
+#: the tokens of a text: each CJK character, ASCII runs with their connectors, any other character but white space.
+DRUG_CODE = r"[A-Z]{2,4}-[0-9]{3,5}"
+IMPURITY = (r"(?i)(Imp[-‐]?\w+)", r"杂质[为:：]?\s*([^\s，。;；]+)")
+NO_ENTITY = r"^[0-9]+(\.[0-9]+)?\s*[a-zA-Zμ°℃%‰]+$|^[0-9]+(\.[0-9]+)?$|^[0-9]+\s*(分钟|小时|天)$|^[±<>≤≥]\s*[0-9]|^[0-9]+(\.[0-9]+)?\s*[-–~]\s*[0-9]"
+TOKEN = r"[一-鿿㐀-䶿]|[A-Za-z0-9]+(?:[._\-/%][A-Za-z0-9]+)*|[^\s]"
+#: A span of so many CJK characters, or characters if it has none, is short.
+SHORT_CJK, SHORT = 3, 4
+#: Characters of a document that a prompt holds, and paragraphs that a haystack holds.
+PROMPT, HAYSTACK = 12_000, 12
+
+
+def matched(text: Column, pattern: str, group: int = 0) -> Column:
+    """What a pattern finds first; NULL, not an empty string, if nothing."""
+    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
+
+
+def drug_code(title: Column, paragraphs: Column) -> Column:
+    """The first code of the title, else of the first paragraphs, else the title itself."""
+    found = F.filter(F.transform(F.slice(paragraphs, 1, HAYSTACK), lambda p: matched(p, DRUG_CODE)), lambda x: x.isNotNull())
+    return F.coalesce(matched(title, DRUG_CODE), F.get(found, F.lit(0)), title)
+
+
+def impurity(text: Column) -> Column:
+    return F.coalesce(*[matched(text, p, 1) for p in IMPURITY])
+
+
+def subclass_of(text: Column, table: list[tuple[str, str]]) -> Column:
+    """The class of the first keyword of a list that a text contains."""
+    return F.coalesce(*[F.when(F.contains(text, F.lit(k)), F.lit(c)) for k, c in table])
+
+
+def first_alternative(text: Column) -> Column:
+    return F.trim(F.substring_index(text, "/", 1))
+
+
+def no_entity(span: Column) -> Column:
+    """One character or less, or a pattern of NO_ENTITY."""
+    t = F.trim(span)
+    return (F.char_length(t) <= 1) | t.rlike(NO_ENTITY)
+
+
+def short_span(span: Column) -> Column:
+    cjk = F.char_length(span) - F.char_length(F.regexp_replace(span, "[一-鿿]", ""))
+    return F.when(cjk > 0, cjk <= SHORT_CJK).otherwise(F.char_length(span) <= SHORT)
+
+
+def _offsets(texts: pd.Series) -> pd.Series:
+    pattern = re.compile(TOKEN)
+    return pd.Series([[{"token": m[0], "start": m.start(), "end": m.end()} for m in pattern.finditer(t)] if t is not None else None for t in texts])
+
+
+def tokens_with_offsets(text: Column) -> Column:
+    """Tokens with their half-open places; offsets need a running sum over all that lies between, so Arrow batches do it."""
+    return F.pandas_udf(_offsets, "array<struct<token: string, start: int, end: int>>")(text)
+
+
+def heading_level(style: Column, points: Column | None = None) -> Column:
+    """1 to 6 by a paragraph's style name, in English or Chinese, else by its font size; 0 for none."""
+    s = F.trim(style)
+    low, number = F.lower(s), F.regexp_extract(s, "([0-9]+)", 1).try_cast("int")
+    named = F.when((low == "title") | (s == "标题"), 1).when((low == "subtitle") | (s == "副标题"), 2)
+    named = named.when((F.contains(low, F.lit("heading")) | F.startswith(s, F.lit("标题"))) & number.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(6), number)))
+    by_size = F.lit(None).cast("int") if points is None else F.when(points >= 20, 1).when(points >= 16, 2).when(points >= 14, 3)
+    return F.coalesce(named, by_size, F.lit(0))
+
+
+def next_version(version: Column) -> Column:
+    """v2 after v1; any other form gets `.1`."""
+    n = matched(version, "^v([0-9]+)$", 1).try_cast("bigint")
+    return F.when(n.isNotNull(), F.concat(F.lit("v"), n + 1)).otherwise(F.concat(version, F.lit(".1")))
+
+
+def column_like(mapping: dict[str, str], latin: str, other: str) -> str | None:
+    """The first property of a column mapping whose column or property name holds a Latin word, whatever its case, or whose column holds another."""
+    return next((p for c, p in mapping.items() if latin in c.lower() or latin in p.lower() or other in c), None)
+
+
+def haystack(title: Column, headings: Column, paragraphs: Column) -> Column:
+    """Title, headings and the first paragraphs: what a document is classified by."""
+    return F.concat_ws("\n", title, headings, F.slice(paragraphs, 1, HAYSTACK))
+
+
+def prompt_text(headings: Column, paragraphs: Column, rows: Column) -> Column:
+    """Headings, paragraphs and the first ten rows of tables, cut at PROMPT characters with a mark."""
+    whole = F.concat_ws("\n", headings, paragraphs, F.slice(rows, 1, 10))
+    return F.when(F.char_length(whole) > PROMPT, F.concat(F.substring(whole, 1, PROMPT), F.lit("\n[…]"))).otherwise(whole)
+
+
+def cell_like(row: dict[str, Column], needles: list[str]) -> Column:
+    """The first filled column whose name holds one of some words; empty for none."""
+    return F.coalesce(*[F.nullif(c, F.lit("")) for k, c in row.items() if any(n in k for n in needles)], F.lit(""))
+
+
+def table_found(headers: Column, needles: list[str]) -> Column:
+    """Whether all needles stand in a table's joined headers."""
+    joined = F.array_join(headers, "|")
+    return reduce(Column.__and__, [F.contains(joined, F.lit(n)) for n in needles])
+
+
+def anchor(evidence: Column, blocks: Column) -> Column:
+    """Where evidence stands among blocks (text, heading): the first that contains it, else the first of six characters or more that it contains.
+
+    `§ ` and the heading, or the block's own text if it has none; NULL if nothing fits.
+    """
+    span = F.trim(evidence)
+    fore = F.filter(blocks, lambda b: F.contains(b["text"], span))
+    back = F.filter(blocks, lambda b: (F.char_length(b["text"]) >= 6) & F.contains(span, b["text"]))
+    b = F.coalesce(F.get(fore, F.lit(0)), F.get(back, F.lit(0)))
+    return F.when(span != "", F.when(b["heading"].isNotNull(), F.concat(F.lit("§ "), b["heading"])).otherwise(b["text"]))

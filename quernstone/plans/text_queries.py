@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
+from quernstone.sources.shared import kept
 from quernstone.sources.tables import table
 
 
@@ -46,13 +47,17 @@ FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ')
 def kv_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("line"))
     extra = _docs(spark, sf_dir).select(F.col("doc_id").alias("conv_id"), F.lit(-1).cast("long").alias("turn"), F.explode(F.split("text", "\n")).alias("line"))
-    both = lines.select("conv_id", F.col("turn").cast("long").alias("turn"), "line").unionByName(extra)
+    e = table(spark, sf_dir, "events")
+    told = F.when(F.col("value") > 100, F.concat(F.lit(" "), "event_type", F.lit(" ： "), F.round("value", 1))).otherwise(F.concat("event_type", F.lit(":"), "props"))
+    logged = e.select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), told.alias("line"))
+    both = lines.select("conv_id", F.col("turn").cast("long").alias("turn"), "line").unionByName(extra).unionByName(logged)
     key, value = T.key_value(F.col("line"))
     return both.select("conv_id", "turn", key.alias("key"), value.alias("value")).filter("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("first_value"))
 
 
 O_KV = r"""
-WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM conversations UNION ALL SELECT unnest(string_split(text, chr(10))) FROM documents),
+WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM conversations UNION ALL SELECT unnest(string_split(text, chr(10))) FROM documents
+  UNION ALL SELECT CASE WHEN value > 100 THEN concat(' ', event_type, ' ： ', round(value, 1)) ELSE concat(event_type, ':', props) END FROM events),
 k AS (SELECT regexp_extract(line, '^\s*([^:：]{1,40}?)\s*[:：]\s*(.+?)\s*$', 1) AS key, regexp_extract(line, '^\s*([^:：]{1,40}?)\s*[:：]\s*(.+?)\s*$', 2) AS value FROM l WHERE regexp_matches(line, '^\s*([^:：]{1,40}?)\s*[:：]\s*(.+?)\s*$'))
 SELECT key, count(*) AS n, min(value) AS first_value FROM k GROUP BY key
 """
@@ -146,24 +151,6 @@ SELECT event_id, CASE WHEN event_id % 3 = 0 THEN concat('the ', event_type, ' ex
 """
 
 
-def audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each record's canonical text, hashed with the hash before it in its user's log: every row checks itself.
-
-    The log links records by the hash of the record before, not of the whole chain before, so verification is parallel.
-    """
-    e = table(spark, sf_dir, "events")
-    body = T.canonical_json({"type": F.col("event_type"), "id": F.col("event_id"), "props": F.col("props")})
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    rows = e.select("user_id", "event_id", F.sha2(body, 256).alias("record"))
-    rows = rows.withColumn("prev", F.lag("record", 1, "GENESIS").over(w)).withColumn("seq", F.row_number().over(w))
-    return rows.select("user_id", "event_id", "seq", F.sha2(F.concat("prev", "record"), 256).alias("entry_hash"))
-
-
-O_AUDIT = """
-SELECT user_id, event_id, CAST(row_number() OVER w AS INTEGER) AS seq, sha256(concat(lag(r, 1, 'GENESIS') OVER w, r)) AS entry_hash
-FROM (SELECT user_id, event_id, sha256(concat('{"id":', event_id, ',"props":', to_json(props), ',"type":"', event_type, '"}')) AS r FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)
-"""
-
 GENESIS = "0" * 64
 CHAIN = "user_id long, event_id long, seq long, prev_hash string, entry_hash string"
 
@@ -217,6 +204,20 @@ def audit_hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chained(_audit_log(spark, sf_dir))
 
 
+def audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry hashes of each user's log."""
+    return audit_hash_chain(spark, sf_dir).select("user_id", "event_id", "seq", "entry_hash")
+
+
+def audit_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What verification finds in a log whose costliest views were cut out, costliest errors rewritten and costliest sign-ups given another predecessor."""
+    log, e = _audit_log(spark, sf_dir), table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    stored = kept(chained(log), "log").join(log.select("event_id", "record"), "event_id").join(e, "event_id")
+    is_ = lambda t: (F.col("event_type") == t) & (F.col("value") > 150)
+    stored = stored.filter(~is_("view")).withColumns({"record": F.when(is_("error"), "changed").otherwise(F.col("record")), "prev_hash": F.when(is_("signup"), GENESIS).otherwise(F.col("prev_hash"))})
+    return chain_faults(stored).select("user_id", "event_id", "seq", F.array_join("faults", ",").alias("faults"))
+
+
 O_HASH_CHAIN = f"""
 WITH RECURSIVE r AS (SELECT user_id, event_id, seq, concat('{{"id":', event_id, ',"props":', to_json(props), ',"seq":', seq, ',"type":"', event_type, '"}}') AS record
   FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events)),
@@ -225,9 +226,17 @@ c AS (SELECT user_id, event_id, seq, '{GENESIS}' AS prev_hash, sha256(concat('{G
 SELECT * FROM c
 """
 
+O_AUDIT = f"SELECT user_id, event_id, seq, entry_hash FROM ({O_HASH_CHAIN})"
+O_FAULTS = f"""
+WITH x AS (SELECT c.*, event_type = 'error' AND value > 150 AS ch, event_type = 'signup' AND value > 150 AS sg, event_type = 'view' AND value > 150 AS gone FROM ({O_HASH_CHAIN}) c JOIN events USING (event_id)),
+y AS (SELECT user_id, event_id, seq, ch, sg, CASE WHEN sg THEN '{GENESIS}' ELSE prev_hash END AS p, prev_hash AS was, coalesce(lag(entry_hash) OVER w, '{GENESIS}') AS before, row_number() OVER w AS due FROM x WHERE NOT gone WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
+z AS (SELECT user_id, event_id, seq, concat_ws(',', CASE WHEN seq <> due THEN 'seq' END, CASE WHEN p <> before THEN 'prev' END, CASE WHEN ch OR p <> was THEN 'entry' END) AS faults FROM y)
+SELECT * FROM z WHERE faults <> ''
+"""
+
 _ALL = (
     (sentence_split, O_SENTENCES), (sentence_coalesce, None), (narrative_flag, O_NARRATIVE), (kv_extract, O_KV), (vocab_normalise, O_VOCAB), (doc_classify, O_CLASSIFY), (section_islands, O_SECTIONS),
-    (context_window, O_CONTEXT), (relevance_gate, O_GATE), (pct_extract, O_PCT), (action_parse, O_ACTION), (audit_chain, O_AUDIT), (audit_hash_chain, O_HASH_CHAIN),
+    (context_window, O_CONTEXT), (relevance_gate, O_GATE), (pct_extract, O_PCT), (action_parse, O_ACTION), (audit_chain, O_AUDIT), (audit_hash_chain, O_HASH_CHAIN), (audit_faults, O_FAULTS),
 )
 QUERIES = {f.__name__: f for f, _ in _ALL}
 ORACLES = {f.__name__: o for f, o in _ALL if o}

@@ -20,7 +20,8 @@ def folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def _forget(spark: SparkSession, path: str) -> None:
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a folder by the session's own file system."""
     try:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -36,5 +37,5 @@ def kept(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/quernstone-{uuid.uuid4().hex}/{name}"
     (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
-    atexit.register(_forget, spark, path.rpartition("/")[0])
+    atexit.register(forget, spark, path.rpartition("/")[0])
     return spark.read.schema(df.schema).parquet(path)

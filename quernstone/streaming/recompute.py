@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quernstone.operators.lifecycle import TERMINAL
 from quernstone.operators.relational import affected
+from quernstone.sources.shared import forget
 from quernstone.sources.tables import table
-from quernstone.streaming.changes import upserted
+from quernstone.streaming.changes import CHANGE, upserted
 
 SHADOW = "entity_id long, version int, label string"
+#: Micro-batches between two snapshots of the shadow table.
+COMPACT = 16
 
 
 def recomputed(conclusions: DataFrame, touched: DataFrame, targets: DataFrame, evaluate: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
@@ -34,30 +38,57 @@ def voided(actions: DataFrame, conclusions: DataFrame) -> DataFrame:
     """actions (conclusion_id, status, …): those not yet ended of superseded conclusions are void."""
     gone = conclusions.filter("superseded_by IS NOT NULL").select(F.col("id").alias("conclusion_id"), F.lit(True).alias("_gone"))
     j = actions.join(gone, "conclusion_id", "left")
-    ended = F.col("status").isin("done", "void", "failed")
-    return j.withColumn("status", F.when(F.col("_gone") & ~ended, "void").otherwise(F.col("status"))).drop("_gone")
+    ended = F.col("status").isin(*TERMINAL)
+    return j.withColumn("status", F.when(F.col("_gone") & ~ended, "voided").otherwise(F.col("status"))).drop("_gone")
 
 
-def snapshots(feed: DataFrame, home: str, then: Callable[[DataFrame, int], None] | None = None, **trigger) -> StreamingQuery:
-    """Follows accepted changes: each micro-batch writes the shadow table anew under its number, then calls `then`.
+def snapshots(feed: DataFrame, home: str, then: Sequence[Callable[[DataFrame, int], None]] = (), **trigger) -> StreamingQuery:
+    """Follows accepted changes: each micro-batch writes its own changes, and every COMPACT batches the shadow table anew.
 
-    A batch that is run again overwrites its own snapshot from that of the batch before, so nothing counts twice. What
-    subscribes comes after the write, and its errors fail the batch, not the snapshot.
+    A batch that is run again overwrites what it wrote, so nothing counts twice. Subscribers are called after the write,
+    with the changes as written; an error of one is told in the run log and stops neither the others nor the stream. What
+    a shadow table holds already is deleted one compaction later.
     """
 
     def step(changes: DataFrame, batch: int) -> None:
         spark = changes.sparkSession
-        before = spark.read.schema(SHADOW).parquet(f"{home}/shadow/batch={batch - 1}") if batch else spark.createDataFrame([], SHADOW)
-        upserted(before, changes).write.mode("overwrite").parquet(f"{home}/shadow/batch={batch}")
-        if then:
-            then(changes, batch)
+        changes.write.mode("overwrite").parquet(f"{home}/changes/batch={batch}")
+        ours = spark.read.schema(CHANGE).parquet(f"{home}/changes/batch={batch}")
+        if batch % COMPACT == 0:
+            before = _latest(spark, home, batch) if batch else spark.createDataFrame([], SHADOW)
+            upserted(before, ours).write.mode("overwrite").parquet(f"{home}/shadow/batch={batch}")
+            for old in range(batch - 2 * COMPACT, batch - COMPACT):
+                if old >= 0:
+                    forget(spark, f"{home}/changes/batch={old}")
+            if batch >= 2 * COMPACT:
+                forget(spark, f"{home}/shadow/batch={batch - 2 * COMPACT}")
+        errors = []
+        for subscriber in then:
+            try:
+                subscriber(ours, batch)
+            except Exception as e:  # isolated: the run log tells of it
+                errors.append(f"{type(e).__name__}: {e}"[:500])
+        log = ours.agg(F.count(F.lit(1)).alias("n_changes"), F.max("version").alias("cursor_to"))
+        log.select(F.lit("failed subscriber" if errors else "success").alias("status"), "n_changes", "cursor_to", F.lit("; ".join(errors)).alias("errors")).write.mode("overwrite").parquet(f"{home}/runs/batch={batch}")
 
     return feed.writeStream.foreachBatch(step).option("checkpointLocation", f"{home}/state").trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _latest(spark: SparkSession, home: str, below: int = 1 << 31) -> DataFrame:
+    """The shadow table before a batch: its last snapshot, named by number, and the changes since."""
+    snapshot = spark.read.option("basePath", f"{home}/shadow").schema(f"{SHADOW}, batch int").parquet(f"{home}/shadow").filter(F.col("batch") < below)
+    at = snapshot.agg(F.max("batch")).first()[0]
+    since = spark.read.option("basePath", f"{home}/changes").schema(f"{CHANGE}, batch int").parquet(f"{home}/changes").filter((F.col("batch") > at) & (F.col("batch") < below)).drop("batch")
+    return upserted(snapshot.filter(F.col("batch") == at).drop("batch"), since)
+
+
 def latest_snapshot(spark: SparkSession, home: str) -> DataFrame:
-    all_ = spark.read.option("basePath", f"{home}/shadow").schema(f"{SHADOW}, batch int").parquet(f"{home}/shadow")
-    return all_.join(F.broadcast(all_.agg(F.max("batch").alias("batch"))), "batch", "left_semi").drop("batch")
+    return _latest(spark, home)
+
+
+def run_log(spark: SparkSession, home: str) -> DataFrame:
+    """A row for each micro-batch: status, changes, cursor, and errors of subscribers."""
+    return spark.read.option("basePath", f"{home}/runs").parquet(f"{home}/runs")
 
 
 def scoped_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:

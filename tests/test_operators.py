@@ -67,8 +67,8 @@ def test_change_feed(spark, arrivals, versions):
 
 
 def test_transitions(spark):
-    d = spark.createDataFrame([("draft", "effective"), ("draft", "superseded"), ("effective", "superseded"), (None, "effective")], "a string, b string")
-    assert [tuple(r[0]) for r in d.select(lifecycle.transition(F.col("a"), F.col("b"))).collect()] == [("effective", True), ("draft", False), ("superseded", True), (None, False)]
+    d = spark.createDataFrame([(None, "effective"), (None, "superseded"), ("effective", "superseded"), ("rejected", "effective")], "a string, b string")
+    assert [tuple(r[0]) for r in d.select(lifecycle.transition(F.col("a"), F.col("b"))).collect()] == [("effective", True), (None, False), ("superseded", True), ("rejected", False)]
 
 
 def test_empty_tables(spark):
