@@ -14,8 +14,10 @@ from quernstone.plans.assessment import CRITERIA, RULES
 from quernstone.plans.rules import dedication, highest, validate
 from quernstone.sources.tables import table
 
-#: Rows of a governance listing; the default interval of a connector in seconds, and what its timeout adds; mappings that a class must have.
-NEWEST, INTERVAL, GRACE, MAPPINGS = 500, 2, 3, ("slpra_iri", "bfo")
+#: Rows of a governance listing; the default interval of a connector in seconds, and what its timeout adds.
+NEWEST, INTERVAL, GRACE = 500, 2, 3
+#: Mappings that a class must have, unless others are named: its IRI in the own ontology and in the upper one.
+MAPPINGS = ("own_iri", "bfo")
 #: Legal steps of a release.
 RELEASE_STEPS = {"submit": ("draft", "in_review"), "publish": ("in_review", "published"), "return": ("in_review", "draft")}
 
@@ -63,7 +65,7 @@ def equipment_status(changes: DataFrame, ids: DataFrame) -> DataFrame:
     return asked.select(F.col("entity_id").alias("equipment_id"), F.coalesce(F.element_at("fields", F.lit("status")), F.lit("idle")).alias("status"))
 
 
-def release_faults(classes: DataFrame, mappings: DataFrame, links: DataFrame) -> DataFrame:
+def release_faults(classes: DataFrame, mappings: DataFrame, links: DataFrame, needed: tuple[str, ...] = MAPPINGS) -> DataFrame:
     """(code, entity, severity) of what stands against a release.
 
     classes (iri, parent, enabled), mappings (iri, mapping_type), links (iri, domain, range, low, high, enabled): enabled
@@ -72,8 +74,8 @@ def release_faults(classes: DataFrame, mappings: DataFrame, links: DataFrame) ->
     """
     on, off = classes.filter("enabled"), classes.filter("NOT enabled").select(F.col("iri").alias("_off"))
     row = lambda d, code, severity: d.select(F.lit(code).alias("code"), F.col("iri").alias("entity"), F.lit(severity).alias("severity"))
-    have = mappings.filter(F.col("mapping_type").isin(*MAPPINGS)).groupBy("iri").agg(F.count_distinct("mapping_type").alias("_n"))
-    unmapped = on.join(have.filter(F.col("_n") == len(MAPPINGS)), "iri", "left_anti")
+    have = mappings.filter(F.col("mapping_type").isin(*needed)).groupBy("iri").agg(F.count_distinct("mapping_type").alias("_n"))
+    unmapped = on.join(have.filter(F.col("_n") == len(needed)), "iri", "left_anti")
     alone = on.filter("parent IS NULL").join(classes.select(F.col("parent").alias("iri")), "iri", "left_anti")
     below = on.join(off, F.col("parent") == F.col("_off"), "left_semi")
     live = links.filter("enabled")
@@ -227,8 +229,8 @@ def release_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations and suppliers as classes (a supplier below its nation or alone), parts and lines as links between them."""
     n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("iri"), F.lit(None).cast("string").alias("parent"), (F.col("n_regionkey") != 2).alias("enabled"))
     s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("iri"), F.when(F.col("s_acctbal") > 2000, F.concat(F.lit("n"), "s_nationkey")).alias("parent"), (F.col("s_acctbal") < 9000).alias("enabled"))
-    m = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("iri"), F.explode(F.array(F.lit("slpra_iri"), F.when(F.col("s_acctbal") > 1000, "bfo").otherwise("source_field"))).alias("mapping_type"))
-    m = m.unionByName(n.select("iri", F.explode(F.array(F.lit("bfo"), F.lit("slpra_iri"))).alias("mapping_type")))
+    m = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("iri"), F.explode(F.array(F.lit("own_iri"), F.when(F.col("s_acctbal") > 1000, "bfo").otherwise("source_field"))).alias("mapping_type"))
+    m = m.unionByName(n.select("iri", F.explode(F.array(F.lit("bfo"), F.lit("own_iri"))).alias("mapping_type")))
     line = table(spark, sf_dir, "lineitem").select(F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("iri"), F.concat(F.lit("s"), "l_suppkey").alias("domain"), F.concat(F.lit("n"), F.col("l_partkey") % 25).alias("range"), F.col("l_linenumber").alias("low"), F.lit(6).alias("high"), (F.col("l_returnflag") != "R").alias("enabled")).dropDuplicates(["iri"])
     return release_faults(n.unionByName(s), m, line).groupBy("code", "severity", F.substring("entity", 1, 1).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
