@@ -21,14 +21,13 @@ TRIPLE = "s string, p string, o string"
 def ancestors(edges: DataFrame) -> DataFrame:
     """(node, ancestor, depth) over (child, parent), the least depth for each pair, however deep; safe on cycles."""
     step = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).filter("node <> ancestor").distinct()
-    found = front = kept(step.withColumn("depth", F.lit(1)), "closure")
-    up = step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("above"))
-    for depth in itertools.count(2):
-        more = front.select("node", "ancestor").join(up, "ancestor").select("node", F.col("above").alias("ancestor")).filter("node <> ancestor").distinct()
-        front = kept(more.join(found, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
-        if front.isEmpty():
-            break
-        found = found.unionByName(front)
+    found, before = kept(step.withColumn("depth", F.lit(1)), "closure"), 0
+    # paths of two known pieces: what is known doubles its reach each round, and a round without a new pair is the last
+    while (n := found.count()) > before:
+        before = n
+        above = found.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("above"), F.col("depth").alias("more"))
+        longer = found.join(above, "ancestor").filter("node <> above").select("node", F.col("above").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        found = kept(found.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")), "closure")
     return found
 
 
