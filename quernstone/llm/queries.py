@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quernstone.llm import bpe, decontaminate, html_text, jaccard, language, licenses, line_dedup, quality, secrets, substrings
+from quernstone.llm import bpe, decontaminate, fill_middle, fingerprints, html_text, jaccard, language, licenses, line_dedup, quality, secrets, spelling, substrings
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_fill_middle": fill_middle.op12_fill_middle,
+    "op13_fingerprints": fingerprints.op13_fingerprints,
+    "fingerprint_classes": fingerprints.fingerprint_classes,
     "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_html_extraction": html_text.op4_html_extraction,
@@ -22,6 +26,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op11_spelling_variants": spelling.ORACLE_OP11,
+    "op12_fill_middle": fill_middle.ORACLE_OP12,
     "op2_jaccard_join": jaccard.ORACLE_OP2,
     "op5_quality_rules": quality.ORACLE_OP5,
     "op6_substring_dedup": substrings.ORACLE_OP6,
