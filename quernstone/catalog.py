@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.operators import coverage, governance, graph, lifecycle, ontology, registry, relational, similarity, spans, tables, triple_query
+from quernstone.operators import alignment, coverage, governance, graph, lifecycle, ontology, registry, relational, similarity, spans, tables, triple_query
 from quernstone.plans import assessment, extraction, relations, rule_queries, shared_line, text_queries
 from quernstone.sources import scans
 from quernstone.streaming import changes, recompute
@@ -14,6 +14,6 @@ from quernstone.streaming import changes, recompute
 FLAGSHIP = "assessment"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (assessment, coverage, governance, ontology, registry, extraction, relations, rule_queries, shared_line, relational, graph, triple_query, spans, text_queries, similarity, lifecycle, changes, recompute, scans, tables):
+for _module in (assessment, coverage, governance, ontology, registry, extraction, relations, rule_queries, shared_line, relational, graph, triple_query, spans, text_queries, similarity, alignment, lifecycle, changes, recompute, scans, tables):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

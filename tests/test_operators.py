@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
-from quernstone.operators import graph, lifecycle, relational, similarity, spans
+from quernstone.operators import alignment, graph, lifecycle, relational, similarity, spans
 from quernstone.streaming import changes
 
 
@@ -44,7 +44,7 @@ def test_elementary_segments(spark):
 def test_lexical_alignment(spark):
     c = spark.createDataFrame([("i1", "aspirin", 1), ("x", "aspirine", 1), ("y", "zzz", 1), ("z", "ibuprofen", 2)], "id string, name string, b int")
     e = spark.createDataFrame([("i1", "aspirin", 1, 0), ("i2", "aspirin B", 1, 1), ("i3", "ibuprofene", 2, 2)], "iri string, label string, b int, pos int")
-    got = {r.id: (r.iri, round(r.score, 6)) for r in similarity.aligned(c, e, "b", 0.6).collect()}
+    got = {r.id: (r.iri, round(r.score, 6)) for r in alignment.aligned(c, e, "b", 0.6).collect()}
     assert got == {"i1": ("i1", 1.0), "x": ("i1", round(difflib.SequenceMatcher(None, "aspirine", "aspirin").ratio(), 6)), "z": ("i3", round(difflib.SequenceMatcher(None, "ibuprofen", "ibuprofene").ratio(), 6))}
 
 
