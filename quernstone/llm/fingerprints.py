@@ -5,8 +5,9 @@ permutations x -> a x + b (mod 2^64, a odd) keeps its smallest value over the sh
 the fingerprint, as four hex digits a lane. The likeness of two fingerprints is the share of lanes that agree, which
 estimates the Jaccard similarity of the shingle sets with a standard error of at most 0.05.
 
-`edits` replaces the end of every text by the beginning of the next one. The next document of each id is found on ids
-alone, dealt by ranges; the heads of texts are joined to their predecessors, so that no task orders the corpus.
+`edits` replaces the end of every text by the beginning of the next one. Ids alone are dealt to ranges; then texts go to
+the range of their id, from large to small, so that the next document is the one before: no task orders the corpus, and
+a task holds two documents, however many rows share an id. The document that follows a range is sent to it as well.
 
 `classes` joins bands: equal shingle sets are one member; in each bucket of a band its smallest member leads, pairs with
 the leader are verified on whole sets, what is similar joins the leader's class and leaves the bucket, and the rest goes
@@ -28,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import WordHash, bounded_batches, columns_of, documents, grams, id_and_text, mixed, sent_if_few, signed, spread, written
+from quernstone.llm.common import WordHash, bounded_batches, columns_of, documents, grams, id_and_text, mixed, signed, spread, written
 from quernstone.llm.components import components
 
 #: Words of a shingle; permutations; bands of a signature and lanes of a band; the similarity that links, in a hundred; the part of a text that an edit replaces.
@@ -74,57 +75,93 @@ def likeness(a: str, b: str) -> float:
     return float((x == y).mean())
 
 
-def next_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, next_id, next_of, need): for each id the next larger one, the hash of that document's text, and the code points asked of it. docs: doc_id, text."""
-    ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("of"), F.max(F.floor(F.char_length("text") / EDITED)).alias("need"))
-    ranges = written(ids.repartitionByRange(spread(docs.sparkSession), "doc_id").withColumn("part", F.spark_partition_id()), "ranges")
-    here = F.struct("doc_id", "of")
-    # one row for each range: as many as the shuffle has partitions
-    firsts = ranges.groupBy("part").agg(F.min(here).alias("first"))
-    order = Window.orderBy("part")
-    firsts = firsts.select("part", F.coalesce(F.lead("first").over(order), F.first("first").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("beyond"))
-    within = ranges.withColumn("next", F.lead(here).over(Window.partitionBy("part").orderBy("doc_id")))
-    after = within.join(F.broadcast(firsts), "part").withColumn("next", F.coalesce("next", "beyond"))
-    return written(after.select("doc_id", F.col("next.doc_id").alias("next_id"), F.col("next.of").alias("next_of"), "need"), "next")
+def _ranges(docs: DataFrame) -> tuple[list[int], DataFrame]:
+    """Ranges of doc_id with about as many ids each: the smallest id of every range but its order, and (doc_id, of, part) of the first document beyond each.
 
+    One row for each partition of the shuffle, whatever the size of the corpus.
+    """
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("of"))
+    dealt = written(ids.repartitionByRange(spread(docs.sparkSession), "doc_id").withColumn("part", F.spark_partition_id()), "ranges")
+    firsts = sorted((r["x"]["doc_id"], r["x"]["of"]) for r in dealt.groupBy("part").agg(F.min(F.struct("doc_id", "of")).alias("x")).collect())
+    beyond = [(*firsts[(i + 1) % len(firsts)], i) for i in range(len(firsts))]
+    return [i for i, _ in firsts], docs.sparkSession.createDataFrame(beyond, "doc_id long, of long, part int")
 
-def with_heads(docs: DataFrame, nexts: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with next_id, next_of and `head`, the beginning of the next document's text, as long as any row of the id needs it."""
-    asked = sent_if_few(nexts.select(F.col("doc_id").alias("before"), F.col("next_id").alias("doc_id"), F.col("next_of"), "need"))
-    heads = docs.join(asked, "doc_id").filter(F.xxhash64("text") == F.col("next_of"))
-    heads = heads.groupBy(F.col("before").alias("doc_id")).agg(F.first(F.struct(F.col("doc_id").alias("next_id"), "next_of", F.expr("substring(text, 1, cast(need as int))").alias("head"))).alias("next"))
-    return docs.join(heads, "doc_id", "left").select("doc_id", "text", "next.*")
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """(part, beyond, doc_id, of, text): texts dealt by ranges of doc_id, from large to small within a range, and before each range the document that follows it.
 
-PRINTS = "doc_id long, of long, next_id long, next_of long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double"
-_SCHEMA = pa.schema([(x.split()[0], {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]]) for x in PRINTS.split(", ")])
+    docs: (doc_id, text), without null ids. This is the one place where texts are shuffled.
+    """
+    starts, beyond = _ranges(docs)
 
+    def part(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(np.array(starts, np.int64), ids.to_numpy(), side="right") - 1, dtype="int32")
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, ofs, next_ids, next_ofs, texts, heads in columns_of(batches, "doc_id", "of", "next_id", "next_of", "text", "head"):
+    hashed = docs.withColumn("of", F.xxhash64("text"))
+    own = hashed.select(F.pandas_udf(_as_series(part), "int")("doc_id").alias("part"), F.lit(False).alias("beyond"), "doc_id", "of", "text")
+    follows = hashed.join(F.broadcast(beyond), ["doc_id", "of"]).select("part", F.lit(True).alias("beyond"), "doc_id", "of", "text")
+    n = spread(docs.sparkSession)
+    return own.unionByName(follows).repartitionById(n, F.col("part")).sortWithinPartitions("part", F.desc("beyond"), F.desc("doc_id"), F.desc("of"))
+
+
+def _as_series(f):
+    def g(ids: pd.Series) -> pd.Series:
+        return f(ids)
+
+    return g
+
+
+EDITS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_SCHEMA = pa.schema([(x.split()[0], {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]]) for x in EDITS.split(", ")])
+
+
+def _edit(doc_id: int | None, text: str, own: str, after: str, of_next: str | None) -> tuple:
+    """A row of the result: the text's last part replaced by the first of the next one."""
+    n = len(text) // EDITED
+    other = text[: len(text) - n] + after[:n]
+    print_ = told(signature(shingles(other)))
+    return doc_id, len(text), hashlib.sha256(other.encode()).hexdigest(), own, print_, likeness(own, print_), None if of_next is None else likeness(own, of_next)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
+
+
+def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents from large ids to small; of the id before, the last row (its least hash) is what follows."""
+    part = here = None
+    after, last = ("", None), ("", None)
+    for parts, beyonds, ids, texts in columns_of(batches, "part", "beyond", "doc_id", "text"):
         out = []
-        for i, of, next_id, next_of, text, head in zip(ids, ofs, next_ids, next_ofs, texts, heads, strict=True):
-            n = len(text) // EDITED
-            other = text[: len(text) - n] + (head or "")[:n]
-            a, b = told(signature(shingles(text))), told(signature(shingles(other)))
-            out.append((i, of, next_id, next_of, len(text), hashlib.sha256(other.encode()).hexdigest(), a, b, likeness(a, b)))
+        for p, beyond, i, text in zip(parts, beyonds, ids, texts, strict=True):
+            own = told(signature(shingles(text)))
+            if beyond or p != part:
+                part, here, after = p, None, ("", None)
+            elif i != here:
+                after = last
+            if not beyond:
+                here = i
+                out.append(_edit(i, text, own, *after))
+            last = (text, own)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
+            yield _batch(out)
 
 
-def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if y is None else likeness(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, texts in columns_of(batches, "doc_id", "text"):
+        if ids:
+            yield _batch([_edit(i, t, told(signature(shingles(t))), "", None) for i, t in zip(ids, texts, strict=True)])
 
 
 def edits(docs: DataFrame) -> DataFrame:
     """The fingerprint of every text, of its edited text, and their likeness to each other and to the next document."""
     bounded_batches(docs.sparkSession)
     plain = id_and_text(docs)
-    rows = with_heads(plain, next_documents(plain)).withColumn("of", F.xxhash64("text"))
-    prints = written(rows.mapInArrow(_prints, PRINTS), "prints")
-    of_next = prints.filter("doc_id is not null").select(F.col("doc_id").alias("next_id"), F.col("of").alias("next_of"), F.col("fingerprint").alias("next_print")).dropDuplicates(["next_id", "next_of"])
-    both = prints.join(of_next, ["next_id", "next_of"], "left")
-    return both.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", F.pandas_udf(_likeness, "double")("fingerprint", "next_print").alias("near_next"))
+    known = plain.filter("doc_id is not null")
+    alone = plain.filter("doc_id is null").mapInArrow(_alone, EDITS)
+    if known.isEmpty():
+        return alone
+    return in_order(known).mapInArrow(_edits, EDITS).unionByName(alone)
 
 
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
