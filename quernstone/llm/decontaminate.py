@@ -32,8 +32,9 @@ from quernstone.llm.common import WordHash, bounded_batches, columns_of, documen
 MASKS = ("1111", "10111", "11011", "110101", "111001", "1000111", "1101001")
 MIN_SHARE, MIN_WORDS, ENOUGH, PENALTY = 60, 8, 13, 2
 BLOCK_WORDS = 1_000_000
-#: Hits that are laid over a document at a time.
-DIAGONALS = 1 << 14
+#: Diagonals, and words of theirs, that are compared at a time; seed hits that are held at once; hits for each diagonal from which an item's words
+#: are counted instead; text positions that are counted at once.
+DIAGONALS, COMPARED, AT_ONCE, CROWDED, WINDOW = 1 << 14, 1 << 20, 1 << 20, 2, 1 << 18
 
 #: Letters to lower case, and everything else in ASCII but digits to white space.
 FOLD = bytes(c if chr(c).islower() or chr(c).isdigit() or c > 127 else c + 32 if chr(c).isupper() else 32 for c in range(256))
@@ -92,61 +93,148 @@ class Block:
         self.low = np.zeros(1 << 22, dtype=bool)
         self.low[h & np.uint64((1 << 22) - 1)] = True
 
-    def diagonals(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
-        """(agreeing words, item, where its first word would stand) of every hit where enough words agree to count in any way."""
-        none = np.empty(0, dtype=np.int64)
-        items, starts = [none], [none]
+    def diagonals(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(item, starts, agreeing words): where an item's first word would stand, for the hits where enough words agree to count in any way.
+
+        Equal seeds of a repetitive text and a repetitive item are as many as their product. Where a text has more of
+        them than AT_ONCE, they are counted by item first (each seed of the benchmark once): items with more hits than
+        diagonals have the words of all their diagonals counted instead, and the rest go in groups of a bounded number.
+        """
+        met = []
         for m in self.masks:
             h = seeds(codes, m)
             maybe = np.flatnonzero(self.low[h & np.uint64((1 << 22) - 1)])
-            if not len(maybe):
-                continue
             lo, hi = (np.searchsorted(self.hashes, h[maybe], side) for side in ("left", "right"))
-            x = ranges(lo, hi - lo)
-            items.append(self.item[x])
-            starts.append(np.repeat(maybe, hi - lo) - self.at[x])
+            some = hi > lo
+            met.append((maybe[some], lo[some], hi[some] - lo[some]))
+        if sum(int(n.sum()) for _, _, n in met) <= AT_ONCE:
+            yield from self._grouped(codes, met, None)
+            return
+        load = np.zeros(len(self.items), dtype=np.int64)
+        for _, lo, n in met:
+            lo, first, times = np.unique(lo, return_index=True, return_counts=True)
+            load += np.bincount(self.item[ranges(lo, n[first])], weights=np.repeat(times, n[first]), minlength=len(load)).astype(np.int64)
+        crowded = load > CROWDED * (len(codes) + self.sizes)
+        for k in np.flatnonzero(crowded):
+            yield from self._counted(codes, int(k))
+        load[crowded] = 0
+        group = np.where(load > 0, np.cumsum(load) // AT_ONCE, -1)
+        for g in np.unique(group[group >= 0]):
+            yield from self._grouped(codes, met, group == g)
+
+    def _grouped(self, codes: np.ndarray, met: list[tuple], chosen: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The diagonals of hits, of chosen items alone if told so."""
+        none = np.empty(0, dtype=np.int64)
+        items, starts = [none], [none]
+        if chosen is None:
+            item, at, before = self.item, self.at, None
+        else:
+            mine = chosen[self.item]
+            item, at, before = self.item[mine], self.at[mine], np.concatenate([[0], np.cumsum(mine)])
+        for maybe, lo, n in met:
+            first, count = (lo, n) if before is None else (before[lo], before[lo + n] - before[lo])
+            x = ranges(first, count)
+            items.append(item[x])
+            starts.append(np.repeat(maybe, count) - at[x])
         # an item starts no further before the text than it is long
-        wide = len(codes) + int(self.sizes.max(initial=0)) + 1
         back = int(self.sizes.max(initial=0))
+        wide = len(codes) + back + 1
         keys = np.unique(np.concatenate(items) * wide + np.concatenate(starts) + back)
-        out: list[tuple[int, int, int]] = []
-        for i in range(0, len(keys), DIAGONALS):
-            k, start = keys[i : i + DIAGONALS] // wide, keys[i : i + DIAGONALS] % wide - back
+        found = [(none, none, none)]
+        i = 0
+        while i < len(keys):
+            # as many diagonals as their items have words in all, so that long items don't widen the comparison
+            size = np.cumsum(self.sizes[keys[i : i + DIAGONALS] // wide])
+            j = i + max(1, int(np.searchsorted(size, COMPARED)))
+            k, start = keys[i:j] // wide, keys[i:j] % wide - back
             first = np.maximum(0, -start)
             n = np.minimum(self.sizes[k], len(codes) - start) - first
             same = self.words[ranges(self.begins[k] + first, n)] == codes[ranges(start + first, n)]
             agree = np.add.reduceat(same, np.cumsum(n) - n, dtype=np.int64)
             good = agree >= np.minimum(self.needs[k], ENOUGH)
-            out.extend(zip(agree[good].tolist(), k[good].tolist(), start[good].tolist(), strict=True))
-        return out
+            found.append((k[good], start[good], agree[good]))
+            i = j
+        k, start, agree = (np.concatenate(x) for x in zip(*found, strict=True))
+        cut = np.flatnonzero(np.diff(k)) + 1
+        for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(k)]]), strict=True):
+            if b > a:
+                yield int(k[a]), start[a:b], agree[a:b]
+
+    def _counted(self, codes: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The diagonals of one item by counting, for each of its words, where text and item agree: pair by pair, or by one convolution where a word is frequent in both."""
+        item = self.items[k]
+        m, least = len(item), min(int(self.needs[k]), ENOUGH)
+        words, place = np.unique(item, return_inverse=True)
+        step = max(WINDOW, 4 * m)
+        starts, agrees = [], []
+        for begin in range(1 - m, len(codes), step):
+            low = max(0, begin)
+            text = codes[low : begin + step + m - 1]
+            # agreement by start, from `begin` on
+            agree, size = np.zeros(step, dtype=np.int64), 1 << int(step + 2 * m).bit_length()
+            at = np.minimum(np.searchsorted(words, text), len(words) - 1)
+            known = words[at] == text
+            where = np.flatnonzero(known)
+            by = where[np.argsort(at[where], kind="stable")]
+            ends = np.searchsorted(at[by], np.arange(len(words) + 1))
+            for w in range(len(words)):
+                p, q = by[ends[w] : ends[w + 1]] + low, np.flatnonzero(place == w)
+                if not len(p):
+                    continue
+                if len(q) > 32 and len(p) * len(q) > 16 * step:
+                    x, y = np.zeros(size), np.zeros(size)
+                    x[p - begin], y[q] = 1, 1
+                    both = np.rint(np.fft.irfft(np.fft.rfft(x) * np.conj(np.fft.rfft(y)), size)).astype(np.int64)
+                    agree += both[:step]
+                    continue
+                for i in range(0, len(p), max(1, AT_ONCE // len(q))):
+                    s = (p[i : i + max(1, AT_ONCE // len(q)), None] - q - begin).ravel()
+                    agree += np.bincount(s[(s >= 0) & (s < step)], minlength=step)
+            good = np.flatnonzero(agree >= least)
+            starts.append(good + begin)
+            agrees.append(agree[good])
+        start, agree = np.concatenate(starts), np.concatenate(agrees)
+        if len(start):
+            yield k, start, agree
+
+    def _best(self, codes: np.ndarray, k: int, starts: np.ndarray, agrees: np.ndarray) -> tuple[int, int, int] | None:
+        """(agreeing words, first and last word in the text) of the item's best overlap that counts: by agreeing words, then the first."""
+        item, m = self.items[k], len(self.items[k])
+        need = needed(m)
+        by = np.lexsort((starts, -agrees))
+        starts, agrees = starts[by], agrees[by]
+        if agrees[0] >= need:  # no overlap of the rest can be better
+            s = int(starts[0])
+            a, b = max(0, -s), min(m, len(codes) - s)
+            at = np.flatnonzero(item[a:b] == codes[s + a : s + b])
+            return int(agrees[0]), s + a + int(at[0]), s + a + int(at[-1])
+        best, rows = None, max(1, COMPARED // m)
+        for i in range(0, len(starts), rows):
+            if best and agrees[i] < best[0]:
+                break
+            s = starts[i : i + rows, None]
+            at = s + np.arange(m)
+            inside = (at >= 0) & (at < len(codes))
+            same = inside & (codes[np.where(inside, at, 0)] == item)
+            # the best run of each: agreements count 1, others -PENALTY; it begins after the last place where the sum is least
+            score = np.concatenate([np.zeros((len(s), 1), np.int64), np.cumsum(np.where(same, 1, -PENALTY), axis=1)], axis=1)
+            low = np.minimum.accumulate(score, axis=1)
+            end = np.argmax(score - low, axis=1)
+            is_low = (score == low) & (np.arange(m + 1) <= end[:, None])
+            begin = m - np.argmax(is_low[:, ::-1], axis=1)
+            total = np.concatenate([np.zeros((len(s), 1), np.int64), np.cumsum(same, axis=1)], axis=1)
+            row = np.arange(len(s))
+            n = total[row, end] - total[row, begin]
+            for j in np.flatnonzero(n >= min(need, ENOUGH)):
+                start = int(s[j, 0])
+                if best is None or (int(n[j]), -start) > (best[0], -best[3]):
+                    best = (int(n[j]), start + int(begin[j]), start + int(end[j]) - 1, start)
+        return best[:3] if best else None
 
     def verified(self, codes: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(item id, agreeing words, words of the item, first and last word in the text) of the overlaps that count; the best for each item."""
-        best: dict[int, tuple] = {}
-        # most agreeing words first: no overlap of the rest can be better than what is there already, so few are walked
-        for agree, k, start in sorted(self.diagonals(codes), key=lambda x: (-x[0], x[1], x[2])):
-            have = best.get(k, (0,))[0]
-            if agree < have or agree == have and start >= best[k][3]:
-                continue
-            item = self.items[k]
-            a, b = max(0, -start), min(len(item), len(codes) - start)
-            same = item[a:b] == codes[start + a : start + b]
-            n, need = int(same.sum()), needed(len(item))
-            if n >= need:
-                at = np.flatnonzero(same)
-                run = (int(at[0]), int(at[-1]) + 1)
-            else:
-                score, top, first, run = 0, 0, 0, (0, 0)
-                for i, x in enumerate(same.tolist()):
-                    score += 1 if x else -PENALTY
-                    if score <= 0:
-                        score, first = 0, i + 1
-                    elif score > top:
-                        top, run = score, (first, i + 1)
-                n, need = int(same[run[0] : run[1]].sum()), min(need, ENOUGH)
-            if n >= need and (n > have or n == have and start < best[k][3]):
-                best[k] = (n, start + a + run[0], start + a + run[1] - 1, start)
-        return [(self.ids[k], n, len(self.items[k]), first, last) for k, (n, first, last, _) in sorted(best.items())]
+        found = sorted((k, x) for k, starts, agrees in self.diagonals(codes) if (x := self._best(codes, k, starts, agrees)))
+        return [(self.ids[k], n, len(self.items[k]), first, last) for k, (n, first, last) in found]
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Block]:
