@@ -29,7 +29,7 @@ from quernstone.llm.common import bounded_batches, columns_of, documents, id_and
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 PLAIN_FROM, SUFFIX_FIRST = 90, 20
 #: A unit of one code point, and how many of them a block has.
-CODE_POINT, BLOCK = r"[\s\S]", 1024
+CODE_POINT, BLOCK = r"[\s\S]", 64
 CUT = "doc_id long, n long, form string, prefix_chars long, middle_chars long, output string"
 
 
