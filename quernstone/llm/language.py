@@ -5,8 +5,8 @@ of each filter goes to a softmax over languages. A text is cut into windows from
 one padded; its languages' probabilities are the means over its windows, weighted by how many bytes of each are text.
 
 The network is trained on the driver with one window from each of at most SAMPLE labelled documents, as many of each
-language as there are, up to an equal share, chosen by the hash of their ids; of more than LANGUAGES languages the most
-frequent ones are learned. Predictions take nothing but the text. For speed the embedding and each pair of a filter's columns are
+language as there are, up to an equal share, chosen by the hash of their ids; every language that has a label is
+learned, and of more than SAMPLE languages one window each. Predictions take nothing but the text. For speed the embedding and each pair of a filter's columns are
 multiplied out once into tables by byte and by pair of bytes; the sums are those of the convolution.
 
 Defined cases: a null text, or one without a letter, is `und` with a score of 0; every other text gets a learned
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quernstone.llm.common import bounded_batches, columns_of, documents
 
 #: Documents to learn from at most: a bound of what the driver reads (one window of each).
-SAMPLE, LANGUAGES = 6_000, 200
+SAMPLE = 6_000
 #: Bytes of a window, size of a byte's embedding, filters of each width.
 WINDOW, EMBEDDING, FILTERS, WIDTHS = 128, 8, 8, (2, 3, 4)
 EPOCHS, BATCH, RATE, SEED = 8, 64, 0.01, 7
@@ -157,8 +157,8 @@ def learned(docs: DataFrame) -> Net:
     h = F.xxhash64(F.col("doc_id"))
     rows = docs.select("doc_id", "lang", F.col("text").alias("text")).filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     start_at = F.lit(1) + F.pmod(h, F.greatest(F.char_length("text") - WINDOW, F.lit(1))).cast("int")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    share = SAMPLE // max(1, len(counts))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    share = max(1, SAMPLE // max(1, len(counts)))
     # about twice each language's share passes this filter, whatever the corpus; the window makes the bound exact
     least = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int((1 << 30) * min(1.0, 2 * share / n)))]) if counts else F.lit(None).cast("map<string,int>")
     rows = rows.filter(F.pmod(h, F.lit(1 << 30)) < F.element_at(least, F.col("lang")))
