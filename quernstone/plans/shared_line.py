@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import numeric
 from quernstone.plans import rules
 from quernstone.plans.rules import Rule, value
+from quernstone.sources.tables import table
 
 PROPERTY = "struct<iri:string,s:string,d:double,b:boolean>"
 INDIVIDUAL = f"iri string, class_iris array<string>, properties map<string,{PROPERTY}>"
@@ -264,5 +265,55 @@ def _sql(x: object) -> str:
     return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"{x}::DOUBLE" if isinstance(x, float) else f"'{x}'"
 
 
-QUERIES = {"golden_assessment": golden_assessment}
-ORACLES = {"golden_assessment": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in EXPECTED) + ") t(case_id, rule_ids, requires_dedication, risk_level, scenarios, maco, maco_method, requires_signature)"}
+def part_individuals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as products with an ingredient each (but for STANDARD ones), suppliers as equipment, and a request for each part on the suppliers of its lines.
+
+    Types are classes and profiles; sizes are levels, limits and forms; a missing property is a missing key.
+    """
+    ns = "http://example.org/drug/"
+    p, s, line = (table(spark, sf_dir, t) for t in ("part", "supplier", "lineitem"))
+    kind, size = F.col("p_type"), F.col("p_size")
+    classes = F.array_compact(F.array(F.lit(ns + "DrugProduct"), *[F.when(kind == k, F.lit(ns + c)) for k, c in (("PROMO", "PenicillinDrug"), ("ECONOMY", "BiologicalProduct"), ("SMALL", "HormonalDrug"))]))
+    one = lambda iri=None, s=None, d=None, b=None: F.struct(*[(F.lit(None) if x is None else x).cast(t).alias(n) for n, t, x in (("iri", "string", iri), ("s", "string", s), ("d", "double", d), ("b", "boolean", b))])
+    ingredient = F.concat(F.lit("a"), "p_partkey")
+    drug = _held(
+        ("sensitization_level", F.when(size <= 45, one(d=size / 10))), ("hasPrionRisk", F.when(kind == "ECONOMY", one(b=size > 25))), ("dosageForm", one(s=F.when(size > 20, "powder").otherwise("solution"))),
+        ("hasActiveIngredient", F.when(size > 3, one(iri=ingredient)).otherwise(one(s=F.lit("by name")))), ("maximumDailyDose_mg", F.when(size > 10, one(d=F.col("p_retailprice")))),
+    )
+    high = F.when(size > 25, "NonInactivatable").otherwise("HeatInactivatable")
+    api = _held(
+        ("hasToxicityProfile", F.when(kind == "LARGE", one(iri=F.lit(ns + "GenotoxicityProfile")))), ("hasOEBClassification", F.when(kind == "MEDIUM", one(iri=F.when(size > 25, ns + "OEB5").otherwise(ns + "OEB4")))),
+        ("hasInactivationDisposition", F.when(kind == "LARGE", one(iri=F.concat(F.lit(ns), high)))), ("has_beta_lactam_ring", F.when(kind == "PROMO", one(b=size > 30))), ("pde_mg_per_day", one(d=size / 1000)),
+    )
+    people = p.select(F.concat(F.lit("d"), "p_partkey").alias("iri"), classes.alias("class_iris"), drug.alias("properties"))
+    people = people.unionByName(p.filter(kind != "STANDARD").select(ingredient.alias("iri"), F.array(F.lit(ns + "ActivePharmaceuticalIngredient")).alias("class_iris"), api.alias("properties")))
+    clean = _held(("cleanabilityScore", one(d=F.col("s_acctbal") / 1000)), ("isInCleanArea", one(b=F.col("s_nationkey") > 12)))
+    people = people.unionByName(s.select(F.concat(F.lit("e"), "s_suppkey").alias("iri"), F.array(F.lit(ns + "Equipment")).alias("class_iris"), clean.alias("properties")))
+    used = line.select("l_partkey", "l_suppkey").distinct().groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.collect_list(F.concat(F.lit("e"), "l_suppkey")).alias("e"))
+    asked = p.select("p_partkey").join(used, "p_partkey", "left").select(F.col("p_partkey").cast("string").alias("case_id"), F.concat(F.lit("d"), "p_partkey").alias("drug_iri"), F.concat(F.coalesce("e", F.array().cast("array<string>")), F.array(F.lit("eq:unknown"))).alias("equipment_iris"))
+    return people, asked
+
+
+def part_conclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default criteria and rules over all parts."""
+    r = needs_signature(assessed(*part_individuals(spark, sf_dir)))
+    return r.select("case_id", F.array_join("rule_ids", ",").alias("rule_ids"), "requires_dedication", "risk_level", F.array_join("scenarios", ",").alias("scenarios"), F.array_join("classes_added", ",").alias("classes_added"), F.round("maco", 6).alias("maco"), "maco_method", "requires_signature")
+
+
+O_PARTS = """
+WITH q AS (SELECT l_partkey, count(*) FILTER (WHERE floor(s_acctbal / 1000) < 3) AS low, count(*) FILTER (WHERE s_nationkey <= 12) AS general, count(*) FILTER (WHERE floor(s_acctbal / 1000) > 4) AS good
+  FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1),
+c AS (SELECT p_partkey, p_retailprice, p_size AS z, p_size > 3 AND p_type <> 'STANDARD' AS api, coalesce(low, 0) AS low, coalesce(general, 0) AS general, coalesce(good, 0) AS good, p_type = 'PROMO' AS promo, p_type = 'ECONOMY' AS eco, p_type = 'SMALL' AS small,
+  p_type = 'LARGE' AND p_size > 3 AS cyt, p_type = 'MEDIUM' AND p_size > 3 AS act, p_size > 30 AND p_size <= 45 AS sens FROM part LEFT JOIN q ON l_partkey = p_partkey),
+f AS (SELECT *, list_filter(list_concat(CASE WHEN api AND z < 10 THEN list_transform(range(low), lambda x: 'R-CP1') ELSE [] END, CASE WHEN z > 20 THEN list_transform(range(general), lambda x: 'R-CP2') ELSE [] END, CASE WHEN z <= 20 THEN list_transform(range(good), lambda x: 'R-CP3') ELSE [] END,
+    [CASE WHEN cyt THEN 'R-DC1' END, CASE WHEN act THEN 'R-DC2' END, CASE WHEN sens THEN 'R-DC3' END, CASE WHEN promo AND z > 30 THEN 'R-DC4' END, CASE WHEN promo THEN 'R-ED1' END, CASE WHEN cyt AND z > 25 THEN 'R-ED2' END, CASE WHEN eco AND z > 25 THEN 'R-ED3' END,
+     CASE WHEN cyt AND z <= 25 THEN 'R-ED4' END, CASE WHEN act AND z > 25 THEN 'R-ED5' END, CASE WHEN small THEN 'R-ED6' END, CASE WHEN eco THEN 'R-SCc' END, CASE WHEN small OR cyt OR act THEN 'R-SCe' END, CASE WHEN promo THEN 'R-SCh' END]), lambda x: x IS NOT NULL) AS fired FROM c),
+r AS (SELECT *, promo OR (cyt AND z > 25) OR (eco AND z > 25) OR (act AND z > 25) AS ded, (api AND z < 10 AND low > 0) OR (z > 20 AND general > 0) AS high FROM f)
+SELECT p_partkey::VARCHAR AS case_id, array_to_string(fired, ',') AS rule_ids, ded AS requires_dedication, CASE WHEN high THEN 'HighRisk' ELSE 'LowRisk' END AS risk_level,
+  concat(CASE WHEN eco THEN 'BiologicSharedLineScenario' ELSE '' END, CASE WHEN small OR cyt OR act THEN 'HormonalCytotoxicHighPotencyScenario' ELSE '' END, CASE WHEN promo THEN 'PenicillinBetaLactamScenario' ELSE '' END) AS scenarios,
+  array_to_string(list_filter([CASE WHEN promo AND z > 30 THEN 'BetaLactamDrug' END, CASE WHEN cyt THEN 'CytotoxicDrug' END, CASE WHEN act THEN 'HighActivityDrug' END, CASE WHEN sens THEN 'HighSensitizingDrug' END], lambda x: x IS NOT NULL), ',') AS classes_added,
+  CASE WHEN api THEN round(z / 1000 * 1000 / CASE WHEN z > 10 THEN p_retailprice ELSE 1000 END, 6) END AS maco, CASE WHEN api THEN 'pde' END AS maco_method, ded OR high OR small OR cyt OR act OR promo OR sens AS requires_signature FROM r
+"""
+
+QUERIES = {"golden_assessment": golden_assessment, "part_conclusions": part_conclusions}
+ORACLES = {"part_conclusions": O_PARTS, "golden_assessment": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in EXPECTED) + ") t(case_id, rule_ids, requires_dedication, risk_level, scenarios, maco, maco_method, requires_signature)"}
