@@ -26,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import WordHash, bounded_batches, columns_of, documents, id_and_text, mixed
+from quernstone.llm.common import WordHash, bounded_batches, columns_of, documents, id_and_text
 
 #: The masks; 1 is a word that is looked at.
 MASKS = ("1111", "10111", "11011", "110101", "111001", "1000111", "1101001")
 MIN_SHARE, MIN_WORDS, ENOUGH, PENALTY = 60, 8, 13, 2
 BLOCK_WORDS = 1_000_000
 #: Diagonals, and words of theirs, that are compared at a time; seed hits that are held at once; hits for each diagonal from which an item's words
-#: are counted instead; text positions that are counted at once.
-DIAGONALS, COMPARED, AT_ONCE, CROWDED, WINDOW = 1 << 14, 1 << 20, 1 << 20, 2, 1 << 18
+#: are counted instead; text positions that are counted at once, and whose seeds are made at once.
+DIAGONALS, COMPARED, AT_ONCE, CROWDED, WINDOW, SPAN = 1 << 14, 1 << 20, 1 << 20, 2, 1 << 18, 1 << 18
 
 #: Letters to lower case, and everything else in ASCII but digits to white space.
 FOLD = bytes(c if chr(c).islower() or chr(c).isdigit() or c > 127 else c + 32 if chr(c).isupper() else 32 for c in range(256))
@@ -46,15 +46,25 @@ def folded(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").translate(FOLD)
 
 
-def seeds(codes: np.ndarray, mask: str) -> np.ndarray:
-    """The hash of each position's seed under a mask."""
-    n = len(codes) - len(mask) + 1
+#: A random odd factor for each word that a seed looks at; word hashes are mixed already, so a seed is the sum of products.
+FACTORS = np.random.Generator(np.random.PCG64(3)).integers(0, 1 << 63, max(m.count("1") for m in MASKS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+LOW = np.uint64((1 << 20) - 1)
+
+
+def products(codes: np.ndarray) -> list[np.ndarray]:
+    """The words of a text times each factor, once for all masks."""
+    return [codes * f for f in FACTORS]
+
+
+def seeds(parts: list[np.ndarray], mask: str) -> np.ndarray:
+    """The hash of each position's seed under a mask. parts: products of the words."""
+    n = len(parts[0]) - len(mask) + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    h = np.full(n, int(mask, 2), dtype=np.uint64)
-    for i, bit in enumerate(mask):
-        if bit == "1":
-            h = mixed(h * np.uint64(0xD6E8FEB86659FD93) + codes[i : i + n])
+    looked = [i for i, bit in enumerate(mask) if bit == "1"]
+    h = parts[0][:n] + np.uint64(int(mask, 2))
+    for part, i in zip(parts[1:], looked[1:], strict=False):
+        h += part[i : i + n]
     return h
 
 
@@ -81,7 +91,7 @@ class Block:
         for k, c in enumerate(self.items):
             for m in self.masks:
                 if m in MASKS or len(m) == len(c):
-                    h = seeds(c, m)
+                    h = seeds(products(c), m)
                     found.append((h, np.full(len(h), k), np.arange(len(h))))
         h, item, at = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.uint64), np.empty(0, int), np.empty(0, int))
         by = np.argsort(h, kind="stable")
@@ -90,8 +100,8 @@ class Block:
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.words = np.concatenate(self.items) if self.items else np.empty(0, np.uint64)
         self.needs = np.array([needed(n) for n in self.sizes.tolist()], dtype=np.int64)
-        self.low = np.zeros(1 << 22, dtype=bool)
-        self.low[h & np.uint64((1 << 22) - 1)] = True
+        self.low = np.zeros(int(LOW) + 1, dtype=bool)
+        self.low[h & LOW] = True
 
     def diagonals(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(item, starts, agreeing words): where an item's first word would stand, for the hits where enough words agree to count in any way.
@@ -100,48 +110,51 @@ class Block:
         them than AT_ONCE, they are counted by item first (each seed of the benchmark once): items with more hits than
         diagonals have the words of all their diagonals counted instead, and the rest go in groups of a bounded number.
         """
-        met = []
-        for m in self.masks:
-            h = seeds(codes, m)
-            maybe = np.flatnonzero(self.low[h & np.uint64((1 << 22) - 1)])
-            lo, hi = (np.searchsorted(self.hashes, h[maybe], side) for side in ("left", "right"))
-            some = hi > lo
-            met.append((maybe[some], lo[some], hi[some] - lo[some]))
-        if sum(int(n.sum()) for _, _, n in met) <= AT_ONCE:
-            yield from self._grouped(codes, met, None)
+        hits = [self._hits(codes, i) for i in range(0, len(codes), SPAN)]
+        if not hits:
+            return
+        maybe, lo, n = (np.concatenate(x) for x in zip(*hits, strict=True))
+        if not len(maybe):
+            return
+        if int(n.sum()) <= AT_ONCE:
+            yield from self._grouped(codes, maybe, lo, n, None)
             return
         load = np.zeros(len(self.items), dtype=np.int64)
-        for _, lo, n in met:
-            lo, first, times = np.unique(lo, return_index=True, return_counts=True)
-            load += np.bincount(self.item[ranges(lo, n[first])], weights=np.repeat(times, n[first]), minlength=len(load)).astype(np.int64)
+        seed, first, times = np.unique(lo, return_index=True, return_counts=True)
+        load += np.bincount(self.item[ranges(seed, n[first])], weights=np.repeat(times, n[first]), minlength=len(load)).astype(np.int64)
         crowded = load > CROWDED * (len(codes) + self.sizes)
         for k in np.flatnonzero(crowded):
             yield from self._counted(codes, int(k))
         load[crowded] = 0
         group = np.where(load > 0, np.cumsum(load) // AT_ONCE, -1)
         for g in np.unique(group[group >= 0]):
-            yield from self._grouped(codes, met, group == g)
-
-    def _grouped(self, codes: np.ndarray, met: list[tuple], chosen: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            yield from self._grouped(codes, maybe, lo, n, group == g)
+
+    def _hits(self, codes: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions from `begin` on, SPAN of them, whose seed under a mask is one of the benchmark's; where its entries begin, and how many there are."""
+        parts = products(codes[begin : begin + SPAN + max(map(len, self.masks)) - 1])
+        of_mask = [seeds(parts, m)[:SPAN] for m in self.masks]
+        h = np.concatenate(of_mask)
+        begins = np.cumsum([0, *map(len, of_mask)])
+        maybe = np.flatnonzero(self.low[h & LOW])
+        lo, hi = (np.searchsorted(self.hashes, h[maybe], side) for side in ("left", "right"))
+        some = hi > lo
+        maybe, lo, n = maybe[some], lo[some], (hi - lo)[some]
+        return maybe - begins[np.searchsorted(begins, maybe, "right") - 1] + begin, lo, n
+
+    def _grouped(self, codes: np.ndarray, maybe: np.ndarray, lo: np.ndarray, n: np.ndarray, chosen: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """The diagonals of hits, of chosen items alone if told so."""
-        none = np.empty(0, dtype=np.int64)
-        items, starts = [none], [none]
-        if chosen is None:
-            item, at, before = self.item, self.at, None
-        else:
-            mine = chosen[self.item]
-            item, at, before = self.item[mine], self.at[mine], np.concatenate([[0], np.cumsum(mine)])
-        for maybe, lo, n in met:
-            first, count = (lo, n) if before is None else (before[lo], before[lo + n] - before[lo])
-            x = ranges(first, count)
-            items.append(item[x])
-            starts.append(np.repeat(maybe, count) - at[x])
+        item, at = self.item, self.at
+        if chosen is not None:
+            mine = chosen[item]
+            item, at, before = item[mine], at[mine], np.concatenate([[0], np.cumsum(mine)])
+            lo, n = before[lo], before[lo + n] - before[lo]
+        x = ranges(lo, n)
         # an item starts no further before the text than it is long
         back = int(self.sizes.max(initial=0))
         wide = len(codes) + back + 1
-        keys = np.unique(np.concatenate(items) * wide + np.concatenate(starts) + back)
-        found = [(none, none, none)]
-        i = 0
+        keys = np.unique(item[x] * wide + np.repeat(maybe, n) - at[x] + back)
+        found, i = [], 0
         while i < len(keys):
             # as many diagonals as their items have words in all, so that long items don't widen the comparison
             size = np.cumsum(self.sizes[keys[i : i + DIAGONALS] // wide])
@@ -155,10 +168,11 @@ class Block:
             found.append((k[good], start[good], agree[good]))
             i = j
         k, start, agree = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(k):
+            return
         cut = np.flatnonzero(np.diff(k)) + 1
         for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(k)]]), strict=True):
-            if b > a:
-                yield int(k[a]), start[a:b], agree[a:b]
+            yield int(k[a]), start[a:b], agree[a:b]
 
     def _counted(self, codes: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """The diagonals of one item by counting, for each of its words, where text and item agree: pair by pair, or by one convolution where a word is frequent in both."""

@@ -42,7 +42,7 @@ def laid_over(text: list[str], item: list[str]):
 
 @pytest.mark.parametrize("hits, crowded, window, compared", [(1 << 20, 2, 1 << 18, 1 << 20), (16, 2, 64, 32), (16, 0, 64, 1 << 20), (1, 0, 1 << 18, 1), (64, 1, 300, 256)])
 def test_all_ways_of_counting_agree(monkeypatch, hits, crowded, window, compared):
-    for name, x in {"AT_ONCE": hits, "CROWDED": crowded, "WINDOW": window, "COMPARED": compared}.items():
+    for name, x in {"AT_ONCE": hits, "CROWDED": crowded, "WINDOW": window, "COMPARED": compared, "SPAN": window // 2}.items():
         monkeypatch.setattr(D, name, x)
     r, hashed = random.Random(hits + crowded), WordHash()
     for _ in range(60):
