@@ -10,7 +10,7 @@ most of the page's words.
 
 Defined cases: null or empty html, or a page without words, gives an empty text; a truncated page, an element that is
 not closed, and a bare `<` or `&` in text are read as browsers do; long pages are read whole, in linear time; repeated
-rows give repeated rows; other columns are not read.
+rows give repeated rows; of runs with equal sums the one that ends first counts; other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,14 +40,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that may stand in a head, whose tags are left out; any other, or a word, ends a head that is open.
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Class and id names, and roles, of elements apart from the main text. A name counts when it is a whole class or
-#: id, or its last part but for those that say nothing (ad-box-2); not after a part that tells of a state (has-sidebar).
-NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside widget footer masthead topbar toolbar comment comments respond replies reply disqus discussion share sharing social related recommended newsletter subscribe subscription signup login search pagination pager skip form".split())
+#: id, or its last part but for those that say nothing (ad-box-2); not after a part that tells of a state (has-sidebar). Parts
+#: end at marks and where a capital begins (siteFooter); sizes (300x250) say nothing.
+NAMES = frozenset("adsbygoogle adslot adunit adbox adbanner adwrapper adcontainer ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside widget footer masthead topbar toolbar comment comments respond replies reply disqus discussion share sharing social related recommended newsletter subscribe subscription signup login search pagination pager skip form".split())
 #: Of these, the names that never stand for the main text, however much they hold; and elements that may wrap a page.
 NEVER = frozenset("ad ads adv advert adverts advertisement advertising cookie cookies consent gdpr nav navbar navigation menu menubar footer comment comments respond replies reply disqus discussion".split())
+#: Names that say so at any part (comment-body, related-posts), unless the element holds most of the page's words.
+STRONG = frozenset("adsbygoogle ad ads advert adverts advertisement advertising sponsored comment comments disqus related share sharing cookie cookies consent gdpr breadcrumb breadcrumbs footer nav navbar navigation newsletter".split())
 WRAPS = frozenset("form fieldset dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 SAY_NOTHING = frozenset("area bar block bottom box col column container group inner item items left links list outer panel right row section slot top unit wrap wrapper".split())
-STATES = frozenset("has no with without is not hide show".split())
+STATES = frozenset("has no with without is not hide show free".split())
 #: Of two kinds of names, `header` means the page's own head unless one of these stands beside it.
 CONTENT_NAMES = frozenset("article content entry post story main".split())
 
@@ -77,6 +80,7 @@ _TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<
 _ATTR = re.compile(r"""([^\s"'<>/=]++)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*+))?""")
 _TELLING = re.compile("class|id|role|hidden|style", re.I)
 _WORD = re.compile(r"[^a-z0-9]+")
+_CAPITAL, _SIZE = re.compile(r"(?<=[a-z0-9])(?=[A-Z])"), re.compile(r"\d+(?:x\d+)?(?:px)?")
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
@@ -113,15 +117,23 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
         yield "close", "head", ""
 
 
-def named(value: str) -> set[str]:
-    """What the classes or ids of an element say it is."""
+def parts_of(token: str) -> list[str]:
+    """The words of a class or id, in lower case, without sizes; `has-sidebar` and the like tell of a state and say nothing."""
+    return [x for x in _WORD.split(_CAPITAL.sub("-", token).lower()) if x and not _SIZE.fullmatch(x)]
+
+
+def named(value: str, wraps: bool = False) -> set[str]:
+    """What the classes or ids of an element say it is: the last part that tells anything, and any strong one unless the element holds most of the page's words."""
     out = set()
     for token in value.split():
-        parts = [x for x in _WORD.split(token) if x]
+        parts = parts_of(token)
+        if STATES.intersection(parts[:-1]) or STATES.intersection(parts[1:]):
+            continue
+        if not wraps:
+            out |= STRONG.intersection(parts)
         while len(parts) > 1 and (parts[-1] in SAY_NOTHING or parts[-1].isdigit()):
             parts.pop()
-        if parts and not STATES.intersection(parts[:-1]):
-            out.add(parts[-1])
+        out.update(parts[-1:])
     return out
 
 
@@ -157,12 +169,14 @@ def apart(name: str, attrs: str, inside: bool, wraps: bool = False) -> bool:
     if not attrs or name in ("body", "html", "main", "article") or not _TELLING.search(attrs):
         return False
     for m in _ATTR.finditer(attrs):
-        key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key in ("class", "id"):
-            names = named(value)
-            if names & (NEVER if wraps else NAMES) or "header" in names and not inside and not wraps and not CONTENT_NAMES.intersection(_WORD.split(value)):
+            names = named(value, wraps)
+            if names & (NEVER if wraps else NAMES) or "header" in names and not inside and not wraps and not CONTENT_NAMES.intersection(parts_of(value)):
                 return True
-        elif key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
+            continue
+        value = value.lower()
+        if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
             return True
     return False
 
@@ -230,6 +244,19 @@ def whole(run: tuple[int, int], spans: list[tuple[int, int, str, int, bool]], wo
     return min(run[0], i), max(run[1], j)
 
 
+def best_run(values: list[float]) -> tuple[int, int]:
+    """The run (first, end) with the greatest sum, by one scan; the first to reach it among equals, and of those the shortest; (0, 0) if none is above 0."""
+    score = best = 0.0
+    first, run = 0, (0, 0)
+    for i, value in enumerate(values):
+        score += value
+        if score <= 0:
+            score, first = 0.0, i + 1
+        elif score > best:
+            best, run = score, (first, i + 1)
+    return run
+
+
 def extract(html: str, between: str = BETWEEN) -> str:
     """The main text of a page: its blocks in page order, with `between` between them."""
     weight, walk = weights(), _Walk()
@@ -239,15 +266,14 @@ def extract(html: str, between: str = BETWEEN) -> str:
     wrap = {i for i, _, _, k, _ in spans if 2 * k > n_words}
     seen: list[str] = []  # for each token: what kind of word, or whether a tag stands in an element apart
     words: list[int] = []
-    score = best = 0.0
-    first = 0
-    run = (0, 0)
+    values: list[float] = []
     block = ""
     for i, (kind, name, attrs) in enumerate(found):
         if kind == "text":
             n, of = len(name.split()), walk.word()
             seen.append(of)
             if not n:
+                values.append(0.0)
                 continue
             if of == "word":
                 words.append(i)
@@ -260,11 +286,8 @@ def extract(html: str, between: str = BETWEEN) -> str:
             block = name if name in BLOCKS else block
             value = weight.get(name, tag) if not (before or walk.skipped) else 0.0 if before else weight["word apart"]
             seen.append("")
-        score += value
-        if score <= 0:
-            score, first = 0.0, i + 1
-        elif score > best:
-            best, run = score, (first, i + 1)
+        values.append(value)
+    run = best_run(values)
     begin, end = whole(run, spans, words)
     blocks: list[str] = []
     parts: list[str] = []
