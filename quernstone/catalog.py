@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.operators import alignment, coverage, governance, graph, lifecycle, ontology, registry, relational, releases, similarity, spans, tables, triple_query
 from quernstone.plans import assessment, extraction, relations, rule_queries, shared_line, text_queries
-from quernstone.sources import scans, turtle
+from quernstone.sources import reflection, scans, turtle
 from quernstone.streaming import changes, recompute
 
 FLAGSHIP = "assessment"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (assessment, coverage, governance, ontology, registry, extraction, relations, rule_queries, shared_line, relational, releases, graph, triple_query, spans, text_queries, similarity, alignment, lifecycle, changes, recompute, scans, turtle, tables):
+for _module in (assessment, coverage, governance, ontology, registry, extraction, relations, rule_queries, shared_line, relational, releases, graph, triple_query, spans, text_queries, similarity, alignment, lifecycle, changes, recompute, scans, turtle, reflection, tables):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
