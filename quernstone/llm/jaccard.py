@@ -291,19 +291,31 @@ def _stars(live: DataFrame) -> DataFrame:
     return met.filter((F.col("k") >= 2) | F.col("own") | ~_two("n", "hub_n")).select(*_pair("hub", "node")).distinct()
 
 
+def _band(n: str | Column) -> Column:
+    """Sizes in steps of a tenth."""
+    return F.floor(F.log(n + F.lit(0.5)) / F.log(F.lit(1.1))).cast("int")
+
+
 def _crossing(live: DataFrame) -> DataFrame:
     """Every pair of members that share a prefix shingle, may be similar and lie in different components.
 
     Shingles are joined with the pairs of components that meet there, so the pairs within a component are never made;
-    pairs of groups pass the filters before they are expanded to members.
+    pairs of groups pass the filters before they are expanded to members. Members meet by shingle and band of sizes: one
+    looks for another in the bands that its place in the prefix lets it reach, and only where one of them reaches it as
+    well. Documents that share a common part and are too long to link by it (a head of a site's pages) so never meet.
     """
-    groups = live.select("token", "c", "grp", "n", _cap("n", "at").alias("one"), _cap("n", "at", 2).alias("two")).distinct()
-    sides = groups.groupBy("token", "c").agg(F.min("n").alias("least"), F.max("two").alias("cap"))
-    x, y = (sides.select("token", *[F.col(k).alias(f"{k}_{s}") for k in ("c", "least", "cap")]) for s in "xy")
-    apart = x.join(y, "token").filter((F.col("c_x") < F.col("c_y")) & (F.col("least_x") <= F.col("cap_y")) & (F.col("least_y") <= F.col("cap_x")))
-    p, q = (groups.select("token", *[F.col(k).alias(f"{k}_{s}") for k in ("c", "grp", "n", "one", "two")]) for s in "xy")
-    met = apart.select("token", "c_x", "c_y", "least_y", "cap_y").join(p, ["token", "c_x"]).filter("n_x <= cap_y AND least_y <= two_x")
-    met = met.join(q, ["token", "c_y"]).filter("n_x <= two_y AND n_y <= two_x")
+    two = _cap("n", "at", 2)
+    groups = live.select("token", "c", "grp", "n", _cap("n", "at").alias("one"), two.alias("two"), _band(F.col("n")).alias("band")).distinct()
+    there = groups.groupBy("token", "band").agg(F.min("n").alias("lo"), F.max("two").alias("hi"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
+    from_, to = _band(F.ceil(NUM * F.col("n") / DEN)), _band(F.col("two"))
+    look = groups.filter(F.col("two") >= F.ceil(NUM * F.col("n") / DEN)).withColumn("band", F.explode(F.sequence(from_, to)))
+    look = look.join(there, ["token", "band"]).filter("lo <= two AND n <= hi AND (c <> c_lo OR c <> c_hi)")
+    x = look.groupBy("token", "band", F.col("c").alias("c_x")).agg(F.min("n").alias("least_x"), F.max("two").alias("cap_x"))
+    y = groups.groupBy("token", "band", F.col("c").alias("c_y")).agg(F.min("n").alias("least_y"), F.max("two").alias("cap_y"))
+    apart = x.join(y, ["token", "band"]).filter((F.col("c_x") < F.col("c_y")) & (F.col("least_x") <= F.col("cap_y")) & (F.col("least_y") <= F.col("cap_x")))
+    p, q = (groups.select("token", *[F.col(k).alias(f"{k}_{s}") for k in ("c", "grp", "n", "one", "two")], *(["band"] if s == "y" else [])) for s in "xy")
+    met = apart.select("token", "band", "c_x", "c_y", "least_y", "cap_y").join(p, ["token", "c_x"]).filter("n_x <= cap_y AND least_y <= two_x")
+    met = met.join(q, ["token", "band", "c_y"]).filter("n_x <= two_y AND n_y <= two_x")
     first = F.count_if((F.col("n_x") <= F.col("one_y")) & (F.col("n_y") <= F.col("one_x")))
     met = met.groupBy("grp_x", "grp_y", "c_x", "c_y", "n_x", "n_y").agg(F.count(F.lit(1)).alias("k"), first.alias("first"))
     able = met.filter(F.when(_two("n_x", "n_y"), F.col("k") >= 2).otherwise(F.col("first") >= 1) | (F.col("grp_x") == F.col("grp_y"))).select("grp_x", "grp_y", "c_x", "c_y")

@@ -6,10 +6,12 @@ import os
 import random
 import subprocess
 import sys
+import time
 
 import pytest
 
 from quernstone.llm import decontaminate as D
+from quernstone.llm import jaccard
 from quernstone.llm.common import WordHash
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -75,3 +77,15 @@ def test_repetitive_texts_take_bounded_memory():
     out = subprocess.run([sys.executable, "-c", REPETITIVE], capture_output=True, text=True, env=env, timeout=120)
     assert out.returncode == 0, out.stderr
     assert int(out.stdout.split()[-1]) < 500
+
+
+def test_documents_too_long_to_link_by_a_common_part_never_meet(spark):
+    """Twenty thousand documents whose only common shingle stands too late in their prefixes: no pairs are made."""
+    live = spark.range(20_000).selectExpr("1L AS token", "id AS grp", "20 AS at", "id AS node", "cast(92 + id % 40 AS int) AS n", "0.5D AS w", "id AS c")
+    begin = time.time()
+    assert jaccard._crossing(live).count() == 0
+    assert time.time() - begin < 30  # their pairs would take minutes
+    near = spark.range(40).selectExpr("1L AS token", "id AS grp", "0 AS at", "id AS node", "cast(92 + id % 2 AS int) AS n", "0.5D AS w", "id % 4 AS c")
+    far = near.selectExpr("token + 1 AS token", "grp", "at", "node", "n", "w", "c")
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if a % 4 != b % 4}
+    assert {(r.a, r.b) for r in jaccard._crossing(near.unionByName(far)).collect()} == want
