@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from quernstone.functions import numeric
 from quernstone.functions.ternary import holds
 from quernstone.operators.lifecycle import TERMINAL, _states
-from quernstone.plans.assessment import CRITERIA, RULES
 from quernstone.plans.rules import dedication, highest, validate
 from quernstone.sources.tables import table
 
@@ -302,14 +301,37 @@ SELECT p_partkey, CASE WHEN p_size > 40 THEN 'low' ELSE p_size::VARCHAR END AS s
 """
 
 
-def pattern_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the assessment's rules name and no part type, nor known fact, is called."""
-    patterns = [(k, p) for k, p, _ in CRITERIA] + [(r.key, r.pattern) for r in RULES]
-    known = table(spark, sf_dir, "part").select(F.col("p_type").alias("name")).distinct().unionByName(spark.createDataFrame([("potency",), ("flag",), ("HighPotency",)], "name string"))
-    return reference_table(spark, patterns).join(known, "name", "left_anti")
+def references_in(patterns: DataFrame) -> DataFrame:
+    """(rule, kind, name) of all that stored patterns (rule, pattern: JSON) name, each once."""
+    found = lambda text, regex: F.regexp_extract_all(text, F.lit(regex), F.lit(1))
+    listed = F.flatten(F.transform(found(F.col("pattern"), r'"classes"\s*:\s*\[([^\]]*)\]'), lambda x: found(x, '"([^"]*)"')))
+    named = lambda key: found(F.col("pattern"), rf'"{key}"\s*:\s*"([^"]*)"')
+    kinds = {"property": named("property"), "class": F.concat(named("(?:class|filler_class)"), listed), "alignment": named("alignment")}
+    told = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name"))
+    each = F.flatten(F.array(*[F.transform(names, told(kind)) for kind, names in kinds.items()]))
+    return patterns.select("rule", F.inline(F.array_distinct(each)))
 
 
-O_REFERENCES = "SELECT * FROM (VALUES ('C2', 'class', 'HighPotency'), ('D1', 'class', 'Hazard'), ('D1', 'property', 'clean'), ('D2', 'class', 'R'), ('D3', 'class', 'A'), ('D3', 'class', 'N'), ('K2', 'class', 'Hazard'), ('K3', 'property', 'clean')) v(rule, kind, name) WHERE name NOT IN (SELECT p_type FROM part) AND name NOT IN ('potency', 'flag', 'HighPotency')"
+def pattern_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules made of parts, as the JSON that a table of rules holds, and what they name that no supplied part is or is called."""
+    p = table(spark, sf_dir, "part")
+    pattern = (
+        F.when(F.col("p_size") <= 10, F.to_json(F.struct(F.lit("class_present").alias("op"), F.col("p_type").alias("class"))))
+        .when(F.col("p_size") <= 25, F.to_json(F.struct(F.lit("and").alias("op"), F.array(
+            F.struct(F.lit("some_values_from").alias("op"), F.col("p_brand").alias("property"), F.col("p_type").alias("filler_class"), F.lit(None).cast("string").alias("alignment")),
+            F.struct(F.lit("external_alignment").alias("op"), F.lit("made of").alias("property"), F.lit(None).cast("string").alias("filler_class"), F.col("p_name").alias("alignment")),
+        ).alias("operands"))))
+        .otherwise(F.to_json(F.struct(F.lit("class_membership").alias("op"), F.col("p_brand").alias("property"), F.array("p_type", F.substring_index("p_name", " ", 1)).alias("classes"))))
+    )
+    known = p.filter("p_size = 50").select(F.explode(F.array("p_brand", "p_type")).alias("name")).distinct()
+    return references_in(p.select(F.col("p_partkey").alias("rule"), pattern.alias("pattern"))).join(known, "name", "left_anti")
+
+
+O_REFERENCES = """
+WITH r AS (SELECT p_partkey AS rule, 'class' AS kind, p_type AS name FROM part UNION SELECT p_partkey, 'property', p_brand FROM part WHERE p_size > 10
+  UNION SELECT p_partkey, 'property', 'made of' FROM part WHERE p_size BETWEEN 11 AND 25 UNION SELECT p_partkey, 'alignment', p_name FROM part WHERE p_size BETWEEN 11 AND 25 UNION SELECT p_partkey, 'class', split_part(p_name, ' ', 1) FROM part WHERE p_size > 25)
+SELECT * FROM r WHERE name NOT IN (SELECT p_brand FROM part WHERE p_size = 50) AND name NOT IN (SELECT p_type FROM part WHERE p_size = 50)
+"""
 
 
 def derivation_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,7 +104,7 @@ WHERE user_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) OR json_ex
 
 def dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live customers and suppliers of nations that are switched off, and nations of such regions: a union of semi joins."""
-    off = table(spark, sf_dir, "nation").filter("n_nationkey % 4 = 1").select(F.col("n_nationkey").alias("ref"))
+    off = table(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("ref"))
     parts = [table(spark, sf_dir, t).select(F.lit(t).alias("kind"), F.col(k).cast("long").alias("id"), F.col(r).cast("int").alias("ref")).join(off, "ref", "left_semi") for t, k, r in (("customer", "c_custkey", "c_nationkey"), ("supplier", "s_suppkey", "s_nationkey"))]
     regions = table(spark, sf_dir, "region").filter("r_regionkey = 2").select(F.col("r_regionkey").alias("ref"))
     parts.append(table(spark, sf_dir, "nation").select(F.lit("nation").alias("kind"), F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").alias("ref")).join(regions, "ref", "left_semi"))
@@ -112,8 +112,8 @@ def dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 O_DANGLING = """
-SELECT ref, 'customer' AS kind, c_custkey AS id FROM (SELECT *, c_nationkey AS ref FROM customer) WHERE ref % 4 = 1
-UNION ALL SELECT s_nationkey, 'supplier', s_suppkey FROM supplier WHERE s_nationkey % 4 = 1
+SELECT ref, 'customer' AS kind, c_custkey AS id FROM (SELECT *, c_nationkey AS ref FROM customer) WHERE ref IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)
+UNION ALL SELECT s_nationkey, 'supplier', s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)
 UNION ALL SELECT n_regionkey, 'nation', n_nationkey::BIGINT FROM nation WHERE n_regionkey = 2
 """
 

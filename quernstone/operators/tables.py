@@ -63,32 +63,33 @@ def module_of(iris: Column, modules: dict[str, str]) -> Column:
 
 
 def seed_if_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select("s_suppkey", "s_name")
+    base = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select("s_suppkey", "s_name")
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat("s_name", F.lit(" new")).alias("s_name"))
     return inserted_if_new(base, rows.unionByName(rows), "s_suppkey")
 
 
-O_SEED = "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE concat(s_name, ' new') END AS s_name FROM supplier"
+O_SEED = "SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN s_name ELSE concat(s_name, ' new') END AS s_name FROM supplier"
 
 
 def compare_and_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").alias("version"))
-    up = base.filter("p_partkey % 3 = 0").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("version")).otherwise(F.col("version") - 1).alias("expected"), F.lit("B").alias("p_brand"), F.lit(None).cast("string").alias("p_type"))
+    up = base.filter("p_type <> 'PROMO'").select("p_partkey", F.when(F.col("p_brand") < "Brand#3", F.col("version")).otherwise(F.col("version") - 1).alias("expected"), F.lit("B").alias("p_brand"), F.lit(None).cast("string").alias("p_type"))
     return swapped(base, up, "p_partkey")
 
 
-O_SWAP = "SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN 'B' ELSE p_brand END AS p_brand, p_type, p_size + (p_partkey % 6 = 0)::INT AS version, p_partkey % 6 = 0 AS swapped FROM part"
+O_SWAP = "SELECT p_partkey, CASE WHEN hit THEN 'B' ELSE p_brand END AS p_brand, p_type, p_size + hit::INT AS version, hit AS swapped FROM (SELECT *, p_type <> 'PROMO' AND p_brand < 'Brand#3' AS hit FROM part)"
 
 
 def release_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "customer").select("c_custkey", "c_name", (F.col("c_custkey") % 7 > 0).alias("enabled"), F.when(F.col("c_custkey") % 2 == 0, "draft").otherwise("published").alias("status"))
-    log = release_log(n.filter("c_custkey % 5 > 0"), disabled(n, n.filter("c_custkey % 11 = 0"), "c_custkey"), "c_custkey")
+    """Customers as classes: rich ones are drafts, the richest are new, furniture is switched off, and one nation's are switched off now."""
+    n = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", (F.col("c_mktsegment") != "FURNITURE").alias("enabled"), F.when(F.col("c_acctbal") > 3000, "draft").otherwise("published").alias("status"))
+    log = release_log(n.filter("c_acctbal < 8000"), disabled(n, n.filter("c_nationkey = 7"), "c_custkey"), "c_custkey")
     return log.groupBy("change").agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"))
 
 
 O_RELEASE = """
-SELECT CASE WHEN c_custkey % 7 = 0 OR c_custkey % 11 = 0 THEN 'disable' WHEN c_custkey % 5 = 0 THEN 'create' ELSE 'update' END AS change, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys
-FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 11 = 0 GROUP BY 1
+SELECT CASE WHEN c_mktsegment = 'FURNITURE' OR c_nationkey = 7 THEN 'disable' WHEN c_acctbal >= 8000 THEN 'create' ELSE 'update' END AS change, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys
+FROM customer WHERE c_acctbal > 3000 OR c_nationkey = 7 GROUP BY 1
 """
 
 

@@ -112,7 +112,7 @@ def grouped(candidates: DataFrame, key: str) -> DataFrame:
 def staged(rows: DataFrame, mentions: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows (id, name, kind, size, score, a and b: maps of structured and free values) through the stages: blanks filled, gate by kinds that are mentioned (kind), aligned by exact id (id, iri), keyed, canonical rows marked."""
     d = rows.withColumn("props", filled_blanks(F.col("a"), F.col("b"))).filter("size(props) > 0")
-    d = d.join(F.broadcast(mentions.select("kind").distinct()), "kind", "left_semi").join(existing, "id", "left")
+    d = d.join(mentions.select("kind").distinct(), "kind", "left_semi").join(existing, "id", "left")
     d = d.withColumn("key", group_key([F.col("name"), F.col("kind")], F.col("id").cast("string"), F.col("size") > 25))
     best = d.groupBy("key").agg(F.max(F.struct(F.coalesce("score", F.lit(0.0)), -F.col("id"))).alias("x")).select("key", (-F.col("x.col2")).alias("_best"))
     return d.join(best, "key").select("id", "key", "iri", F.size("props").alias("n_props"), (F.col("id") == F.col("_best")).alias("canonical"))
