@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -151,14 +151,29 @@ def short_span(span: Column) -> Column:
     return F.when(cjk > 0, cjk <= SHORT_CJK).otherwise(F.char_length(span) <= SHORT)
 
 
-def _offsets(texts: pd.Series) -> pd.Series:
-    pattern = re.compile(TOKEN)
-    return pd.Series([[{"token": m[0], "start": m.start(), "end": m.end()} for m in pattern.finditer(t)] if t is not None else None for t in texts])
+_TOKEN = re.compile(TOKEN)
+
+
+def _offsets(texts: pa.Array) -> pa.Array:
+    """A list of (token, start, end) for each text; what lies between tokens is white space, so each begins where it is found next."""
+    tokens, starts, ends, at_text, null = [], [], [], [0], []
+    for text in texts.to_pylist():
+        found, at = _TOKEN.findall(text) if text else [], 0
+        for token in found:
+            at = text.index(token, at)
+            starts.append(at)
+            at += len(token)
+            ends.append(at)
+        tokens += found
+        at_text.append(len(tokens))
+        null.append(text is None)
+    rows = pa.StructArray.from_arrays([pa.array(tokens, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["token", "start", "end"])
+    return pa.ListArray.from_arrays(pa.array(at_text, pa.int32()), rows, mask=pa.array(null, pa.bool_()))
 
 
 def tokens_with_offsets(text: Column) -> Column:
     """Tokens with their half-open places; offsets need a running sum over all that lies between, so Arrow batches do it."""
-    return F.pandas_udf(_offsets, "array<struct<token: string, start: int, end: int>>")(text)
+    return F.arrow_udf(_offsets, "array<struct<token: string, start: int, end: int>>")(text)
 
 
 def heading_level(style: Column, points: Column | None = None) -> Column:
