@@ -248,8 +248,8 @@ def _shared(posts: DataFrame) -> DataFrame:
     A shingle may be in the prefixes of a third of all groups: it is aggregated, and joined back, so that Spark can split it.
     """
     posts = written(posts, "posts")
-    hub = posts.groupBy("token").agg(F.min(F.struct("grp", "at")).alias("x"), F.max("grp").alias("hi")).filter("x.grp < hi")
-    wide = written(posts.join(hub.select("token", F.col("x.grp").alias("hub"), F.col("x.at").alias("hub_at")), "token"), "wide")
+    hub = posts.groupBy("token").agg(F.min("grp").alias("hub"), F.min_by("at", "grp").alias("hub_at"), F.max("grp").alias("hi")).filter("hub < hi")
+    wide = written(posts.join(hub.drop("hi"), "token"), "wide")
     return written(wide.distinct(), "shared")  # a group's prefix is posted once for each task that met it
 
 
