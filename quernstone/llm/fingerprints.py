@@ -220,12 +220,13 @@ def classes(docs: DataFrame) -> DataFrame:
     plain = id_and_text(docs)
     sets = written(plain.mapInArrow(_sets, SETS), "sets")
     members = written(sets.groupBy("h1", "h2", "doc_id").agg(F.lit(1)).select("h1", "h2", "doc_id"), "members")
-    leads = members.groupBy("h1", "h2").agg(F.min("doc_id").alias("lead"))
+    # tables on both sides of a join, so that Spark can split a set that a third of all documents have
+    leads = written(members.groupBy("h1", "h2").agg(F.min("doc_id").alias("lead")), "leads")
     own = written(sets.join(leads, ["h1", "h2"]).filter("doc_id = lead").dropDuplicates(["h1", "h2"]).select(F.monotonically_increasing_id().alias("id"), "h1", "h2", F.col("lead"), "bands", "tokens"), "distinct")
     reached = components(band_links(own)).withColumnRenamed("node", "id")
     groups = own.select("id", "h1", "h2", "lead").join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
     smallest = groups.groupBy("component").agg(F.min("lead").alias("class_id"))
-    of_set = groups.join(smallest, "component").select("h1", "h2", "class_id")
+    of_set = written(groups.join(smallest, "component").select("h1", "h2", "class_id"), "classes")
     by_id = members.join(of_set, ["h1", "h2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     return plain.select("doc_id").distinct().join(by_id, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
