@@ -121,10 +121,10 @@ def matched(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
 
-def drug_code(title: Column, paragraphs: Column) -> Column:
+def drug_code(title: Column, paragraphs: Column, pattern: str = DRUG_CODE) -> Column:
     """The first code of the title, else of the first paragraphs, else the title itself."""
-    found = F.filter(F.transform(F.slice(paragraphs, 1, HAYSTACK), lambda p: matched(p, DRUG_CODE)), lambda x: x.isNotNull())
-    return F.coalesce(matched(title, DRUG_CODE), F.get(found, F.lit(0)), title)
+    found = F.filter(F.transform(F.slice(paragraphs, 1, HAYSTACK), lambda p: matched(p, pattern)), lambda x: x.isNotNull())
+    return F.coalesce(matched(title, pattern), F.get(found, F.lit(0)), title)
 
 
 def impurity(text: Column) -> Column:

@@ -180,7 +180,7 @@ def text_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     version = F.when(F.col("p_size") > 25, F.concat(F.lit("v"), "p_size")).otherwise(F.concat(F.lit("1."), "p_size"))
     return p.select(
         "p_partkey",
-        T.drug_code(title, lines).alias("code"),
+        T.drug_code(title, lines, r"[A-Z]{2,4}-[0-9]{3,}").alias("code"),  # these codes are keys, of as many digits as the table is large
         T.impurity(found).alias("impurity"),
         T.subclass_of(F.col("p_name"), [("ring", "Ring"), ("green", "Green"), ("widget", "Widget")]).alias("subclass"),
         T.first_alternative(F.concat("p_type", F.lit(" / "), "p_name")).alias("first"),
