@@ -34,3 +34,8 @@ def same_as_sql(spark, name, at, con):
 def test_codes_of_keys_of_six_digits_are_whole(spark, tmp_path):
     at, con = changed(tmp_path, part="SELECT * REPLACE (p_partkey + 99850 AS p_partkey) FROM old_part")
     assert same_as_sql(spark, "text_codes", at, con)
+
+
+def test_links_read_only_columns_that_refer(spark):
+    found = catalog.QUERIES["schema_links"](spark, AT)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") <= found.count()
