@@ -122,25 +122,43 @@ class ReleaseLog:
         """Appends a release that holds the whole newest state, so that later ones fold from there."""
         return self._append(self._folded(self.last()), "base", None)
 
-    def history(self) -> DataFrame:
-        """(number, kind, target, created, updated, removed) of every release that changes something."""
-        log = self._changes(0, self.last())
+    def _told(self, changes: DataFrame) -> DataFrame:
         kind: Column = F.when(F.col("before").isNull(), "created").when(F.col("after").isNull(), "removed").otherwise("updated")
-        counts = log.withColumn("change", kind).groupBy("number").agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("created", "updated", "removed")])
+        return changes.withColumn("change", kind).groupBy("number").agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("created", "updated", "removed")])
+
+    def history(self, by: list[str] | None = None) -> DataFrame:
+        """(number, kind, target, created, updated, removed) of every release that changes something.
+
+        by: fewer key columns, by which a row before meets one after. Where several rows share them, each meets each, as in a join;
+        only for these rows the states are read.
+        """
+        log = self._changes(0, self.last())
         heads = self.headers().filter("kind <> 'base'").select("number", "kind", "target")
+        parts = [log]
+        if by:
+            several = kept(log.select(*self.keys).distinct().groupBy(*by).count().filter("count > 1").select(*by), "several")
+            if not several.isEmpty():
+                parts = [log.join(several, by, "left_anti").select("number", "before", "after")]
+                for n in sorted(h["number"] for h in heads.collect()):
+                    new, old = self._folded(n), self._folded(n - 1)
+                    a, b = (d.join(several, by, "left_semi").select(*by, F.col("row").alias(name)) for d, name in ((new.limit(0) if old is None else old, "before"), (new, "after")))
+                    j = a.join(b, by, "full").filter(~F.col("before").eqNullSafe(F.col("after")))
+                    parts.append(j.select(F.lit(n).cast("int").alias("number"), "before", "after"))
+        counts = reduce(DataFrame.unionByName, map(self._told, parts)).groupBy("number").agg(*[F.sum(c).alias(c) for c in ("created", "updated", "removed")])
         return heads.join(counts, "number", "left").na.fill(0, ["created", "updated", "removed"])
 
 
-# queries: customers as classes; the second release changes what the market says, the third what nations say, then all goes back
+# queries: customers as classes; the second release changes what the market says, the third what nations say, then all goes back.
+# A supplier's id may be a customer's as well, so the key has what it is of; history pairs by the id alone, as the SQL does.
 
 
 def _released(spark: SparkSession, sf_dir: str) -> ReleaseLog:
     c = table(spark, sf_dir, "customer")
-    one = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("label"), F.col("c_nationkey").alias("parent"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("note"))
+    one = c.select(F.col("c_custkey").alias("id"), F.lit("c").alias("of"), F.col("c_name").alias("label"), F.col("c_nationkey").alias("parent"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("note"))
     two = one.filter("note IS NULL OR note <> 'BUILDING'").withColumn("label", F.when(F.col("note") == "MACHINERY", F.concat("label", F.lit(" (machines)"))).otherwise(F.col("label")))
-    s = table(spark, sf_dir, "supplier").select((-F.col("s_suppkey")).alias("id"), F.col("s_name").alias("label"), F.col("s_nationkey").alias("parent"), F.lit(None).cast("string").alias("note"))
+    s = table(spark, sf_dir, "supplier").select((-F.col("s_suppkey")).alias("id"), F.lit("s").alias("of"), F.col("s_name").alias("label"), F.col("s_nationkey").alias("parent"), F.lit(None).cast("string").alias("note"))
     three = one.withColumn("note", F.lit("x")).filter("parent >= 5").unionByName(s)
-    log = ReleaseLog(spark, f"{folder(spark)}/releases-{uuid.uuid4().hex}", ["id"], ["label", "parent", "note"])
+    log = ReleaseLog(spark, f"{folder(spark)}/releases-{uuid.uuid4().hex}", ["id", "of"], ["label", "parent", "note"])
     log.publish(one)
     log.publish(two)
     log.base()
@@ -153,13 +171,13 @@ def _released(spark: SparkSession, sf_dir: str) -> ReleaseLog:
 def release_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state after each release: two are published, a third is, and two rollbacks lead to the second and to the first."""
     log = _released(spark, sf_dir)
-    parts = [log.state(n).withColumn("number", F.lit(n)) for n in (1, 2, 4, 5, 6)]
+    parts = [log.state(n).drop("of").withColumn("number", F.lit(n)) for n in (1, 2, 4, 5, 6)]
     return reduce(DataFrame.unionByName, parts)
 
 
 def release_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each release created, updated and removed."""
-    return _released(spark, sf_dir).history()
+    return _released(spark, sf_dir).history(["id"])
 
 
 _STATES = """

@@ -39,3 +39,9 @@ def test_codes_of_keys_of_six_digits_are_whole(spark, tmp_path):
 def test_links_read_only_columns_that_refer(spark):
     found = catalog.QUERIES["schema_links"](spark, AT)
     assert found._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") <= found.count()
+
+
+def test_releases_of_customers_whose_keys_are_those_of_suppliers_below_zero(spark, tmp_path):
+    at, con = changed(tmp_path, customer="SELECT * REPLACE (c_custkey - 100 AS c_custkey) FROM old_customer")
+    for name in ("release_rollback", "release_history"):
+        assert same_as_sql(spark, name, at, con), name
