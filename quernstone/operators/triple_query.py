@@ -320,8 +320,12 @@ def _next(todo: list, found: DataFrame | None) -> int:
     return 0
 
 
-def _solved(triples: DataFrame, g: Group, outer: list[str] | None = None) -> tuple[DataFrame, set[str], list]:
-    """Solutions of a group, the variables that may be unbound in them, and the filters of an OPTIONAL that ask for variables of the group around it."""
+def _solved(triples: DataFrame, g: Group, outer: list[str] | None = None, told: set[str] | None = None) -> tuple[DataFrame, set[str], list]:
+    """Solutions of a group, the variables that may be unbound in them, and the filters of an OPTIONAL that ask for variables of the group around it.
+
+    told: the variables whose values a DISTINCT result shows. Of an OPTIONAL's other variables that nothing else asks for, it only
+    counts that they are bound: its solutions are then told apart by the rest alone, and don't multiply those they are joined with.
+    """
     found, maybe, todo = None, set(), list(g.parts)
     while todo:
         part = todo.pop(_next(todo, found))
@@ -338,6 +342,11 @@ def _solved(triples: DataFrame, g: Group, outer: list[str] | None = None) -> tup
                 raise QueryError("an OPTIONAL needs a pattern before it")
             sure = set(found.columns) - maybe
             rows, may, left = _solved(triples, part[1], found.columns)
+            if told is not None:
+                asked = told | set(found.columns) | set().union(*map(_variables, todo)) | set().union(*map(_values, [*g.filters, *left]))
+                mute = [c for c in rows.columns if c not in asked]
+                if mute:
+                    rows = rows.select(*[F.when(F.col(c).isNotNull(), "").alias(c) if c in mute else F.col(c) for c in rows.columns]).distinct()
             found = _joined(found, rows, maybe | may, "left", left)
             maybe = set(found.columns) - sure
             continue
@@ -367,6 +376,11 @@ def _asks(c: tuple) -> set[str]:
     return set().union(*[_asks(x) if isinstance(x, tuple) else {x[1:]} if isinstance(x, str) and x.startswith("?") else set() for x in c[1:]], set())
 
 
+def _values(c: tuple) -> set[str]:
+    """The variables whose values a filter asks for, not only whether they are bound."""
+    return set() if c[0] == "BOUND" else set().union(*[_values(x) if isinstance(x, tuple) else {x[1:]} if isinstance(x, str) and x.startswith("?") else set() for x in c[1:]], set())
+
+
 def select(triples: DataFrame, text: str) -> DataFrame:
     """The result of a query over triples (s, p, o), a set as the functions of `graph` make it; its columns are `col_0` and on."""
     q = parsed(text)
@@ -377,7 +391,7 @@ def select(triples: DataFrame, text: str) -> DataFrame:
         raise QueryError("a query without variables")
     if q.distinct and not {v for v, _ in q.order} <= set(q.columns):
         raise QueryError("DISTINCT with an order by a variable that isn't selected")
-    rows, _, _ = _solved(triples, q.where)
+    rows, _, _ = _solved(triples, q.where, told={v[1:] for v in q.columns} if q.distinct else None)
     cols = [v[1:] for v in q.columns]
     if q.distinct:
         rows = rows.select(*dict.fromkeys(cols)).distinct()

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import os
+import random
+import re
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from quernstone import catalog
+from quernstone.functions import text as T
+from quernstone.operators import spans as S
+from quernstone.operators import triple_query
 
 AT = "/root/testdata/sf0.001"
 
@@ -45,3 +52,11 @@ def test_releases_of_customers_whose_keys_are_those_of_suppliers_below_zero(spar
     at, con = changed(tmp_path, customer="SELECT * REPLACE (c_custkey - 100 AS c_custkey) FROM old_customer")
     for name in ("release_rollback", "release_history"):
         assert same_as_sql(spark, name, at, con), name
+
+
+def test_an_optional_that_is_only_asked_whether_it_is_bound_multiplies_nothing(spark):
+    rows = [("n", "in", "r"), *[(f"s{i}", "at", "n") for i in range(20)], *[(f"s{i}", "balance", "5") for i in range(20)], *[("n", "debtor", f"c{i}") for i in range(30)]]
+    t = spark.createDataFrame(rows, "s string, p string, o string")
+    text = "SELECT DISTINCT ?r { ?s <at> ?n ; <balance> ?b . ?n <in> ?r OPTIONAL { ?n <debtor> ?c } FILTER (BOUND(?c) || ?b < 0) }"
+    assert triple_query._solved(t, triple_query.parsed(text).where, told={"r"})[0].count() == 20
+    assert [tuple(r) for r in triple_query.select(t, text).collect()] == [("r",)]
