@@ -119,22 +119,23 @@ def base_id(slot_id: Column) -> Column:
 
 
 def dismissed(records: DataFrame, dismissals: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Missing slots that a dismissal (key, slot_id) names, whole or by what stands before `[`, are dismissed."""
-    d = dismissals.select(key, "slot_id").distinct()
-    whole = d.select(key, "slot_id", F.lit(True).alias("_whole"))
-    base = d.select(key, F.col("slot_id").alias("_base"), F.lit(True).alias("_by_base"))
-    j = records.withColumn("_base", base_id(F.col("slot_id"))).join(whole, [key, "slot_id"], "left").join(base, [key, "_base"], "left")
-    gone = (F.col("status") == MISSING) & (holds(F.col("_whole")) | holds(F.col("_by_base")))
-    return j.withColumn("status", F.when(gone, DISMISSED).otherwise(F.col("status"))).select(records.columns)
+    """Missing slots that a dismissal (key, slot_id) names, whole or by what stands before `[`, are dismissed.
+
+    A document's dismissals meet its records as one row, so that records stay where their key has put them.
+    """
+    d = dismissals.groupBy(key).agg(F.collect_set("slot_id").alias("_slots"))
+    named = F.array_contains("_slots", F.col("slot_id")) | F.array_contains("_slots", base_id(F.col("slot_id")))
+    return records.join(d, key, "left").withColumn("status", F.when((F.col("status") == MISSING) & holds(named), DISMISSED).otherwise(F.col("status"))).select(records.columns)
 
 
 def filled_in(records: DataFrame, fills: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Missing slots with what was found for them elsewhere (key, slot_id, value): by whole id, else by what stands before `[`."""
-    f = fills.groupBy(key, "slot_id").agg(F.min("value").alias("value"))
-    whole = f.select(key, "slot_id", F.col("value").alias("_whole"))
-    base = f.select(key, F.col("slot_id").alias("_base"), F.col("value").alias("_by_base"))
-    j = records.withColumn("_base", base_id(F.col("slot_id"))).join(whole, [key, "slot_id"], "left").join(base, [key, "_base"], "left")
-    return j.withColumn("fill", F.when(F.col("status") == MISSING, F.coalesce("_whole", "_by_base"))).select(*records.columns, "fill")
+    """Missing slots with what was found for them elsewhere (key, slot_id, value): by whole id, else by what stands before `[`; the least value of several."""
+    # by document and slot in one aggregation: sorted, so that the first of a slot is its least
+    found = F.array_sort(F.collect_set(F.when(F.col("slot_id").isNotNull() & F.col("value").isNotNull(), F.struct("slot_id", "value"))))
+    f = fills.groupBy(key).agg(found.alias("_found"))
+    of = lambda slot: F.get(F.filter("_found", lambda x: x["slot_id"] == slot), F.lit(0))["value"]
+    j = records.join(f, key, "left")
+    return j.withColumn("fill", F.when(F.col("status") == MISSING, F.coalesce(of(F.col("slot_id")), of(base_id(F.col("slot_id")))))).select(*records.columns, "fill")
 
 
 def tree(template: list[Slot]) -> list[tuple[str, str, int]]:

@@ -54,6 +54,14 @@ def test_releases_of_customers_whose_keys_are_those_of_suppliers_below_zero(spar
         assert same_as_sql(spark, name, at, con), name
 
 
+def planned(spark, name):
+    return catalog.QUERIES[name](spark, AT)._jdf.queryExecution().toString()
+
+
+def test_records_are_not_shuffled_by_slot_for_dismissals_and_fills(spark):
+    assert not re.search(r"hashpartitioning\(doc_id#\d+L?, (slot_id|_base)#", planned(spark, "coverage_dismissals"))
+
+
 def test_an_optional_that_is_only_asked_whether_it_is_bound_multiplies_nothing(spark):
     rows = [("n", "in", "r"), *[(f"s{i}", "at", "n") for i in range(20)], *[(f"s{i}", "balance", "5") for i in range(20)], *[("n", "debtor", f"c{i}") for i in range(30)]]
     t = spark.createDataFrame(rows, "s string, p string, o string")
