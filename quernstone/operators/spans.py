@@ -5,21 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.sources.tables import table
+from quernstone.sources.tables import dealt, table
 
 SPAN = "struct<start:int,end:int,label:string,score:double>"
 
 
 def greedy(spans: Column) -> Column:
-    """Of spans (start, end, label, score) the best that don't overlap: by score, then start, then end; in order of start."""
-    by = F.array_sort(F.transform(spans, lambda s: F.struct((-s["score"]).alias("o"), s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), s["score"].alias("score"))))
+    """Of spans (start, end, label, score) the best that don't overlap: by score, then start, then end; in order of start.
+
+    Spans compete only within a run of spans that hang together by overlaps, so a long line's work is not the square of its spans.
+    """
+    by = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), (-s["score"]).alias("o"), s["label"].alias("label"), s["score"].alias("score"))))
     none = F.from_json(F.lit("[]"), f"array<{SPAN}>")
+    start = F.from_json(F.lit('{"run": [], "done": []}'), f"struct<reach:int,run:array<{SPAN}>,done:array<{SPAN}>>")
+
+    def plain(x: Column) -> Column:
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["label"].alias("label"), x["score"].alias("score"))
 
     def take(a: Column, x: Column) -> Column:
         hit = F.exists(a, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-        return F.when(hit, a).otherwise(F.array_append(a, F.struct(x["start"].alias("start"), x["end"].alias("end"), x["label"].alias("label"), x["score"].alias("score"))))
+        return F.when(hit, a).otherwise(F.array_append(a, plain(x)))
 
-    return F.array_sort(F.aggregate(by, none, take))
+    def best(run: Column) -> Column:
+        ordered = F.array_sort(F.transform(run, lambda s: F.struct((-s["score"]).alias("o"), s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), s["score"].alias("score"))))
+        return F.when(F.size(run) < 2, run).otherwise(F.aggregate(ordered, none, take))
+
+    def add(a: Column, x: Column) -> Column:
+        apart = F.struct(x["end"].alias("reach"), F.array(plain(x)).alias("run"), F.concat(a["done"], best(a["run"])).alias("done"))
+        more = F.struct(F.greatest(a["reach"], x["end"]).alias("reach"), F.array_append(a["run"], plain(x)).alias("run"), a["done"].alias("done"))
+        return F.when(x["start"] < a["reach"], more).otherwise(apart)
+
+    return F.array_sort(F.aggregate(by, start, add, lambda a: F.concat(a["done"], best(a["run"]))))
 
 
 def row_segment(headers: list[str], cells: list[Column]) -> tuple[Column, Column]:
@@ -44,6 +60,10 @@ def cell_of(span_start: Column, span_end: Column, cells: Column) -> Column:
 
 def elementary(runs: Column, spans: Column) -> Column:
     """The text between all neighbouring ends of runs and spans (start, end), with the first run and span that covers each."""
+    return F.get(F.transform(F.array(F.struct(runs.alias("runs"), spans.alias("spans"))), lambda x: _elementary(x["runs"], x["spans"])), F.lit(0))  # both are made once
+
+
+def _elementary(runs: Column, spans: Column) -> Column:
     ends = F.array_sort(F.array_distinct(F.flatten(F.array(runs["start"], runs["end"], spans["start"], spans["end"]))))
     pairs = F.zip_with(F.slice(ends, F.lit(1), F.greatest(F.size(ends) - 1, F.lit(0))), F.slice(ends, F.lit(2), F.greatest(F.size(ends) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
 
@@ -55,20 +75,22 @@ def elementary(runs: Column, spans: Column) -> Column:
 
 
 def matches(text: Column, pattern: str, label: str, score: Column | float) -> Column:
-    """Spans of a pattern's matches: pieces between them and their lengths, summed up along the text."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.split(text, pattern)
+    """Spans of a pattern's matches: pieces between them and their lengths, summed up along the text in one pass."""
+    pieces = F.zip_with(F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, x: F.struct(F.char_length(p).alias("gap"), F.char_length(x).alias("n")))
+    start = F.from_json(F.lit('{"at": 0, "done": []}'), f"struct<at:int,done:array<{SPAN}>>")
 
-    def at(x: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda a, y: a + F.char_length(y)) + F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda a, y: a + F.char_length(y))
-        return F.struct(before.alias("start"), (before + F.char_length(x)).alias("end"), F.lit(label).alias("label"), (F.lit(score) if isinstance(score, float) else score).cast("double").alias("score"))
+    def add(a: Column, p: Column) -> Column:
+        begin, end = a["at"] + p["gap"], a["at"] + p["gap"] + p["n"]
+        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(label).alias("label"), (F.lit(score) if isinstance(score, float) else score).cast("double").alias("score"))
+        return F.when(p["n"].isNull(), a).otherwise(F.struct(end.alias("at"), F.array_append(a["done"], span).alias("done")))
 
-    return F.transform(found, at)
+    return F.aggregate(pieces, start, add, lambda a: a["done"])
 
 
 def span_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over each line of the documents: capitalised words, words with their neighbours, and numbers compete."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "t"))
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "t"))
     spans = F.concat(matches(F.col("t"), r"[A-Z][a-z]+", "name", 0.6), matches(F.col("t"), r"[a-z]+ [A-Z][a-z]+", "pair", 0.8), matches(F.col("t"), r"[0-9]+", "number", 0.9))
     kept = lines.select("doc_id", "line", greedy(spans).alias("s"))
     return kept.select("doc_id", "line", F.size("s").alias("n"), F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["label"], x["start"], x["end"])), ",").alias("spans"))
@@ -90,7 +112,7 @@ SELECT c_custkey, concat('name：', c_name, ' | segment：', c_mktsegment, ' | b
 
 def inline_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' names and segments as two runs of a text, split where spans of words and digits begin and end."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", "c_mktsegment").alias("t"), F.char_length("c_name").alias("n"))
+    c = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey").select("c_custkey", F.concat("c_name", "c_mktsegment").alias("t"), F.char_length("c_name").alias("n"))
     runs = F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end")), F.struct(F.col("n").alias("start"), F.char_length("t").alias("end")))
     parts = c.select("c_custkey", elementary(runs, matches(F.col("t"), "[0-9]+", "number", 1.0)).alias("p"))
     return parts.select("c_custkey", F.size("p").alias("n_parts"), F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["start"], x["end"], x["run"], x["span"])), ",").alias("parts"))

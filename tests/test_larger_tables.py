@@ -68,3 +68,18 @@ def test_an_optional_that_is_only_asked_whether_it_is_bound_multiplies_nothing(s
     text = "SELECT DISTINCT ?r { ?s <at> ?n ; <balance> ?b . ?n <in> ?r OPTIONAL { ?n <debtor> ?c } FILTER (BOUND(?c) || ?b < 0) }"
     assert triple_query._solved(t, triple_query.parsed(text).where, told={"r"})[0].count() == 20
     assert [tuple(r) for r in triple_query.select(t, text).collect()] == [("r",)]
+
+
+def test_greedy_spans_against_brute_force(spark):
+    r = random.Random(3)
+    cases = []
+    for i in range(60):
+        spans = {(s, s + r.randrange(1, 6), r.choice("ab"), r.choice([0.5, 0.7, 0.9])) for s in (r.randrange(40) for _ in range(r.randrange(14)))}
+        cases.append((i, list(spans)))
+    got = spark.createDataFrame(cases, "i int, s array<struct<start:int,end:int,label:string,score:double>>").select("i", S.greedy(F.col("s")).alias("s"))
+    for row in got.collect():
+        kept: list = []
+        for x in sorted(cases[row.i][1], key=lambda x: (-x[3], *x)):
+            if not any(y[0] < x[1] and x[0] < y[1] for y in kept):
+                kept.append(x)
+        assert [tuple(x) for x in row.s] == sorted(kept)
