@@ -154,10 +154,22 @@ def short_span(span: Column) -> Column:
 _TOKEN = re.compile(TOKEN)
 
 
+#: Code points of texts whose tokens are Python objects at once.
+AT_ONCE = 1 << 20
+
+
 def _offsets(texts: pa.Array) -> pa.Array:
-    """A list of (token, start, end) for each text; what lies between tokens is white space, so each begins where it is found next."""
-    tokens, starts, ends, at_text, null = [], [], [], [0], []
-    for text in texts.to_pylist():
+    """A list of (token, start, end) for each text; what lies between tokens is white space, so each begins where it is found next.
+
+    Tokens become Arrow columns after every AT_ONCE code points, so that a batch of many texts holds few of them as objects.
+    """
+    parts, tokens, starts, ends, at_text, null, size = [], [], [], [], [0], [], 0
+
+    def arrow() -> pa.StructArray:
+        return pa.StructArray.from_arrays([pa.array(tokens, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["token", "start", "end"])
+
+    for text in texts:
+        text = text.as_py()
         found, at = _TOKEN.findall(text) if text else [], 0
         for token in found:
             at = text.index(token, at)
@@ -165,9 +177,13 @@ def _offsets(texts: pa.Array) -> pa.Array:
             at += len(token)
             ends.append(at)
         tokens += found
-        at_text.append(len(tokens))
+        at_text.append(at_text[-1] + len(found))
         null.append(text is None)
-    rows = pa.StructArray.from_arrays([pa.array(tokens, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["token", "start", "end"])
+        size += len(text or "")
+        if size >= AT_ONCE:
+            parts.append(arrow())
+            tokens, starts, ends, size = [], [], [], 0
+    rows = pa.concat_arrays([*parts, arrow()])
     return pa.ListArray.from_arrays(pa.array(at_text, pa.int32()), rows, mask=pa.array(null, pa.bool_()))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
 from quernstone.operators.tables import filled_blanks, group_key
-from quernstone.sources.tables import table
+from quernstone.sources.tables import dealt, table
 
 #: Scores asked of a span's own text and of its context, and the namespace of documents.
 DIRECT, IN_CONTEXT, FACTS = 0.85, 0.50, "http://x/facts#"
@@ -145,7 +145,7 @@ O_RELATIONS = " UNION ALL ".join(
 
 def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document: how many, where the first begins and the last ends, and all of them hashed."""
-    t = _docs(spark, sf_dir).select("doc_id", T.tokens_with_offsets(F.col("text")).alias("t"))
+    t = dealt(_docs(spark, sf_dir), "doc_id").select("doc_id", T.tokens_with_offsets(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").alias("n_tokens"), F.get("t", F.lit(0))["start"].alias("first_start"), F.element_at("t", -1)["end"].alias("last_end"), F.sha2(F.array_join("t.token", "\n"), 256).alias("tokens_sha256"))
 
 

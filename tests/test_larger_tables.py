@@ -58,6 +58,11 @@ def planned(spark, name):
     return catalog.QUERIES[name](spark, AT)._jdf.queryExecution().toString()
 
 
+def test_a_small_file_of_dear_rows_is_dealt_to_several_tasks(spark):
+    for name in ("span_greedy", "inline_split", "token_offsets"):
+        assert catalog.QUERIES[name](spark, AT).rdd.getNumPartitions() > 1, name
+
+
 def test_records_are_not_shuffled_by_slot_for_dismissals_and_fills(spark):
     assert not re.search(r"hashpartitioning\(doc_id#\d+L?, (slot_id|_base)#", planned(spark, "coverage_dismissals"))
 
@@ -70,6 +75,13 @@ def test_an_optional_that_is_only_asked_whether_it_is_bound_multiplies_nothing(s
     assert [tuple(r) for r in triple_query.select(t, text).collect()] == [("r",)]
 
 
+def test_tokens_are_the_same_however_few_are_objects_at_once(monkeypatch):
+    texts = pa.array(["a b-c  d", None, "", "反应 x", "last one"])
+    whole = T._offsets(texts)
+    monkeypatch.setattr(T, "AT_ONCE", 3)
+    assert T._offsets(texts).equals(whole) and len(whole) == 5 and whole[1].as_py() is None
+
+
 def test_greedy_spans_against_brute_force(spark):
     r = random.Random(3)
     cases = []
