@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.operators.graph import ancestors
-from quernstone.sources.tables import table
+from quernstone.sources.shared import kept
+from quernstone.sources.tables import dealt, table
 
 #: The vocabulary of class expressions, and the facet of each comparison.
 RDF, RDFS, OWL, XSD = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/owl#", "http://www.w3.org/2001/XMLSchema#"
@@ -79,6 +80,7 @@ def unsaid(criteria: DataFrame, namespace: str) -> DataFrame:
 
 def patterns_of(triples: DataFrame, namespace: str) -> DataFrame:
     """(target, op, property, filler, classes, cmp, value, alignment) of every restriction that a class is equivalent to; a filler outside the namespace is an alignment."""
+    triples = kept(triples.select("s", "p", "o"), "triples", by="p")  # made once, and each of the reads below takes its own predicates
     of = lambda p, name, *more: triples.filter(F.col("p") == p).select(F.col("s").alias("root" if name != "at" else "s"), F.col("o").alias(name), *more)
     roots = triples.filter(F.col("p") == OWL + "equivalentClass").select(F.col("s").alias("target"), F.col("o").alias("root"))
     base = roots.join(of(OWL + "onProperty", "property"), "root")
@@ -104,7 +106,7 @@ NS = "http://x/onto/"
 
 
 def _criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, size = table(spark, sf_dir, "part"), F.col("p_size")
+    p, size = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_partkey"), F.col("p_size")
     word = F.substring_index("p_name", " ", 1)
     fields = lambda op, **more: F.to_json(F.struct(F.lit(op).alias("op"), F.translate("p_brand", "#", "_").alias("property"), *[v.alias(k) for k, v in more.items()]))
     pattern = (
