@@ -63,6 +63,11 @@ def test_a_small_file_of_dear_rows_is_dealt_to_several_tasks(spark):
         assert catalog.QUERIES[name](spark, AT).rdd.getNumPartitions() > 1, name
 
 
+def test_what_several_steps_read_is_made_once(spark):
+    assert "part.parquet" not in planned(spark, "axioms_read")
+    assert "lineitem.parquet" not in planned(spark, "grid_segments")
+
+
 def test_records_are_not_shuffled_by_slot_for_dismissals_and_fills(spark):
     assert not re.search(r"hashpartitioning\(doc_id#\d+L?, (slot_id|_base)#", planned(spark, "coverage_dismissals"))
 
