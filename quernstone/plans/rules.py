@@ -86,12 +86,23 @@ def _equal(v: Column, to: object) -> Column:
     return F.when(v.isNotNull(), F.coalesce(same, F.lit(False)))
 
 
-def compiled(pattern: dict, prefix: str = "") -> Column:
-    """The pattern over the fact columns (below a struct column, if a prefix ending in a dot is given)."""
+class Named(dict):
+    """Facts of one kind by name, each a column of its own instead of a map's entry; a name that isn't there is UNKNOWN."""
+
+    def __init__(self, kind: str, **columns: Column):
+        super().__init__(columns)
+        self.kind = kind
+
+    def __missing__(self, name: str) -> Column:
+        return F.lit(None).cast(self.kind)
+
+
+def compiled(pattern: dict, prefix: str = "", facts: dict | None = None) -> Column:
+    """The pattern over the fact columns (below a struct column, if a prefix ending in a dot is given), or over facts given by their names."""
     op = pattern["op"]
-    classes, relations, data, alignments, scalars = (F.col(prefix + c) for c in ("classes", "relations", "data_values", "alignments", "scalars"))
+    classes, relations, data, alignments, scalars = (facts[c] if facts else F.col(prefix + c) for c in ("classes", "relations", "data_values", "alignments", "scalars"))
     if op in ("and", "or"):
-        return (all_of if op == "and" else any_of)([compiled(p, prefix) for p in pattern["operands"]])
+        return (all_of if op == "and" else any_of)([compiled(p, prefix, facts) for p in pattern["operands"]])
     if op == "some_values_from":
         return some(relations[pattern["property"]], lambda v: v.contains(pattern["filler_class"]))
     if op == "class_membership":
@@ -202,14 +213,14 @@ class Rule:
     consequent: dict
 
 
-def classify(facts: DataFrame, criteria: list[tuple[str, dict, str]]) -> DataFrame:
+def classify(facts: DataFrame, criteria: list[tuple[str, dict, str]], named: dict | None = None) -> DataFrame:
     """facts with the classes of criteria (key, pattern, class) that hold appended, in order, and `criteria_fired`.
 
-    Each criterion sees the classes of those before it; one pass, not a fixpoint.
+    Each criterion sees the classes of those before it; one pass, not a fixpoint. named: the facts, if they are columns.
     """
     out = facts.withColumn("criteria_fired", F.array().cast("array<string>"))
     for key, pattern, adds in criteria:
-        fired = holds(compiled(pattern))
+        fired = holds(compiled(pattern, facts=named))
         out = out.withColumn("_fired", fired).withColumns(
             {
                 "classes": F.when(F.col("_fired"), F.array_append("classes", F.lit(adds))).otherwise(F.col("classes")),
@@ -219,11 +230,11 @@ def classify(facts: DataFrame, criteria: list[tuple[str, dict, str]]) -> DataFra
     return out.drop("_fired")
 
 
-def fired(rules: list[Rule], group: str) -> Column:
+def fired(rules: list[Rule], group: str, named: dict | None = None) -> Column:
     """An array of (rule, consequent fields) of the group's rules that fire, by priority and key."""
     own = sorted((r for r in rules if r.group == group), key=lambda r: (r.priority, r.key))
     names = sorted({k for r in own for k in r.consequent})
-    rows = [F.when(holds(compiled(r.pattern)), F.struct(F.lit(r.key).alias("rule"), *[F.lit(r.consequent.get(n)).alias(n) for n in names])) for r in own]
+    rows = [F.when(holds(compiled(r.pattern, facts=named)), F.struct(F.lit(r.key).alias("rule"), *[F.lit(r.consequent.get(n)).alias(n) for n in names])) for r in own]
     return F.array_compact(F.array(*rows))
 
 

@@ -3,8 +3,8 @@
 individual: iri, class_iris, properties (map of key to {iri, s, d, b}; keys are matched by containment, the first hit wins)
 request: case_id, drug_iri, equipment_iris
 
-Requests fan out to their equipment; the four pathways are structs within the row; one aggregation by request joins them
-again. Missing ingredients and equipment are tolerated.
+A request's own facts are read and put to the rules once; then requests fan out to their equipment, the four pathways are
+conditions within the row, and one aggregation by request counts what they hit. Missing ingredients and equipment are tolerated.
 """
 
 from __future__ import annotations
@@ -129,28 +129,24 @@ def _held(*pairs: tuple[str, Column]) -> Column:
     return F.map_from_entries(rows)
 
 
-def facts(individuals: DataFrame, requests: DataFrame) -> DataFrame:
-    """A row of facts for each request and piece of equipment that exists (one row without, if there is none)."""
+def products(individuals: DataFrame, requests: DataFrame) -> DataFrame:
+    """A row for each request whose product exists: what rules and limits read of the product and its ingredient."""
     drug = individuals.select(F.col("iri").alias("drug_iri"), F.col("class_iris").alias("classes"), F.col("properties").alias("dp"))
     api = individuals.select(F.col("iri").alias("api_iri"), F.col("class_iris").alias("api_classes"), F.col("properties").alias("ap"))
-    d = requests.join(drug, "drug_iri").withColumn("_i", _first("dp", "hasActiveIngredient"))
+    d = requests.select("case_id", "drug_iri").join(drug, "drug_iri").withColumn("_i", _first("dp", "hasActiveIngredient"))
     d = d.withColumn("api_iri", F.coalesce(F.col("_i.iri"), F.when(F.startswith("_i.s", F.lit("http")), F.col("_i.s")))).join(api, "api_iri", "left")
-    equipment = individuals.select(F.col("iri").alias("eq_iri"), F.col("properties").alias("ep"))
-    e = requests.select("case_id", F.explode("equipment_iris").alias("eq_iri")).join(equipment, "eq_iri").select("case_id", "ep", F.lit(True).alias("has_equipment"))
-    d = d.join(e, "case_id", "left")
-    clean = _first("ep", "isInCleanArea")
-    area = F.when(F.lower(_text(clean)) == "true", "clean").otherwise("general")
-    score = F.get(F.array_compact(F.transform(_entries("ep", "cleanability"), lambda x: F.floor(_number(x["value"])))), F.lit(0))
-    pde = _number(_first("ap", "pde_mg_per_day"))
     return d.select(
         "case_id",
-        F.coalesce("has_equipment", F.lit(False)).alias("has_equipment"),
         "classes",
-        _held(("hasToxicityProfile", F.when(F.col("ap").isNotNull(), _objects("ap", "Toxicity"))), ("hasOEBClassification", F.when(F.col("ap").isNotNull(), _objects("ap", "OEB"))), ("hasInactivationProfile", F.coalesce(_objects("ap", "Inactivation", "inactivation"), F.array().cast("array<string>"))), ("coProduct", F.array().cast("array<string>"))).alias("relations"),
-        _held(("sensitizationLevel", _typed(F.element_at("dp", F.lit("sensitization_level")))), ("hasBetaLactamRing", _typed(_first("ap", "has_beta_lactam_ring")))).alias("data_values"),
-        _held(("hasActiveIngredient", F.when(F.size("api_classes") > 0, F.col("api_classes")))).alias("alignments"),
-        _held(("isShared", value(b=F.lit(True))), ("hasPrionRisk", F.coalesce(_typed(F.element_at("dp", F.lit("hasPrionRisk"))), value(b=F.lit(False)))), ("dosageForm", value(s=_text(_first("dp", "dosageForm")))), ("pde", value(d=pde)), ("areaType", value(s=area)), ("cleanability", value(d=score))).alias("scalars"),
-        pde.alias("pde"),
+        F.when(F.col("ap").isNotNull(), _objects("ap", "Toxicity")).alias("toxicity"),
+        F.when(F.col("ap").isNotNull(), _objects("ap", "OEB")).alias("oeb"),
+        F.coalesce(_objects("ap", "Inactivation", "inactivation"), F.array().cast("array<string>")).alias("inactivation"),
+        _typed(F.element_at("dp", F.lit("sensitization_level"))).alias("sensitization"),
+        _typed(_first("ap", "has_beta_lactam_ring")).alias("ring"),
+        F.when(F.size("api_classes") > 0, F.col("api_classes")).alias("aligned"),
+        F.coalesce(_typed(F.element_at("dp", F.lit("hasPrionRisk"))), value(b=F.lit(False))).alias("prion"),
+        _text(_first("dp", "dosageForm")).alias("form"),
+        _number(_first("ap", "pde_mg_per_day")).alias("pde"),
         _number(_first("dp", "maximumDailyDose_mg")).alias("tdd"),
         _number(_first("dp", "minimumTherapeuticDose_mg")).alias("dose"),
         _number(_first("ap", "ld50_mg_per_kg")).alias("ld50"),
@@ -158,25 +154,51 @@ def facts(individuals: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
+def equipped(individuals: DataFrame, requests: DataFrame) -> DataFrame:
+    """case_id, area and score of each piece of equipment that is asked for and exists. Its properties are read before they meet requests."""
+    area = F.when(F.lower(_text(_first("properties", "isInCleanArea"))) == "true", "clean").otherwise("general")
+    score = F.get(F.array_compact(F.transform(_entries("properties", "cleanability"), lambda x: F.floor(_number(x["value"])))), F.lit(0))
+    equipment = individuals.select(F.col("iri").alias("eq_iri"), area.alias("area"), score.alias("score"))
+    return requests.select("case_id", F.explode("equipment_iris").alias("eq_iri")).join(equipment, "eq_iri").select("case_id", "area", "score")
+
+
+def _named(pathway: str | None = None) -> dict:
+    """The facts of products() by their names; for a pathway, with it and the facts of equipment."""
+    lists, typed = "array<string>", rules.VALUE
+    scalars = {"isShared": value(b=F.lit(True)), "hasPrionRisk": F.col("prion"), "dosageForm": value(s=F.col("form")), "pde": value(d=F.col("pde"))}
+    if pathway:
+        scalars |= {"pathway": value(s=F.lit(pathway)), "areaType": value(s=F.col("area")), "cleanability": value(d=F.col("score"))}
+    return {
+        "classes": F.col("classes"),
+        "relations": rules.Named(lists, hasToxicityProfile=F.col("toxicity"), hasOEBClassification=F.col("oeb"), hasInactivationProfile=F.col("inactivation"), coProduct=F.array().cast(lists)),
+        "data_values": rules.Named(typed, sensitizationLevel=F.col("sensitization"), hasBetaLactamRing=F.col("ring")),
+        "alignments": rules.Named(lists, hasActiveIngredient=F.col("aligned")),
+        "scalars": rules.Named(typed, **scalars),
+    }
+
+
 def assessed(individuals: DataFrame, requests: DataFrame, criteria: list = CRITERIA, rule_set: list[Rule] = RULES, restrictive: bool = True) -> DataFrame:
-    """case_id, rule_ids, requires_dedication, risk_level, scenarios, classes_added, maco and its method; arrays are sorted."""
-    d = rules.classify(facts(individuals, requests), criteria)
-    d = d.withColumns({"_d": rules.fired(rule_set, "dedication"), "_s": rules.fired(rule_set, "scenario")})
-    plain = ("classes", "relations", "data_values", "alignments")
-    for i, p in enumerate(PATHWAYS):
-        d = d.withColumn(f"_f{i}", F.struct(*plain, F.map_concat("scalars", F.create_map(F.lit("pathway"), value(s=F.lit(p)))).alias("scalars")))
-    own = sorted((r for r in rule_set if r.group == "contamination"), key=lambda r: (r.priority, r.key))
-    hits = [F.when(F.col("has_equipment") & rules.holds(rules.compiled(r.pattern, f"_f{i}.")), F.struct(F.lit(r.key).alias("rule"), F.lit(r.consequent["level"]).alias("level"))) for i in range(len(PATHWAYS)) for r in own]
+    """case_id, rule_ids, requires_dedication, risk_level, scenarios, classes_added, maco and its method; arrays are sorted.
+
+    What only the product decides is decided once for each request; equipment is counted by contamination rule and pathway.
+    """
+    d = rules.classify(products(individuals, requests), criteria, _named())
+    d = d.withColumns({"_d": rules.fired(rule_set, "dedication", _named()), "_s": rules.fired(rule_set, "scenario", _named())})
     tdd = F.coalesce(F.nullif(F.col("tdd"), F.lit(0.0)), F.lit(DOSE))
     best = F.when(F.col("pde") > 0, numeric.maco(numeric.maco_methods(F.lit(BATCH), tdd, F.col("pde"), F.col("dose"), F.col("ld50"), F.col("route"))))
     added = F.array_compact(F.array(*[F.when(F.array_contains("criteria_fired", k), F.lit(c)) for k, _, c in criteria]))
-    d = d.select("case_id", added.alias("added"), F.concat("criteria_fired", "_d.rule", "_s.rule").alias("fired"), rules.dedication(F.col("_d.dedicated"), restrictive).alias("dedicated"), F.col("_s.scenario").alias("scenarios"), F.array_compact(F.array(*hits)).alias("hits"), best.alias("best"))
-    one = d.groupBy("case_id").agg(F.any_value("fired").alias("fired"), F.any_value("added").alias("added"), F.any_value("dedicated").alias("dedicated"), F.any_value("scenarios").alias("scenarios"), F.any_value("best").alias("best"), F.flatten(F.collect_list("hits")).alias("hits"))
+    mine = {"added": added, "fired": F.concat("criteria_fired", "_d.rule", "_s.rule"), "dedicated": rules.dedication(F.col("_d.dedicated"), restrictive), "scenarios": F.col("_s.scenario"), "best": best}
+    d = d.withColumns(mine).drop("criteria_fired", "_d", "_s", "tdd", "dose", "ld50", "route")
+    own = sorted((r for r in rule_set if r.group == "contamination"), key=lambda r: (r.priority, r.key))
+    ways = [(p, r) for p in PATHWAYS for r in own]
+    hit = [F.count_if(F.col("area").isNotNull() & rules.holds(rules.compiled(r.pattern, facts=_named(p)))).cast("int").alias(f"n{i}") for i, (p, r) in enumerate(ways)]
+    one = d.join(equipped(individuals, requests), "case_id", "left").groupBy("case_id").agg(*[F.any_value(k).alias(k) for k in mine], *hit)
+    levels = F.array_compact(F.array(*[F.when(F.col(f"n{i}") > 0, F.lit(r.consequent["level"])) for i, (_, r) in enumerate(ways)]).cast("array<string>"))
     return one.select(
         "case_id",
-        F.array_sort(F.concat("fired", "hits.rule")).alias("rule_ids"),
+        F.array_sort(F.concat("fired", *[F.array_repeat(F.lit(r.key), F.col(f"n{i}")) for i, (_, r) in enumerate(ways)])).alias("rule_ids"),
         F.col("dedicated").alias("requires_dedication"),
-        rules.highest(F.col("hits.level"), LATTICE).alias("risk_level"),
+        rules.highest(levels, LATTICE).alias("risk_level"),
         F.array_sort("scenarios").alias("scenarios"),
         F.array_sort("added").alias("classes_added"),
         F.col("best.value").alias("maco"),
@@ -289,7 +311,8 @@ def part_individuals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     people = people.unionByName(p.filter(kind != "STANDARD").select(ingredient.alias("iri"), F.array(F.lit(ns + "ActivePharmaceuticalIngredient")).alias("class_iris"), api.alias("properties")))
     clean = _held(("cleanabilityScore", one(d=F.col("s_acctbal") / 1000)), ("isInCleanArea", one(b=F.col("s_nationkey") > 12)))
     people = people.unionByName(s.select(F.concat(F.lit("e"), "s_suppkey").alias("iri"), F.array(F.lit(ns + "Equipment")).alias("class_iris"), clean.alias("properties")))
-    used = line.select("l_partkey", "l_suppkey").distinct().groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.collect_list(F.concat(F.lit("e"), "l_suppkey")).alias("e"))
+    lines = line.select(F.col("l_partkey").alias("p_partkey"), "l_suppkey").repartition("p_partkey")  # dealt once, for the distinct suppliers and for their lists
+    used = lines.distinct().groupBy("p_partkey").agg(F.collect_list(F.concat(F.lit("e"), "l_suppkey")).alias("e"))
     asked = p.select("p_partkey").join(used, "p_partkey", "left").select(F.col("p_partkey").cast("string").alias("case_id"), F.concat(F.lit("d"), "p_partkey").alias("drug_iri"), F.concat(F.coalesce("e", F.array().cast("array<string>")), F.array(F.lit("eq:unknown"))).alias("equipment_iris"))
     return people, asked
 

@@ -68,6 +68,11 @@ def test_what_several_steps_read_is_made_once(spark):
     assert "lineitem.parquet" not in planned(spark, "grid_segments")
 
 
+def test_a_product_is_put_to_the_rules_once_and_not_for_each_piece_of_equipment(spark):
+    plan = planned(spark, "part_conclusions").split("== Optimized Logical Plan ==")[1]
+    assert "map_concat" not in plan and not re.search(r"hashpartitioning\(l_partkey#\d+L?, l_suppkey#", plan)
+
+
 def test_records_are_not_shuffled_by_slot_for_dismissals_and_fills(spark):
     assert not re.search(r"hashpartitioning\(doc_id#\d+L?, (slot_id|_base)#", planned(spark, "coverage_dismissals"))
 
