@@ -1,5 +1,7 @@
 """The stream of changes gives what the batch gives, over several micro-batches."""
 
+import random
+
 import pytest
 
 from quernstone.streaming import changes, recompute
@@ -32,6 +34,18 @@ def test_snapshots_equal_the_batch(spark, tmp_path, monkeypatch, compact):
     assert [r.n_changes for r in log] == [n for _, n in sorted(seen)] and {r.status for r in log} == {"failed subscriber"}
 
 
+def test_many_entities_of_a_bucket_over_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(changes, "BUCKETS", 2)
+    r = random.Random(5)
+    rows = [(r.randrange(-20, 20), i, r.choice([None, -1, 0, *range(1, 9)]), r.choice(["a", None])) for i in range(300)]
+    feed = fed(spark, tmp_path, [[(1, -1, None, "x")], rows[:120], rows[120:130], rows[130:]])
+    stream = changes.deduplicated_stream(feed)
+    assert "_bucket" in stream._jdf.queryExecution().logical().toString()
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").option("path", f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination()
+    want = changes.accepted(spark.createDataFrame(rows, changes.CHANGE))
+    assert sorted(map(tuple, spark.read.schema(changes.CHANGE).parquet(f"{tmp_path}/out").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
 def test_changes_without_version_or_entity(spark):
     rows = [(1, 0, None, "a"), (1, 1, 2, "b"), (None, 2, 5, "c"), (2, 3, None, "d"), (2, 4, -1, "e")]
     d = spark.createDataFrame(rows, changes.CHANGE)
