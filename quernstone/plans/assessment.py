@@ -104,11 +104,11 @@ def recommended(dedicated: Column, risk_level: Column, limit: Column, scenarios:
 def rule_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each rule fired on each set of facts that it read."""
     facts, flat = order_line_facts(spark, sf_dir)
-    rows = assessed(facts, flat, CRITERIA, RULES).select(F.explode("provenance").alias("p"))
-    # counted as they were read, and put in order and told once for each set of facts
-    sets = rows.select("p.rule", "p.pathway", F.map_entries("p.facts").alias("e")).groupBy("rule", "pathway", "e").agg(F.count(F.lit(1)).alias("n"))
-    text = F.array_join(F.transform(F.array_sort("e"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
-    return sets.select("rule", "pathway", text.alias("facts"), "n").groupBy("rule", "pathway", "facts").agg(F.sum("n").alias("n"))
+    # lines with equal facts fire the same rules: they are counted first, and put to the rules once
+    equal = facts.groupBy("p_type", "p_size", "l_returnflag", "l_linestatus", "potency", "clean").agg(F.count(F.lit(1)).alias("lines"))
+    rows = assessed(equal, flat, CRITERIA, RULES).select(F.explode("provenance").alias("p"), "lines")
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("p.facts")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return rows.select("p.rule", "p.pathway", text.alias("facts"), "lines").groupBy("rule", "pathway", "facts").agg(F.sum("lines").alias("n"))
 
 
 def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,11 @@ def test_a_product_is_put_to_the_rules_once_and_not_for_each_piece_of_equipment(
     assert "map_concat" not in plan and not re.search(r"hashpartitioning\(l_partkey#\d+L?, l_suppkey#", plan)
 
 
+def test_lines_are_counted_by_their_facts_before_rules_read_them(spark):
+    plan = planned(spark, "rule_provenance").split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert -1 < plan.find("Generate explode") < plan.find("Aggregate [p_type")  # what comes first stands lower
+
+
 def test_records_are_not_shuffled_by_slot_for_dismissals_and_fills(spark):
     assert not re.search(r"hashpartitioning\(doc_id#\d+L?, (slot_id|_base)#", planned(spark, "coverage_dismissals"))
 
