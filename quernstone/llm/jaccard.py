@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import WordHash, bounded_batches, columns_of, documents, grams, id_and_text, mixed, sent_if_few, signed, spread, with_ids, written
+from quernstone.llm.common import WordHash, bounded_batches, columns_of, documents, dropped, grams, id_and_text, mixed, sent_if_few, signed, spread, with_ids, written
 from quernstone.llm.components import components
 
 #: Words of a shingle; two documents link at a similarity of NUM / DEN or more.
@@ -250,7 +250,10 @@ def _shared(posts: DataFrame) -> DataFrame:
     posts = written(posts, "posts")
     hub = posts.groupBy("token").agg(F.min("grp").alias("hub"), F.min_by("at", "grp").alias("hub_at"), F.max("grp").alias("hi")).filter("hub < hi")
     wide = written(posts.join(hub.drop("hi"), "token"), "wide")
-    return written(wide.distinct(), "shared")  # a group's prefix is posted once for each task that met it
+    shared = written(wide.distinct(), "shared")  # a group's prefix is posted once for each task that met it
+    for done in (posts, wide):
+        dropped(done)
+    return shared
 
 
 def _own(groups: DataFrame) -> DataFrame:
@@ -303,14 +306,17 @@ def _crossing(live: DataFrame) -> DataFrame:
     pairs of groups pass the filters before they are expanded to members. Members meet by shingle and band of sizes: one
     looks for another in the bands that its place in the prefix lets it reach, and only where one of them reaches it as
     well. Documents that share a common part and are too long to link by it (a head of a site's pages) so never meet.
+    The bands of a shingle are one row, so what sees nobody is left out where it is read; that holds for both ends of a
+    pair, as similar sets see each other.
     """
-    two = _cap("n", "at", 2)
-    groups = live.select("token", "c", "grp", "n", _cap("n", "at").alias("one"), two.alias("two"), _band(F.col("n")).alias("band")).distinct()
-    there = groups.groupBy("token", "band").agg(F.min("n").alias("lo"), F.max("two").alias("hi"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
-    from_, to = _band(F.ceil(NUM * F.col("n") / DEN)), _band(F.col("two"))
-    look = groups.filter(F.col("two") >= F.ceil(NUM * F.col("n") / DEN)).withColumn("band", F.explode(F.sequence(from_, to)))
-    look = look.join(there, ["token", "band"]).filter("lo <= two AND n <= hi AND (c <> c_lo OR c <> c_hi)")
-    x = look.groupBy("token", "band", F.col("c").alias("c_x")).agg(F.min("n").alias("least_x"), F.max("two").alias("cap_x"))
+    two, least = _cap("n", "at", 2), F.ceil(NUM * F.col("n") / DEN)
+    seen = live.select("token", "c", "grp", "n", _cap("n", "at").alias("one"), two.alias("two"), _band(F.col("n")).alias("band"))
+    there = seen.groupBy("token", "band").agg(F.min("n").alias("lo"), F.max("two").alias("hi"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
+    bands = there.groupBy("token").agg(F.collect_list(F.struct(*there.columns[1:])).alias("bands"))
+    meets = lambda b: b["band"].between(_band(least), _band(F.col("two"))) & (b["lo"] <= F.col("two")) & (b["hi"] >= F.col("n")) & ((b["c_lo"] != F.col("c")) | (b["c_hi"] != F.col("c")))
+    near = seen.filter(F.col("two") >= least).join(bands, "token").withColumn("see", F.transform(F.filter("bands", meets), lambda b: b["band"])).drop("bands")
+    groups = written(near.filter(F.size("see") > 0).distinct(), "near")
+    x = groups.select("token", F.explode("see").alias("band"), F.col("c").alias("c_x"), "n", "two").groupBy("token", "band", "c_x").agg(F.min("n").alias("least_x"), F.max("two").alias("cap_x"))
     y = groups.groupBy("token", "band", F.col("c").alias("c_y")).agg(F.min("n").alias("least_y"), F.max("two").alias("cap_y"))
     apart = x.join(y, ["token", "band"]).filter((F.col("c_x") < F.col("c_y")) & (F.col("least_x") <= F.col("cap_y")) & (F.col("least_y") <= F.col("cap_x")))
     p, q = (groups.select("token", *[F.col(k).alias(f"{k}_{s}") for k in ("c", "grp", "n", "one", "two")], *(["band"] if s == "y" else [])) for s in "xy")

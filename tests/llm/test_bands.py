@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import glob
+
 from quernstone.llm import fingerprints as P
+from quernstone.llm import jaccard
 
 
 def test_unlike_sets_of_a_bucket_take_few_rounds_and_lose_no_link(spark, monkeypatch):
@@ -14,3 +17,19 @@ def test_unlike_sets_of_a_bucket_take_few_rounds_and_lose_no_link(spark, monkeyp
     near = {frozenset((x.a, x.b)) for x in links.collect()}
     assert near >= {frozenset((i % 3, 30 + i)) for i in range(6)} and all(a % 30 % 3 == b % 30 % 3 for a, b in near)
     assert rounds.count("followers") <= 5
+
+
+def test_only_members_that_see_another_are_taken_on(spark, monkeypatch):
+    made, write = {}, jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name, *a: made.setdefault(name, write(df, name, *a)))
+    alone = [(1, 100 + i, 0, 100 + i, 40 * 2**i, 1.0, 100 + i) for i in range(10)]  # of one shingle, but too unlike in size
+    live = spark.createDataFrame([*alone, (1, 7, 0, 7, 43, 1.0, 7)], "token long, grp long, at int, node long, n int, w double, c long")
+    pairs = {(r.a, r.b) for r in jaccard._crossing(live).collect()}
+    assert {r.grp for r in made["near"].collect()} == {7, 100} and pairs <= {(7, 100)}
+
+
+def test_postings_go_when_they_are_read(spark):
+    posts = spark.createDataFrame([(1, 1, 0), (1, 2, 0), (2, 1, 1)], "token long, grp long, at int")
+    before = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/*/*/part-*"))
+    assert jaccard._shared(posts).count() == 2
+    assert {f.split("/")[-2] for f in set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/*/*/part-*")) - before} == {"shared"}
