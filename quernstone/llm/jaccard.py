@@ -25,7 +25,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import WordHash, bounded_batches, columns_of, documents, dropped, grams, id_and_text, mixed, sent_if_few, signed, spread, with_ids, written
@@ -40,6 +40,8 @@ LOW = (1 << 23) - 1
 SLICE = 64
 #: Shingles of one task that are counted together.
 COUNTED = 2_000_000
+#: Documents from which a shingle's postings are joined with its hub, instead of meeting in one task.
+OFTEN = 1_000
 
 
 def shingles(text: str, hashed: WordHash) -> np.ndarray:
@@ -222,14 +224,15 @@ def described(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     plain = id_and_text(docs)
     counts = plain.select("text").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     counts = written(counts, "counts")
-    top = counts.filter(F.col("n") >= _least_count(counts)).toArrow()
+    least = _least_count(counts)
+    top = counts.filter(F.col("n") >= least).toArrow()
     order = spark.sparkContext.broadcast(Order(top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()))
     del top
     rows = written(plain.mapInArrow(partial(_described, order=order, postings=False), "doc_id long, n_shingles long, grp long, f1 long, f2 long"), "sets")
     members = written(rows.filter("doc_id is not null and f1 is not null").groupBy("grp", "n_shingles", "f1", "f2").agg(F.min("doc_id").alias("node")), "members")
 
     posts = plain.filter("doc_id is not null").mapInArrow(partial(_described, order=order, postings=True), "token long, grp long, at int")
-    shared = _shared(posts)
+    shared = _shared(posts, counts.filter(F.col("n") >= max(OFTEN, least)).select(F.col("h").alias("token")))
     size = members.groupBy("grp").agg(F.max("n_shingles").cast("int").alias("n"), F.count(F.lit(1)).alias("k"))
     groups = written(shared.groupBy("grp").agg(F.count(F.lit(1)).alias("posts")).join(size, "grp", "right").filter("posts is not null or k > 1").select("grp", "n", "k", (F.coalesce("posts", F.lit(0)) / F.col("n")).alias("w")), "groups")
     nodes = written(members.select("grp", "node").join(groups, "grp"), "nodes")
@@ -242,20 +245,32 @@ def described(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, links.unionByName(_verified(_crossing(live), plain))
 
 
-def _shared(posts: DataFrame) -> DataFrame:
+def _shared(posts: DataFrame, often: DataFrame | None = None) -> DataFrame:
     """The postings of shingles that two groups or more have, each with one of these as its hub.
 
-    A shingle may be in the prefixes of a third of all groups: it is aggregated, and joined back, so that Spark can split it.
+    Most postings are of shingles that no other group has: they are shuffled once, by shingle. A shingle may also be in the
+    prefixes of a third of all groups: those in `often` (FREQUENT at most) are aggregated, and joined back, so that Spark can split them.
     """
-    posts = written(posts, "posts")
-    hub = posts.groupBy("token").agg(F.min("grp").alias("hub"), F.min_by("at", "grp").alias("hub_at"), F.max("grp").alias("hi")).filter("hub < hi")
-    wide = written(posts.join(hub.drop("hi"), "token"), "wide")
-    shared = written(wide.distinct(), "shared")  # a group's prefix is posted once for each task that met it
+    marks = posts.sparkSession.createDataFrame([], "token long") if often is None else often
+    marked = posts.join(F.broadcast(marks.withColumn("often", F.lit(True))), "token", "left")
+    posts = written(marked.select("token", "grp", "at", F.coalesce("often", F.lit(False)).alias("often")), "posts")
+    many = posts.filter("often").drop("often")
+    hub = many.groupBy("token").agg(F.min("grp").alias("hub"), F.min_by("at", "grp").alias("hub_at"), F.max("grp").alias("hi")).filter("hub < hi")
+    wide = written(many.join(hub.drop("hi"), "token"), "wide")
+    few = _met(posts.filter("not often").drop("often"))
+    shared = written(few.distinct().unionByName(wide.distinct()), "shared")  # a group's prefix is posted once for each task that met it
     for done in (posts, wide):
         dropped(done)
     return shared
 
 
+def _met(posts: DataFrame) -> DataFrame:
+    """The postings of shingles that two groups or more have, with their hubs, by one shuffle."""
+    of = Window.partitionBy("token")
+    met = posts.select("token", "grp", "at", F.min("grp").over(of).alias("hub"), F.max("grp").over(of).alias("hi")).filter("hub < hi").drop("hi")
+    return met.withColumn("hub_at", F.min(F.when(F.col("grp") == F.col("hub"), F.col("at"))).over(of))
+
+
 def _own(groups: DataFrame) -> DataFrame:
     """A posting of its own for each group of several members: they share its whole prefix."""
     return groups.filter("k > 1").select(F.xxhash64("grp").alias("token"), "grp", F.lit(0).alias("at"))
@@ -345,7 +360,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that link, directly or not, to one with a smaller doc_id; rows without doc_id stay."""
-    gone = classes(docs).filter("component_id < doc_id").select(F.col("doc_id").alias("doc_id")).distinct()
+    gone = sent_if_few(written(classes(docs).filter("component_id < doc_id").select("doc_id").distinct(), "gone"))
     return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
 
 

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import documents, spread, written
+from quernstone.llm.common import SENT_IDS, documents, spread, written
 
 #: Upper and lower case letters, and the white space stripped from a line's ends.
 UPPER, LOWER, SPACE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", " \t\n\x0b\f\r"
@@ -103,9 +103,15 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _sent_if_small(gone: DataFrame) -> DataFrame:
+    """The places that go, broadcast if ids, hashes and places take no more than SENT_IDS ids; else a join shuffles texts too."""
+    documents, places = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    return F.broadcast(gone) if 2 * documents + places / 2 <= SENT_IDS else gone
+
+
 def kept_lines(docs: DataFrame) -> DataFrame:
-    """docs with `_lines` (all lines) and `_kept` (those that stay); the one place where texts are shuffled."""
-    gone = dropped_lines(docs).select(F.col("doc_id").alias("_id"), F.col("of").alias("_of"), "gone")
+    """docs with `_lines` (all lines) and `_kept` (those that stay); the one place where texts may be shuffled."""
+    gone = _sent_if_small(dropped_lines(docs).select(F.col("doc_id").alias("_id"), F.col("of").alias("_of"), "gone"))
     same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_of"))
     joined = docs.join(gone, same, "left").withColumn("_lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
     # one scan of the places and one of the lines: the places that go are told apart by a hash set

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import glob
+import random
 
 from quernstone.llm import fingerprints as P
-from quernstone.llm import jaccard
+from quernstone.llm import jaccard, line_dedup
 
 
 def test_unlike_sets_of_a_bucket_take_few_rounds_and_lose_no_link(spark, monkeypatch):
@@ -33,3 +34,35 @@ def test_postings_go_when_they_are_read(spark):
     before = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/*/*/part-*"))
     assert jaccard._shared(posts).count() == 2
     assert {f.split("/")[-2] for f in set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/*/*/part-*")) - before} == {"shared"}
+
+
+def test_postings_of_rare_shingles_are_shuffled_once(spark):
+    rng = random.Random(7)
+    posts = [(t, rng.randrange(6), rng.randrange(3)) for t in range(40) for _ in range(rng.choice([1, 1, 2, 5]))]
+    posts = list({(t, g): (t, g, a) for t, g, a in posts}.values())
+    of = {t: sorted((g, a) for u, g, a in posts if u == t) for t, _, _ in posts}
+    want = {(t, g, a, *of[t][0]) for t, g, a in posts if len(of[t]) > 1}
+    table = spark.createDataFrame(posts + posts[::3], "token long, grp long, at int")  # some are posted by two tasks
+    for often in ([], [1, 2, 3], range(40)):
+        shared = jaccard._shared(table, spark.createDataFrame([(t,) for t in often], "token long"))
+        rows = [tuple(r) for r in shared.select("token", "grp", "at", "hub", "hub_at").collect()]
+        assert len(rows) == len(want) and set(rows) == want
+    plan = jaccard._met(table).distinct()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_texts_are_not_shuffled_where_few_documents_change(spark, monkeypatch):
+    text = "\n".join(f"line number {i} of this text has quite a few words" for i in range(20))
+    docs = spark.createDataFrame([(1, text), (2, text + "\nand one more"), (3, "other words " * 40), (None, text)], "doc_id long, text string")
+    joined = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(jaccard, "classes", lambda d: d.selectExpr("doc_id", "least(doc_id, 2) AS component_id").filter("doc_id is not null"))
+    one = jaccard.keep_one_of_each(spark, docs, "")
+    lines = line_dedup.kept_lines(docs)
+    assert "rightHint=(strategy=broadcast)" in joined(one) and "rightHint=(strategy=broadcast)" in joined(lines)
+    assert {r.doc_id for r in one.collect()} == {1, 2, None}
+    sent = sorted(lines.select("doc_id", "_kept").collect(), key=str)
+    monkeypatch.setattr(line_dedup, "SENT_IDS", 0)
+    both = line_dedup.kept_lines(docs)
+    assert "strategy=broadcast" not in joined(both)
+    assert sorted(both.select("doc_id", "_kept").collect(), key=str) == sent
+    assert {r.doc_id: len(r._kept) for r in sent} == {1: 20, 2: 1, 3: 1, None: 20}
