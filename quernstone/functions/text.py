@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Sentence ends of both scripts, obligation words, and the longest key of a key-value line.
 ENDS = "。！？；.!?;"
@@ -156,6 +159,7 @@ _TOKEN = re.compile(TOKEN)
 
 #: Code points of texts whose tokens are Python objects at once.
 AT_ONCE = 1 << 20
+TOKENS = "array<struct<token: string, start: int, end: int>>"
 
 
 def _offsets(texts: pa.Array) -> pa.Array:
@@ -189,7 +193,30 @@ def _offsets(texts: pa.Array) -> pa.Array:
 
 def tokens_with_offsets(text: Column) -> Column:
     """Tokens with their half-open places; offsets need a running sum over all that lies between, so Arrow batches do it."""
-    return F.arrow_udf(_offsets, "array<struct<token: string, start: int, end: int>>")(text)
+    return F.arrow_udf(_offsets, TOKENS)(text)
+
+
+def _cut(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose texts have AT_ONCE code points together, or are one text."""
+    start, size = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_pylist()):
+        if i > start and size + n > AT_ONCE:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
+def tokenised(docs: DataFrame, text: str) -> DataFrame:
+    """docs with `tokens`: tokens_with_offsets of a column, in batches of few code points, so that what worker and JVM hold at once doesn't grow with the rows of a batch."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _cut(batch, text):
+                yield pa.RecordBatch.from_arrays([*part.columns, _offsets(part.column(text))], names=[*part.schema.names, "tokens"])
+
+    return docs.mapInArrow(told, StructType([*docs.schema.fields, *StructType.fromDDL(f"tokens {TOKENS}").fields]))
 
 
 def heading_level(style: Column, points: Column | None = None) -> Column:

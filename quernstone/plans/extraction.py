@@ -145,7 +145,7 @@ O_RELATIONS = " UNION ALL ".join(
 
 def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document: how many, where the first begins and the last ends, and all of them hashed."""
-    t = dealt(_docs(spark, sf_dir), "doc_id").select("doc_id", T.tokens_with_offsets(F.col("text")).alias("t"))
+    t = T.tokenised(dealt(_docs(spark, sf_dir), "doc_id"), "text").select("doc_id", F.col("tokens").alias("t"))
     return t.select("doc_id", F.size("t").alias("n_tokens"), F.get("t", F.lit(0))["start"].alias("first_start"), F.element_at("t", -1)["end"].alias("last_end"), F.sha2(F.array_join("t.token", "\n"), 256).alias("tokens_sha256"))
 
 

@@ -97,6 +97,16 @@ def test_tokens_are_the_same_however_few_are_objects_at_once(monkeypatch):
     assert T._offsets(texts).equals(whole) and len(whole) == 5 and whole[1].as_py() is None
 
 
+def test_a_batch_of_many_texts_is_tokenised_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(T, "AT_ONCE", 10)
+    texts = ["a b-c", "", None, "x" * 25, "反应 x", "last one"]
+    batch = pa.record_batch({"i": list(range(6)), "text": pa.array(texts, pa.string())})
+    parts = list(T._cut(batch, "text"))
+    assert [p.num_rows for p in parts] == [3, 1, 1, 1] and pa.Table.from_batches(parts) == pa.Table.from_batches([batch])
+    assert not list(T._cut(batch.slice(0, 0), "text"))
+    assert "MapInArrow" in planned(spark, "token_offsets")
+
+
 def test_greedy_spans_against_brute_force(spark):
     r = random.Random(3)
     cases = []
