@@ -66,3 +66,23 @@ def test_texts_are_not_shuffled_where_few_documents_change(spark, monkeypatch):
     assert "strategy=broadcast" not in joined(both)
     assert sorted(both.select("doc_id", "_kept").collect(), key=str) == sent
     assert {r.doc_id: len(r._kept) for r in sent} == {1: 20, 2: 1, 3: 1, None: 20}
+
+
+def test_sets_in_buckets_are_not_shuffled_when_pairs_are_verified(spark, monkeypatch):
+    plans, write = [], P.written
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString() if name == "links" else "")
+        return write(df, name)
+
+    monkeypatch.setattr(P, "written", seen)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = [(i, " ".join(f"w{i // 2}x{k}" for k in range(80)) + (" end" if i % 2 else "")) for i in range(12)]
+        got = {r.doc_id: r.class_id for r in P.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == {i: i - i % 2 for i in range(12)}
+    told = [p for p in plans if p]
+    assert told and all("SelectedBucketsCount" in p for p in told)
